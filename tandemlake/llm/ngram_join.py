@@ -15,9 +15,11 @@ How it scales:
 - A token of one document only can't link it; a document whose prefix holds no
   other is dropped before any pair is looked at.
 - Equal sets are one class from the first step on.
-- Groups of near copies: each class is first held against one partner, and
-  components are formed; only pairs across components are then looked at. Pairs
-  within a component can't change the result, so no link is lost.
+- Groups of near copies: a few times, each class is held against one head that
+  shares some of its least tokens, and components are formed; only pairs across
+  components are then searched, by all prefix tokens. Pairs within a component
+  can't change the result, so no link between components is lost.
+- Token lists are bucketed by set, so that pairs come to them, not they to pairs.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ from .scratch import Scratch
 RANGE_TOKENS = 2_000_000
 BATCH_TOKENS = 2_000_000
 HEAVY_SHARE = 0.01
+#: Tokens of a set's sketch, and how often sets are held against a head before the full search.
+SKETCH, ROUNDS = 8, 4
 U64 = np.uint64
 
 
@@ -225,7 +229,7 @@ def _gather(percent: int):
 
 
 def _prefixes(percent: int, orders: int):
-    """(ord, tok, fp, n): the prefix tokens of each set under each order."""
+    """(ord, tok, label, n): the prefix tokens of each set under each order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,12 +242,12 @@ def _prefixes(percent: int, orders: int):
                 count = np.array([len(x) for x in toks])
                 row, tok = np.repeat(np.arange(len(toks)), count), np.concatenate(toks)
                 place = np.arange(len(tok)) - np.repeat(np.cumsum(count) - count, count)
-                fp = part.column("fp").to_numpy()
+                label = part.column("label").to_numpy()
                 for k in range(orders):
                     order = np.lexsort((tv.mix64(tok + U64(1_000_003 * k)) if k else tok, code, row))
                     take = order[place < length[row]]
                     r = row[take]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), k, np.int32)), pa.array(tok[take].astype(np.int64)), pa.array(fp[r]), pa.array(size[r].astype(np.int32))], ["ord", "tok", "fp", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), k, np.int32)), pa.array(tok[take].astype(np.int64)), pa.array(label[r]), pa.array(size[r].astype(np.int32))], ["ord", "tok", "label", "n"])
 
     return run
 
@@ -261,6 +265,21 @@ def _verify(percent: int):
     return run
 
 
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(tok, fp): the SKETCH least shared tokens of each set."""
+    for batch in batches:
+        toks = [np.sort(_unpack(np.frombuffer(x.as_buffer(), np.uint8)))[:SKETCH] for x in batch.column("tok")]
+        fp = np.repeat(batch.column("fp").to_numpy(), [len(x) for x in toks])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(toks).astype(np.int64) if toks else np.zeros(0, np.int64)), pa.array(fp)], ["tok", "fp"])
+
+
+def _labelled(rows: DataFrame, group: DataFrame | None) -> DataFrame:
+    """rows with the component of their set, at first the set itself."""
+    if group is None:
+        return rows.withColumn("label", F.col("fp"))
+    return rows.join(group.withColumnRenamed("v", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+
+
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("tok").alias("ta"))
     right = sets.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("tok").alias("tb"))
@@ -291,32 +310,35 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     heavy, heavy_code = frequent["id"].to_numpy(np.int64).view(U64), code_of(frequent["n"].to_numpy(np.int64))
     dealt = source.select("text").mapInArrow(_deal(width, ranges, heavy, heavy_code), "key int, blob binary")
     by_set = dealt.groupBy("key").applyInArrow(_count(ranges), "key int, blob binary")
-    sets = scratch.keep(by_set.groupBy("key").applyInArrow(_gather(percent), "fp long, n int, alone int, tok binary, code binary"))
-    prefix = scratch.keep(sets.mapInArrow(_prefixes(percent, orders), "ord int, tok long, fp long, n int"))
-
-    # one partner for each set: the least set of a shared bucket, of most buckets
-    head = prefix.groupBy("ord", "tok").agg(F.min("fp").alias("b"), F.count("*").alias("m")).where("m > 1").drop("m")
-    met = prefix.join(head, ["ord", "tok"]).where("fp <> b").groupBy(F.col("fp").alias("a"), "b").agg(F.count("*").alias("m"))
-    star = met.groupBy("a").agg(F.max(F.struct("m", "b")).alias("x")).select("a", "x.b")
-    first = scratch.keep(_links(star, sets, percent))
-    group = components(first, scratch)
-
-    # all pairs that share a prefix token across components, under every order
-    rows = prefix.join(group.withColumnRenamed("v", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    rows = scratch.keep(rows)
-    bucket = rows.groupBy("ord", "tok", "label").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    mixed = bucket.groupBy("ord", "tok").agg(F.count("*").alias("m")).where("m > 1").drop("m")
-    bucket = scratch.keep(bucket.join(mixed, ["ord", "tok"]))
+    sets = scratch.bucketed(by_set.groupBy("key").applyInArrow(_gather(percent), "fp long, n int, alone int, tok binary, code binary"), "fp", min(ranges, 4096))
+
+    # near copies first: each set against one head of a bucket of its sketch, a few times over
+    sketch = scratch.keep(sets.mapInArrow(_sketch, "tok long, fp long"))
+    links, group = None, None
+    for turn in range(ROUNDS):
+        rows = _labelled(sketch, group)
+        head = rows.groupBy("tok").agg(F.min_by(F.struct("fp", "label"), F.struct(F.xxhash64("fp", F.lit(turn)), "fp")).alias("head"))
+        met = rows.join(head, "tok").where("label <> head.label").groupBy(F.col("fp").alias("a"), F.col("head.fp").alias("b")).agg(F.count("*").alias("m"))
+        pairs = met.groupBy("a").agg(F.max(F.struct("m", "b")).alias("x")).select("a", "x.b")
+        new = scratch.keep(_links(pairs, sets, percent))
+        links = new if links is None else links.union(new)
+        if not new.limit(1).count():
+            break
+        group = components(links, scratch)
+
+    # then all components that share a prefix token under every order, set by set
+    marked = _labelled(sets, group)
+    bucket = marked.mapInArrow(_prefixes(percent, orders), "ord int, tok long, label long, n int")
+    bucket = scratch.keep(bucket.groupBy("ord", "tok", "label").agg(F.min("n").alias("least"), F.max("n").alias("most")))
     other = bucket.select("ord", "tok", F.col("label").alias("label2"), F.col("least").alias("least2"), F.col("most").alias("most2"))
     near = (F.col("most") * 100 >= F.col("least2") * percent) & (F.col("most2") * 100 >= F.col("least") * percent)
     across = bucket.join(other, ["ord", "tok"]).where((F.col("label") < F.col("label2")) & near)
-    both = across.groupBy("label", "label2").agg(F.countDistinct("ord").alias("k")).where(F.col("k") == orders).drop("k")
-    spots = across.join(both, ["label", "label2"]).select("ord", "tok", "label", "label2")
-    left = rows.select("ord", "tok", "label", F.col("fp").alias("a"), F.col("n").alias("na"))
-    right = rows.select("ord", "tok", F.col("label").alias("label2"), F.col("fp").alias("b"), F.col("n").alias("nb"))
-    found = spots.join(left, ["ord", "tok", "label"]).join(right, ["ord", "tok", "label2"]).where((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
-    found = found.groupBy("a", "b").agg(F.countDistinct("ord").alias("k")).where(F.col("k") == orders)
-    links = first.union(_links(found, sets, percent))
+    both = across.groupBy("label", "label2", "ord").agg(F.lit(1).alias("k")).groupBy("label", "label2").agg(F.count("*").alias("k")).where(F.col("k") == orders)
+    member = marked.select("label", "fp", "n")
+    left = member.select("label", F.col("fp").alias("a"), F.col("n").alias("x"))
+    right = member.select(F.col("label").alias("label2"), F.col("fp").alias("b"), F.col("n").alias("y"))
+    found = both.join(left, "label").join(right, "label2").where((F.col("x") * 100 >= F.col("y") * percent) & (F.col("y") * 100 >= F.col("x") * percent))
+    links = links.union(_links(found, sets, percent))
     group = components(links, scratch)
 
     least = own.where("n > 0").groupBy("fp").agg(F.min("id").alias("least"))

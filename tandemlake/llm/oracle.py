@@ -19,11 +19,11 @@ WITH d AS (
   SELECT source, source_size, CASE WHEN is_full THEN cap ELSE
     w * (goal - coalesce(sum(CASE WHEN is_full THEN cap END) OVER (), 0)) / sum(CASE WHEN NOT is_full THEN w END) OVER () END AS target FROM f
 ), p AS (
-  SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at FROM d
+  SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM d
 )
 SELECT p.doc_id, p.size, p.source, t.source_size, t.target,
-  (greatest(0, least(at + size, round(target)::BIGINT) - at)
-   + greatest(0, least(at + source_size + size, round(target)::BIGINT) - at - source_size))::BIGINT AS taken
+  (greatest(0, least(pos + size, round(target)::BIGINT) - pos)
+   + greatest(0, least(pos + source_size + size, round(target)::BIGINT) - pos - source_size))::BIGINT AS taken
 FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
 """
 

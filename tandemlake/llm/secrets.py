@@ -179,5 +179,8 @@ def secret_digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of find_secrets()."""
     found = find_secrets(docs, rules=rules).select("doc_id", "found")
     base = [k for k, r in enumerate(rules) if r.base]
-    count = [F.size(F.filter("found", lambda x, k=k: x["rank"] == k)).cast("long").alias(f"n_{rules[k].kind}") for k in base]
-    return found.select("doc_id", *count, F.sha2(written(F.filter("found", lambda x: x["rank"].isin(base))), 256).alias("base_sha256"), written(F.col("found")).alias("spans"))
+
+    def count(rank: int) -> Column:
+        return F.size(F.filter("found", lambda x: x["rank"] == rank)).cast("long").alias(f"n_{rules[rank].kind}")
+
+    return found.select("doc_id", *map(count, base), F.sha2(written(F.filter("found", lambda x: x["rank"].isin(base))), 256).alias("base_sha256"), written(F.col("found")).alias("spans"))
