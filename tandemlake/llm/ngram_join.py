@@ -39,6 +39,8 @@ BATCH_TOKENS = 2_000_000
 HEAVY_SHARE = 0.01
 #: Tokens of a set's sketch, and how often sets are held against a head before the full search.
 SKETCH, ROUNDS = 8, 4
+#: Sets that one side of a block of the full search holds, about.
+BLOCK = 128
 U64 = np.uint64
 
 
@@ -76,12 +78,26 @@ def code_of(df: np.ndarray) -> np.ndarray:
     return np.minimum(255, np.floor(8 * np.log2(np.maximum(df, 1)))).astype(np.uint8)
 
 
-def _sets(batch: pa.RecordBatch, text_at: int, width: int):
-    """(first row, end row, 48-bit tokens, firsts, fingerprints) of runs of rows."""
-    for i, j, data, bounds in tv.steps(batch.column(text_at)):
+def token_sets(column: pa.Array, width: int, by_line: bool = False):
+    """(first row, end row, lines' firsts, 48-bit tokens, their firsts, fingerprints) of runs of rows.
+
+    With by_line each line is a set of its own, and lines' firsts tell whose it is.
+    """
+    for i, j, data, bounds in tv.steps(column):
         start, end, first = tv.words(data, bounds)
+        of_row = np.arange(j - i + 1)
+        if by_line:
+            line, _, of_row = tv.lines(data, bounds)
+            first = np.append(np.searchsorted(start, line), len(start))
         tok, at = tv.distinct(*tv.shingles(tv.span_hash(data, start, end), first, width))
-        yield i, j, tok >> U64(16), at, tv.row_sum(tv.mix64(tok + U64(77)), at)
+        yield i, j, of_row, tok >> U64(16), at, tv.row_sum(tv.mix64(tok + U64(77)), at)
+
+
+def frequent(held: list[np.ndarray], share: float, sets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens, and their counts, that half of `share` of these sets hold, and 16 at least."""
+    tok, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, U64), np.zeros(0, np.int64))
+    m = n >= max(16, share / 2 * sets)
+    return tok[m].view(np.int64), n[m].astype(np.int64)
 
 
 def _meta(width: int, share: float):
@@ -91,12 +107,12 @@ def _meta(width: int, share: float):
         held, docs = [], 0
 
         def heavy():
-            tok, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, U64), np.zeros(0, int))
-            m = n >= max(16, share / 2 * docs)
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(m.sum(), np.int8)), pa.array(tok[m].astype(np.int64)), pa.nulls(int(m.sum()), pa.int64()), pa.array(n[m].astype(np.int64))], ["kind", "id", "fp", "n"])
+            tok, n = frequent(held, share, docs)
+            m = len(tok)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int8)), pa.array(tok), pa.nulls(m, pa.int64()), pa.array(n)], ["kind", "id", "fp", "n"])
 
         for batch in batches:
-            for i, j, tok, at, fp in _sets(batch, 1, width):
+            for i, j, _, tok, at, fp in token_sets(batch.column(1), width):
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(j - i, np.int8)), batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(fp.view(np.int64)), pa.array(np.diff(at))], ["kind", "id", "fp", "n"])
                 held.append(tok)
                 docs += j - i
@@ -108,7 +124,7 @@ def _meta(width: int, share: float):
     return run
 
 
-def _deal(width: int, ranges: int, heavy: np.ndarray, heavy_code: np.ndarray):
+def _deal(width: int, ranges: int, heavy: np.ndarray, heavy_code: np.ndarray, by_line: bool = False):
     """Blobs of rare-enough tokens by token range; of sizes and heavy tokens by set (keys from `ranges` on)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +167,7 @@ def _deal(width: int, ranges: int, heavy: np.ndarray, heavy_code: np.ndarray):
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["key", "blob"])
 
         for batch in batches:
-            for _, _, tok, at, fp in _sets(batch, 0, width):
+            for _, _, _, tok, at, fp in token_sets(batch.column(0), width, by_line):
                 held.append((tok, at, fp))
                 if sum(len(h[0]) for h in held) >= BATCH_TOKENS:
                     yield flush()
@@ -229,7 +245,7 @@ def _gather(percent: int):
 
 
 def _prefixes(percent: int, orders: int):
-    """(ord, tok, label, n): the prefix tokens of each set under each order."""
+    """(ord, tok, label, n, rest): the prefix tokens of each set under each order; rest: tokens from there on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,7 +263,8 @@ def _prefixes(percent: int, orders: int):
                     order = np.lexsort((tv.mix64(tok + U64(1_000_003 * k)) if k else tok, code, row))
                     take = order[place < length[row]]
                     r = row[take]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), k, np.int32)), pa.array(tok[take].astype(np.int64)), pa.array(label[r]), pa.array(size[r].astype(np.int32))], ["ord", "tok", "label", "n"])
+                    rest = size[r] - alone[r] - place[place < length[row]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), k, np.int32)), pa.array(tok[take].astype(np.int64)), pa.array(label[r]), pa.array(size[r].astype(np.int32)), pa.array(rest.astype(np.int32))], ["ord", "tok", "label", "n", "rest"])
 
     return run
 
@@ -265,7 +282,7 @@ def _verify(percent: int):
     return run
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sketch_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(tok, fp): the SKETCH least shared tokens of each set."""
     for batch in batches:
         toks = [np.sort(_unpack(np.frombuffer(x.as_buffer(), np.uint8)))[:SKETCH] for x in batch.column("tok")]
@@ -280,12 +297,83 @@ def _labelled(rows: DataFrame, group: DataFrame | None) -> DataFrame:
     return rows.join(group.withColumnRenamed("v", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def links_of(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("tok").alias("ta"))
     right = sets.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("tok").alias("tb"))
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(_verify(percent), "a long, b long")
 
 
+def _across(percent: int):
+    """Of two blocks of sets: links between components, one for each two components and set."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        label, fp, n, side = (table.column(c).to_numpy() for c in ("label", "fp", "n", "side"))
+        toks = [_unpack(np.frombuffer(x.as_buffer(), np.uint8)) for x in table.column("tok")]
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        out_a, out_b = [], []
+        if len(left) and len(right):
+            tok = np.concatenate([toks[k] for k in right])
+            owner = np.repeat(np.arange(len(right)), [len(toks[k]) for k in right])
+            order = np.argsort(tok, kind="stable")
+            tok, owner = tok[order], owner[order]
+            for k in left.tolist():
+                own = np.sort(toks[k])
+                lo, hi = np.searchsorted(tok, own, "left"), np.searchsorted(tok, own, "right")
+                many = hi - lo
+                hit = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
+                both = np.bincount(owner[hit], minlength=len(right))
+                good = (100 * both >= percent * (int(n[k]) + n[right].astype(np.int64) - both)) & (label[right] != label[k])
+                got = right[good]
+                got = got[np.unique(label[got], return_index=True)[1]]
+                out_a.append(np.full(len(got), fp[k]))
+                out_b.append(fp[got])
+        none = np.zeros(0, np.int64)
+        return pa.table({"a": pa.array(np.concatenate([none, *out_a])), "b": pa.array(np.concatenate([none, *out_b]))})
+
+    return run
+
+
+def _in_blocks(marked: DataFrame, family: DataFrame, percent: int) -> DataFrame:
+    """Links between components of one family, from (fp, n, tok, label).
+
+    Sets lie in blocks of about BLOCK: those of a large component in blocks of
+    its own, small components together. Blocks meet in twos, but for those of
+    one large component, so work follows the sets that are still apart.
+    """
+    size = marked.groupBy("label").agg(F.count("*").alias("size")).join(family, "label").withColumn("large", F.col("size") >= BLOCK)
+    small = size.groupBy("family").agg(F.sum(F.when(~F.col("large"), F.col("size"))).alias("small"))
+    size = size.join(small, "family").withColumn("own", F.when(F.col("large"), F.col("label")).otherwise(F.col("family")))
+    size = size.select("label", "family", "large", "own", F.ceil(F.when(F.col("large"), F.col("size")).otherwise(F.col("small")) / BLOCK).alias("parts"))
+    part = F.pmod(F.when(F.col("large"), F.xxhash64("fp")).otherwise(F.xxhash64("label")), "parts")
+    member = marked.select("fp", "n", "tok", "label").join(size, "label").withColumn("no", part)
+    one = size.select("family", "large", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("no")).distinct()
+    block = F.struct("large", "own", "no")
+    pair = one.select("family", block.alias("x")).join(one.select("family", block.alias("y")), "family")
+    pair = pair.where((F.col("x") <= F.col("y")) & ~(F.col("x.large") & F.col("y.large") & (F.col("x.own") == F.col("y.own"))))
+    pair = pair.withColumn("pair", F.xxhash64("family", "x", "y"))
+    sides = pair.select("family", "pair", "x.*", F.lit(0).alias("side")).union(pair.select("family", "pair", "y.*", F.lit(1).alias("side")))
+    shipped = member.join(sides, ["family", "large", "own", "no"]).select("pair", "side", "label", "fp", "n", "tok")
+    return shipped.groupBy("pair").applyInArrow(_across(percent), "a long, b long")
+
+
+def shared_tokens(texts: DataFrame, meta: DataFrame, count: int, tokens: int, width: int, percent: int, share: float, scratch: Scratch, by_line: bool = False) -> tuple[DataFrame, int]:
+    """The sets whose prefix holds a token of another: (fp, n, alone, tok, code), bucketed by fp.
+
+    texts: one column. meta: rows of kind 1 have locally frequent tokens (id, n).
+    tok: the set's tokens that other sets hold, rarest first; alone: how many it
+    has to itself.
+    """
+    ranges = min(1 << 24, max(12, -(-tokens // RANGE_TOKENS)))
+    # at most 2 * tokens / (share * sets) rows: bounded whatever the corpus' size
+    rows = meta.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= F.lit(share / 2 * count)).orderBy("id").toPandas()
+    heavy, heavy_code = rows["id"].to_numpy(np.int64).view(U64), code_of(rows["n"].to_numpy(np.int64))
+    dealt = texts.mapInArrow(_deal(width, ranges, heavy, heavy_code, by_line), "key int, blob binary")
+    by_set = dealt.groupBy("key").applyInArrow(_count(ranges), "key int, blob binary")
+    sets = by_set.groupBy("key").applyInArrow(_gather(percent), "fp long, n int, alone int, tok binary, code binary")
+    return scratch.bucketed(sets, "fp", min(ranges, 4096)), ranges
+
+
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, orders: int = 3, heavy_share: float = HEAVY_SHARE) -> DataFrame:
     """Documents with their set size and component: (doc_id, n_shingles, component_id, set_id).
 
@@ -304,41 +392,33 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     meta = scratch.keep(source.mapInArrow(_meta(width, heavy_share), "kind tinyint, id long, fp long, n long"))
     own = meta.where("kind = 0")
     total = own.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
-    ranges = min(1 << 24, max(12, -(-total.tokens // RANGE_TOKENS)))
-    # at most 2 * tokens / (share * docs) rows: bounded whatever the corpus' size
-    frequent = meta.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= F.lit(heavy_share / 2 * total.docs)).orderBy("id").toPandas()
-    heavy, heavy_code = frequent["id"].to_numpy(np.int64).view(U64), code_of(frequent["n"].to_numpy(np.int64))
-    dealt = source.select("text").mapInArrow(_deal(width, ranges, heavy, heavy_code), "key int, blob binary")
-    by_set = dealt.groupBy("key").applyInArrow(_count(ranges), "key int, blob binary")
-    sets = scratch.bucketed(by_set.groupBy("key").applyInArrow(_gather(percent), "fp long, n int, alone int, tok binary, code binary"), "fp", min(ranges, 4096))
+    sets, _ = shared_tokens(source.select("text"), meta, total.docs, total.tokens, width, percent, heavy_share, scratch)
 
     # near copies first: each set against one head of a bucket of its sketch, a few times over
-    sketch = scratch.keep(sets.mapInArrow(_sketch, "tok long, fp long"))
+    sketch = scratch.keep(sets.mapInArrow(sketch_of, "tok long, fp long"))
     links, group = None, None
     for turn in range(ROUNDS):
         rows = _labelled(sketch, group)
         head = rows.groupBy("tok").agg(F.min_by(F.struct("fp", "label"), F.struct(F.xxhash64("fp", F.lit(turn)), "fp")).alias("head"))
         met = rows.join(head, "tok").where("label <> head.label").groupBy(F.col("fp").alias("a"), F.col("head.fp").alias("b")).agg(F.count("*").alias("m"))
         pairs = met.groupBy("a").agg(F.max(F.struct("m", "b")).alias("x")).select("a", "x.b")
-        new = scratch.keep(_links(pairs, sets, percent))
+        new = scratch.keep(links_of(pairs, sets, percent))
         links = new if links is None else links.union(new)
         if not new.limit(1).count():
             break
         group = components(links, scratch)
 
-    # then all components that share a prefix token under every order, set by set
+    # then all components that share a prefix token under every order, in blocks
     marked = _labelled(sets, group)
-    bucket = marked.mapInArrow(_prefixes(percent, orders), "ord int, tok long, label long, n int")
-    bucket = scratch.keep(bucket.groupBy("ord", "tok", "label").agg(F.min("n").alias("least"), F.max("n").alias("most")))
-    other = bucket.select("ord", "tok", F.col("label").alias("label2"), F.col("least").alias("least2"), F.col("most").alias("most2"))
-    near = (F.col("most") * 100 >= F.col("least2") * percent) & (F.col("most2") * 100 >= F.col("least") * percent)
-    across = bucket.join(other, ["ord", "tok"]).where((F.col("label") < F.col("label2")) & near)
+    bucket = marked.mapInArrow(_prefixes(percent, orders), "ord int, tok long, label long, n int, rest int")
+    bucket = scratch.keep(bucket.groupBy("ord", "tok", "label").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest")))
+    other = bucket.select("ord", "tok", F.col("label").alias("label2"), F.col("least").alias("least2"), F.col("most").alias("most2"), F.col("rest").alias("rest2"))
+    length = (F.col("most") * 100 >= F.col("least2") * percent) & (F.col("most2") * 100 >= F.col("least") * percent)
+    position = F.least("rest", "rest2") * (100 + percent) >= (F.col("least") + F.col("least2")) * percent
+    across = bucket.join(other, ["ord", "tok"]).where((F.col("label") < F.col("label2")) & length & position)
     both = across.groupBy("label", "label2", "ord").agg(F.lit(1).alias("k")).groupBy("label", "label2").agg(F.count("*").alias("k")).where(F.col("k") == orders)
-    member = marked.select("label", "fp", "n")
-    left = member.select("label", F.col("fp").alias("a"), F.col("n").alias("x"))
-    right = member.select(F.col("label").alias("label2"), F.col("fp").alias("b"), F.col("n").alias("y"))
-    found = both.join(left, "label").join(right, "label2").where((F.col("x") * 100 >= F.col("y") * percent) & (F.col("y") * 100 >= F.col("x") * percent))
-    links = links.union(_links(found, sets, percent))
+    family = components(both.select(F.col("label").alias("a"), F.col("label2").alias("b")), scratch).select(F.col("v").alias("label"), F.col("label").alias("family"))
+    links = links.union(_in_blocks(marked, family, percent))
     group = components(links, scratch)
 
     least = own.where("n > 0").groupBy("fp").agg(F.min("id").alias("least"))
