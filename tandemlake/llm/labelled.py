@@ -11,9 +11,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> pa.Table:
+def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[pa.Table, tuple[int, int]]:
     """(doc_id, text, label): at most `per_class` rows of either label, of least digest, outside the held-out fold.
 
+    Also how many rows have either label there, of which these are a part.
+
     The number of rows is bounded by the parameter, whatever the corpus' size. An
     id labelled more than once counts once, by its largest label.
     """
@@ -23,4 +25,6 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> pa
     ids = picked[0].union(picked[1]).select("doc_id", "label")
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     table = rows.toArrow()
-    return table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    all_of = {r.label: r.n for r in one.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    return table, (all_of.get(0, 0), all_of.get(1, 0))

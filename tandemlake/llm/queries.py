@@ -4,15 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, media, mixing, ngram_join, oracle, secrets
+from . import ann, chat, line_dedup, media, mixing, ngram_join, oracle, pieces, quality, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_digest(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -21,6 +29,24 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents")).drop("set_id")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's lines before and after, the numbers of those that go, and the digest of what stays."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = line_dedup.dedup_lines(docs)
+    left = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")
+    gone = F.size("lines_removed").cast("long")
+    left = F.when((F.coalesce("text", F.lit("")) == "") & (gone > 0), 0).otherwise(left)
+    return out.select("doc_id", (left + gone).alias("n_lines"), gone.alias("n_removed"), F.array_join(F.col("lines_removed").cast("array<string>"), ",").alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -37,8 +63,13 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nearest_neighbours": op1_nearest_neighbours,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_mixing": op3_mixing,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_toxicity": op5_toxicity,
+    "op6_line_dedup": op6_line_dedup,
+    "op8_quality_classifier": op8_quality_classifier,
     "op7_chat_formatting": op7_chat_formatting,
     "op9_secret_scans": op9_secret_scans,
     "op10_media_columns": op10_media_columns,

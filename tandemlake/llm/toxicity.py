@@ -25,9 +25,9 @@ CELLS = 1 << 17
 #: Byte lengths of word beginnings that count beside the word itself.
 STEMS = (4, 5)
 #: Evidence (log odds) from which a word of a toxic document is labelled toxic.
-LABELLED = 1.5
-#: Labelled documents learnt from, of either label.
-PER_CLASS = 2500
+LABELLED = 1.0
+#: Labelled documents learnt from, of either label; words of one stretch that the chain is trained on.
+PER_CLASS, STRETCH = 2500, 256
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 
@@ -52,7 +52,7 @@ def _features(odds: list[np.ndarray], cells: list[np.ndarray]) -> np.ndarray:
 
 
 def _odds(cells: list, label: np.ndarray) -> list[np.ndarray]:
-    """Log odds that a toxic document, against another, holds a word of a cell; 0 if few do."""
+    """Log odds that a toxic document, against another, holds a word of a cell, less two standard errors."""
     out = []
     for k in range(1 + len(STEMS)):
         n = np.zeros((2, CELLS))
@@ -60,23 +60,30 @@ def _odds(cells: list, label: np.ndarray) -> list[np.ndarray]:
             n[y, np.unique(c[k])] += 1
         total = np.maximum([(label == 0).sum(), (label == 1).sum()], 1)
         log = np.log((n[1] + 0.5) / (total[1] + 1)) - np.log((n[0] + 0.5) / (total[0] + 1))
-        out.append(np.where(n[1] + n[0] >= 5, np.clip(log, -3, 6), 0).astype(np.float32))
+        doubt = 2 * np.sqrt(1 / (n[1] + 0.5) + 1 / (n[0] + 0.5))
+        out.append((np.sign(log) * np.maximum(np.abs(log) - doubt, 0)).astype(np.float32))
     return out
 
 
-def _of_documents(p: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Columns for the document model: marginals' sum, largest, and share."""
+def _of_documents(p: np.ndarray, first: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Columns for the document model: the largest marginal, and the sum, each different word once, also by root length."""
     n = np.diff(first)
-    total = tv.row_sum(p, first)
+    likely = np.flatnonzero(p > 0.01)
+    row = np.searchsorted(first, likely, "right") - 1
+    order = np.lexsort((-p[likely], word[likely], row))
+    row, one, q = row[order], word[likely][order], p[likely][order]
+    new = np.r_[True, (row[1:] != row[:-1]) | (one[1:] != one[:-1])] if len(row) else np.zeros(0, bool)
+    total = np.bincount(row[new], q[new], len(n))
     most = np.zeros(len(n))
-    some = n > 0
-    if some.any():
-        most[some] = np.maximum.reduceat(p, first[:-1][some])
+    np.maximum.at(most, row, q)
     return np.column_stack([np.log1p(total), most, total / np.sqrt(n + 1.0)])
 
 
-def train(table: pa.Table) -> Model:
-    """From (text, label). Without rows of both labels the model says 0 or 1 half-way to what it saw."""
+def train(table: pa.Table, all_of: tuple[int, int] | None = None) -> Model:
+    """From (text, label). all_of: how many rows of label 0 and 1 the sample stands for; scores are set to their ratio.
+
+    Without rows of both labels the document model leans to the one it saw.
+    """
     label = table.column("label").to_numpy().astype(np.int64)
     per: list[list[np.ndarray]] = []
     for i, j, data, bounds in tv.steps(table.column("text")):
@@ -92,9 +99,14 @@ def train(table: pa.Table) -> Model:
     order = np.concatenate([np.flatnonzero(half == h) for h in (0, 1)])
     first = np.r_[0, np.cumsum([len(x) for x in f])].astype(np.int64)
     feature = np.concatenate(f) if f else np.zeros((0, 3 + len(STEMS)))
-    chain = fit(feature, np.concatenate(y) if y else np.zeros(0), first) if len(feature) else Chain(np.zeros(3 + len(STEMS)), np.zeros(4))
-    columns = _of_documents(marginals(feature, first, chain), first)
+    short = np.unique(np.r_[first, np.arange(0, first[-1], STRETCH)])
+    chain = fit(feature, np.concatenate(y) if y else np.zeros(0), short, rounds=60) if len(feature) else Chain(np.zeros(3 + len(STEMS)), np.zeros(4))
+    word = np.concatenate([per[i][0] for i in order]) if len(order) else np.zeros(0, np.int32)
+    columns = _of_documents(marginals(feature, first, chain), first, word)
     document = logistic(columns, label[order].astype(float)) if len(order) else np.zeros(4)
+    n1, n0 = int(label.sum()), int((1 - label).sum())
+    if all_of and min(*all_of, n1, n0) > 0:
+        document[-1] += np.log(all_of[1] / all_of[0]) - np.log(n1 / n0)
     return Model(_odds(per, label), chain, document)
 
 
@@ -105,7 +117,7 @@ def _score(model_of):
             for i, j, data, bounds in tv.steps(batch.column("text")):
                 start, end, first, cells = _cells(data, bounds)
                 p = marginals(_features(model.odds, cells), first, model.chain)
-                score = sigmoid(_of_documents(p, first), model.document)
+                score = sigmoid(_of_documents(p, first, cells[0]), model.document)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(batch.num_columns)), pa.array(score), pa.array(_spans(data, bounds, start, end, first, p))], [*batch.schema.names, "score", "spans"])
 
     return run
@@ -137,6 +149,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """(doc_id, held_out, score, predicted, spans) of every row of docs, learnt from labels.toxic."""
-    model = train(sample(docs, labels, "toxic", per_class))
+    model = train(*sample(docs, labels, "toxic", per_class))
     scored = score(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
