@@ -1,15 +1,70 @@
-"""Corpus preparation: filter toxic texts, dedupe lines and documents, mix, encode."""
+"""Corpus preparation: drop toxic texts, dedupe lines and documents, mix sources, encode.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it
+kept; all but the last return the columns of `documents`. run() writes each
+stage's rows to the shared folder, so a lost executor costs one stage's tasks.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tandemlake.llm import line_dedup, mixing, ngram_join, pieces, toxicity
+from tandemlake.llm.labelled import sample
+from tandemlake.llm.scratch import Scratch
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under 0.5."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(*sample(docs, labels, "toxic", toxicity.PER_CLASS))
+    return toxicity.score(docs, model).where("score < 0.5").select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that an earlier line matches; n_chars follows the text."""
+    out = line_dedup.dedup_lines(docs)
+    return out.withColumn("n_chars", F.when(F.size("lines_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of least id; of rows with one id the least text."""
+    first = ngram_join.ngram_components(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept")).distinct()
+    rest = [c for c in docs.columns if c != "doc_id"]
+    one = docs.groupBy("doc_id").agg(F.min(F.struct("text", *(c for c in rest if c != "text"))).alias("row"))
+    return one.join(first, one.doc_id.eqNullSafe(first.kept), "left_semi").select(*(F.col("doc_id") if c == "doc_id" else F.col(f"row.{c}").alias(c) for c in docs.columns))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, as whole texts: taken words over size, rounded."""
+    taken = mixing.mix_sources(docs).groupBy("doc_id").agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("share"))
+    taken = taken.select(F.col("doc_id").alias("mixed"), F.round("share").cast("int").alias("copies")).where("copies > 0")
+    out = docs.join(taken, docs.doc_id.eqNullSafe(taken.mixed))
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, source, n_ids, ids): the texts' piece ids."""
+    return pieces.encode(docs.select("doc_id", "source", "text")).select("doc_id", "source", F.size("ids").alias("n_ids"), "ids")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", dedup_lines),
+    ("n-gram Jaccard join", dedup_documents),
+    ("mixing sources", mix_sources),
+    ("SentencePiece encoding", encode),
+]
 
-STAGES = []
+#: No SQL: a trained model scores the first stage. tests/llm hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    scratch = Scratch(spark, "pipeline")
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = scratch.keep(docs)
     return docs
