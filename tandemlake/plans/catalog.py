@@ -1,6 +1,354 @@
-"""Named queries over the bridge views, with the SQL that says the same."""
+"""Named queries over the bridge views, and the SQL that says the same.
+
+Each query is a thin call of one operator; the SQL is written from the
+operator's definition, not from its code.
+"""
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE_SQL = {}
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tandemlake.functions import cigar, values
+from tandemlake.operators import association, cohort, genotype, intervals, lookup, outliers
+from tandemlake.plans import bridge
+from tandemlake.plans.bridge import HEADER
+
+SUBSET = ["s01", "s04", "s07"]
+REGION = ("chr1", 9000, 10200)
+LOCUS = ("ord", "chrom", "locus_begin", "locus_end")
+
+
+def region_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = bridge.regions(spark, sf_dir)
+    text = F.concat("chrom", F.lit(":"), F.format_number("begin", 0), F.lit("-"), F.format_number("end", 0))
+    text = F.when(F.col("interval_ord") % 7 == 3, F.concat("chrom", F.lit("-"), F.col("begin").cast("string"))).otherwise(text)
+    p = r.select("interval_ord", text.alias("region")).withColumn("p", intervals.parse_region(F.col("region")))
+    return p.select("interval_ord", "region", F.col("p.chrom").alias("chrom"), F.coalesce("p.begin", F.lit(-1)).alias("region_begin"), F.coalesce("p.end", F.lit(-1)).alias("region_end"))
+
+
+def interval_validate(spark, sf_dir):
+    out = intervals.validate(bridge.regions(spark, sf_dir), bridge.contigs(spark))
+    return out.select("interval_ord", "chrom", F.col("begin").alias("region_begin"), F.col("end").alias("region_end"))
+
+
+def interval_overlap_query(spark, sf_dir):
+    return lookup.matches(bridge.matrix(spark, sf_dir), bridge.regions(spark, sf_dir)).select("interval_ord", *LOCUS)
+
+
+def query_single_sorted(spark, sf_dir):
+    return lookup.sorted_lengths(bridge.matrix(spark, sf_dir), HEADER, bridge.regions(spark, sf_dir))
+
+
+def query_multi_pivot(spark, sf_dir):
+    out = lookup.side_by_side(bridge.matrix(spark, sf_dir), HEADER, bridge.regions(spark, sf_dir))
+    shown = F.array_join(F.transform("lengths", values.shown), "\t")
+    return out.select("col_idx", F.col("column").alias("col"), F.array_join("matches", "\t").alias("matches"), shown.alias("lengths"))
+
+
+def containment_first_match(spark, sf_dir):
+    return lookup.first_contained(bridge.matrix(spark, sf_dir), *REGION).select(*LOCUS)
+
+
+def histogram_100(spark, sf_dir):
+    return lookup.locus_histogram(bridge.matrix(spark, sf_dir), HEADER, *REGION)
+
+
+def group_histogram(spark, sf_dir):
+    return lookup.group_histogram(bridge.matrix(spark, sf_dir), HEADER, bridge.metadata(spark, sf_dir), "group", ["PAT", "CON"], *REGION).withColumnRenamed("group", "grp")
+
+
+def metadata_filter(spark, sf_dir):
+    return lookup.members(bridge.metadata(spark, sf_dir), "group", ["PAT", "CON"]).withColumnRenamed("group", "grp")
+
+
+def _files(spark, sf_dir) -> list[DataFrame]:
+    """Per-sample call files of three samples: two text cells a locus."""
+    long = cohort.pairs(bridge.matrix(spark, sf_dir), HEADER)
+    cells = F.array(values.shown(F.col("h1")), values.shown(F.col("h2")))
+    return [long.where(F.col("sample") == s).select(*LOCUS, cells.alias("cells")) for s in ("s00", "s01", "s02")]
+
+
+def combine_keyed(spark, sf_dir):
+    return cohort.combine_keyed(_files(spark, sf_dir)).select(*LOCUS, F.array_join("cells", "\t").alias("cells"))
+
+
+def combine_positional(spark, sf_dir):
+    return cohort.combine_positional(_files(spark, sf_dir)).select(*LOCUS, F.array_join("cells", "\t").alias("cells"))
+
+
+def unpivot_haplotypes(spark, sf_dir):
+    return cohort.to_long(bridge.matrix(spark, sf_dir), HEADER).select("ord", "col_idx", F.col("column").alias("col"), "sample", "length")
+
+
+def deinterleave_h1_h2(spark, sf_dir):
+    return cohort.pairs(bridge.matrix(spark, sf_dir), HEADER).select("ord", "sample", "h1", "h2")
+
+
+def _outliers(spark, sf_dir, **how) -> DataFrame:
+    return outliers.outliers(bridge.matrix(spark, sf_dir), HEADER, **how)
+
+
+def _listed(found: DataFrame) -> DataFrame:
+    return found.withColumn("outliers", F.array_join("outliers", ","))
+
+
+def outlier_zscore(spark, sf_dir):
+    return _listed(_outliers(spark, sf_dir))
+
+
+def outlier_zscore_subset(spark, sf_dir):
+    return _listed(_outliers(spark, sf_dir, subset=SUBSET))
+
+
+def outlier_dbscan(spark, sf_dir):
+    return _listed(_outliers(spark, sf_dir, method="dbscan"))
+
+
+def locus_mode_eps(spark, sf_dir):
+    large = outliers.large_loci(bridge.matrix(spark, sf_dir), 0)
+    return large.select("ord", outliers.mode_of(F.col("lengths")).alias("mode_length"), outliers.reach_of(F.col("lengths")).alias("eps"))
+
+
+def minsize_filter(spark, sf_dir):
+    return outliers.large_loci(bridge.matrix(spark, sf_dir), 20).select(*LOCUS, F.array_max("lengths").alias("longest"))
+
+
+def count_outliers(spark, sf_dir):
+    return outliers.count_outliers(_outliers(spark, sf_dir))
+
+
+def count_outliers_groups(spark, sf_dir):
+    return outliers.count_outliers(_outliers(spark, sf_dir), bridge.metadata(spark, sf_dir)).withColumnRenamed("group", "grp")
+
+
+def multiple_hits(spark, sf_dir):
+    return _listed(outliers.multiple_hits(_outliers(spark, sf_dir, zscore=1.5), [f"s{k:02d}" for k in range(0, 20, 2)], 2, 2))
+
+
+def _windowed(spark, sf_dir) -> DataFrame:
+    r = bridge.reads(spark, sf_dir)
+    return r.withColumn("w_begin", F.col("k") * 50 + 9990).withColumn("w_end", F.col("k") * 50 + 10020 + F.col("k") % 30)
+
+
+def cigar_call(spark, sf_dir):
+    r = _windowed(spark, sf_dir)
+    is_2d = cigar.accidental_2d(F.col("sa"), F.col("is_reverse"), F.col("ref_start"), F.col("ref_end"))
+    r = r.withColumn("c", cigar.repeat_call(F.col("cigar"), F.col("ref_start"), F.col("w_begin"), F.col("w_end"), 5, is_2d))
+    return r.select("read_id", F.col("c.len").alias("call_len"), F.col("c.is_clip").alias("is_clip"))
+
+
+def cigar_ref_len(spark, sf_dir):
+    return bridge.reads(spark, sf_dir).select("read_id", cigar.reference_length(F.col("cigar")).alias("ref_len"), (F.col("ref_start") + cigar.reference_length(F.col("cigar"))).alias("ref_end"))
+
+
+def accidental_2d(spark, sf_dir):
+    r = bridge.reads(spark, sf_dir)
+    return r.select("read_id", cigar.accidental_2d(F.col("sa"), F.col("is_reverse"), F.col("ref_start"), F.col("ref_end")).alias("is_2d"))
+
+
+def genotype_phased(spark, sf_dir):
+    return genotype.genotypes(bridge.reads(spark, sf_dir), bridge.loci(spark))
+
+
+def genotype_unphased(spark, sf_dir):
+    return genotype.genotypes(bridge.reads(spark, sf_dir), bridge.loci(spark), unphased=True)
+
+
+def _moded(mode: str):
+    def query(spark, sf_dir):
+        p = cohort.pairs(bridge.matrix(spark, sf_dir), HEADER)
+        return p.select("ord", "sample", association.str_mode(F.col("h1"), F.col("h2"), mode).alias("length"))
+
+    return query
+
+
+def _calls(spark, sf_dir, mode: str = "MAX") -> DataFrame:
+    p = cohort.pairs(bridge.matrix(spark, sf_dir), HEADER)
+    c = p.select(*LOCUS, "sample", association.str_mode(F.col("h1"), F.col("h2"), mode).alias("length"))
+    return association.with_phenotype(c, bridge.metadata(spark, sf_dir).select("sample", "group", "balance"))
+
+
+def _cases(spark, sf_dir) -> DataFrame:
+    return association.two_groups(_calls(spark, sf_dir), "group", ["CON", "PAT"])
+
+
+def phenotype_join(spark, sf_dir):
+    return _calls(spark, sf_dir).select("ord", "sample", "length", F.col("group").alias("grp"))
+
+
+def variant_qc(spark, sf_dir):
+    return association.qualified(_calls(spark, sf_dir), 0.9)
+
+
+def _regions_right(spark, sf_dir) -> DataFrame:
+    return bridge.regions(spark, sf_dir).select(F.col("chrom").alias("r_chrom"), F.col("begin").alias("r_begin"), F.col("end").alias("r_end"))
+
+
+def bed_intersect(spark, sf_dir):
+    m = bridge.matrix(spark, sf_dir).withColumn("begin", F.col("locus_begin")).withColumn("end", F.col("locus_end"))
+    return intervals.overlap_semi(m, _regions_right(spark, sf_dir)).select(*LOCUS)
+
+
+def chr_interval(spark, sf_dir):
+    m = bridge.matrix(spark, sf_dir)
+    return m.where((F.col("chrom") == "chr3") & intervals.contains(F.lit(10100), F.lit(13500), F.col("locus_begin"), F.col("locus_end"))).select(*LOCUS)
+
+
+def chromosome(spark, sf_dir):
+    return bridge.matrix(spark, sf_dir).where(F.col("chrom") == "chr3").select(*LOCUS)
+
+
+def single_variant(spark, sf_dir):
+    part = F.split(F.lit("chr3:10100-10112"), "[_:-]")
+    m = bridge.matrix(spark, sf_dir)
+    own = (F.col("chrom") == part[0]) & (F.col("locus_begin") == part[1].cast("long")) & (F.col("locus_end") == part[2].cast("long"))
+    return m.where(own).select(*LOCUS, association.variant_id().alias("variant_id"))
+
+
+def assoc_summary(spark, sf_dir):
+    return association.summary(association.keep_qualified(_cases(spark, sf_dir), 0.6))
+
+
+def assoc_expanded_or(spark, sf_dir):
+    return association.expanded_odds(_cases(spark, sf_dir), 23.0)
+
+
+def assoc_linear_beta(spark, sf_dir):
+    out = association.linear(_calls(spark, sf_dir), "balance")
+    return out.select(*LOCUS, "n", F.round("slope", 6).alias("slope"), F.round("se", 6).alias("se"))
+
+
+def assoc_linear_expanded(spark, sf_dir):
+    c = _calls(spark, sf_dir).withColumn("expanded", (F.col("length") >= 23).cast("double"))
+    out = association.linear(c, "balance", "expanded")
+    return out.select(*LOCUS, "n", F.round("slope", 6).alias("slope"), F.round("se", 6).alias("se"))
+
+
+def assoc_logistic(spark, sf_dir):
+    return association.fitted(association.keep_qualified(_cases(spark, sf_dir), 0.6), "label")
+
+
+def assoc_logistic_covariate(spark, sf_dir):
+    return association.fitted(association.keep_qualified(_cases(spark, sf_dir), 0.6).withColumn("balance", F.col("balance") / 1000), "label", ["balance"])
+
+
+def assoc_linear_covariate(spark, sf_dir):
+    return association.fitted(association.keep_qualified(_cases(spark, sf_dir), 0.6), "balance", ["label"], "gaussian")
+
+
+def natural_sort(spark, sf_dir):
+    from pyspark.sql import Window
+
+    order = Window.orderBy(values.natural_key(F.col("chrom")), "begin", "end")
+    return bridge.loci(spark).select(F.row_number().over(order).alias("place"), "chrom", F.col("begin").alias("locus_begin"), F.col("end").alias("locus_end"))
+
+
+QUERIES = {f.__name__: f for f in (
+    region_parse, interval_validate, interval_overlap_query, query_single_sorted, query_multi_pivot, containment_first_match, histogram_100, group_histogram, metadata_filter,
+    combine_keyed, combine_positional, unpivot_haplotypes, deinterleave_h1_h2, outlier_zscore, outlier_zscore_subset, outlier_dbscan, locus_mode_eps, minsize_filter,
+    count_outliers, count_outliers_groups, multiple_hits, cigar_call, cigar_ref_len, accidental_2d, genotype_phased, genotype_unphased, phenotype_join, variant_qc,
+    bed_intersect, chr_interval, chromosome, single_variant, assoc_summary, assoc_expanded_or, assoc_linear_beta, assoc_linear_expanded, assoc_logistic, assoc_logistic_covariate, assoc_linear_covariate, natural_sort,
+)}
+QUERIES |= {f"str_mode_{m.lower()}": _moded(m) for m in ("MEAN", "MAX", "MIN", "SUM")}
+
+
+def _with(*names: str, body: str) -> str:
+    return "WITH " + ", ".join(bridge.SQL[n] for n in names) + body
+
+
+_GRID = ("calls", "grid")
+_Z = """, v AS (SELECT *, coalesce(length, 0) AS x FROM grid), m AS (SELECT *, max(x) OVER w AS top, avg(x) OVER w AS mean, stddev_pop(x) OVER w AS sd FROM v WINDOW w AS (PARTITION BY ord)),
+o AS (SELECT * FROM m WHERE top >= 10 AND sd > 0 AND (x - mean) / sd >= {z})"""
+_LIST = " SELECT ord, chrom, locus_begin, locus_end, string_agg(sample, ',' ORDER BY col_idx) AS outliers FROM {t} GROUP BY 1, 2, 3, 4"
+_PAIR = """, p AS (SELECT ord, chrom, locus_begin, locus_end, sample, max(CASE WHEN hap = 1 THEN length END) AS h1, max(CASE WHEN hap = 2 THEN length END) AS h2 FROM grid GROUP BY ALL)"""
+_MAXED = _PAIR + """, c AS (SELECT p.ord, chrom, locus_begin, locus_end, p.sample, greatest(h1, h2) AS length, grp, balance FROM p LEFT JOIN metadata USING (sample)),
+g AS (SELECT *, CASE grp WHEN 'PAT' THEN 1 ELSE 0 END AS label FROM c WHERE grp IN ('PAT', 'CON')),
+q AS (SELECT ord FROM g GROUP BY ord HAVING count(length) > 0 AND count(length) / count(*) >= 0.6 AND count(DISTINCT length) > 1)"""
+_SHOWN = "CASE WHEN {0} IS NULL THEN 'NaN' WHEN {0} = floor({0}) THEN {0}::BIGINT::VARCHAR ELSE {0}::VARCHAR END"
+_FIRST = "(SELECT min(ord) FROM grid WHERE chrom = 'chr1' AND 9000 <= locus_begin AND locus_end <= 10200)"
+_MATCH = ", k AS (SELECT interval_ord, g.* FROM regions r JOIN grid g ON r.chrom = g.chrom AND greatest(b, locus_begin) < least(e, locus_end))"
+_BUCKET = ", h AS (SELECT *, CASE WHEN hi = lo THEN 1 ELSE least(100, floor((length - lo) / ((hi - lo) / 100)) + 1) END::INT AS bucket FROM r)"
+_FILES = """, t AS (SELECT ord, chrom, locus_begin, locus_end, string_agg(""" + _SHOWN.format("length") + """, chr(9) ORDER BY col_idx) AS cells FROM grid WHERE col_idx < 6 GROUP BY ALL) SELECT * FROM t"""
+_CALL = """, w AS (SELECT r.*, 9990 + 50 * k AS wb, 10020 + 50 * k + k % 30 AS we, str_split(sa, ';') AS s FROM reads r),
+d AS (SELECT *, coalesce(len(s) = 2 AND (str_split(s[1], ',')[3] = '-') <> is_reverse AND greatest(ref_start, str_split(s[1], ',')[2]::BIGINT) < least(ref_end, str_split(s[1], ',')[2]::BIGINT + 34), false) AS is_2d FROM w),
+f AS (SELECT *, ref_start + 1 + regexp_extract(cigar, '^([0-9]+)M', 1)::BIGINT AS at FROM d),
+z AS (SELECT *, n > 5 AND wb < at AND at < we AND NOT (op = 'S' AND is_2d) AS counts FROM f),
+rc AS (SELECT *, CASE WHEN NOT counts THEN 0 WHEN op = 'D' THEN -n ELSE n END::BIGINT AS call_len, counts AND op = 'S' AS is_clip FROM z)"""
+_CALL = _CALL.replace(" AS at ", " AS pos ").replace("wb < at AND at < we", "wb < pos AND pos < we")
+_MEDIAN = """, n AS (SELECT *, count(*) OVER (PARTITION BY k, hap) AS reads, count(*) FILTER (NOT is_clip) OVER (PARTITION BY k, hap) AS spans,
+  row_number() OVER (PARTITION BY k, hap, is_clip ORDER BY call_len DESC) AS rn FROM h),
+md AS (SELECT k, hap, median(call_len)::DOUBLE AS length FROM n WHERE reads >= 3 AND (NOT is_clip OR rn <= 3 - spans) GROUP BY k, hap)
+SELECT l.ord, l.chrom, l.locus_begin, l.locus_end, max(CASE WHEN hap = 1 THEN length END) AS h1, max(CASE WHEN hap = 2 THEN length END) AS h2 FROM loci l LEFT JOIN md ON md.k = l.ord GROUP BY 1, 2, 3, 4"""
+_LM = """ SELECT ord, chrom, locus_begin, locus_end, count(*)::BIGINT AS n, round(regr_slope(balance, x), 6) AS slope,
+  round(sqrt(greatest((1 - regr_r2(balance, x)) * regr_syy(balance, x), 0) / nullif(regr_sxx(balance, x), 0) / nullif(greatest(count(*) - 2, 0), 0)), 6) AS se
+FROM (SELECT *, {x} AS x FROM c) WHERE x IS NOT NULL AND balance IS NOT NULL GROUP BY 1, 2, 3, 4"""
+
+
+def _sided(name: str, k: int) -> str:
+    own = f"CASE WHEN label = {k} THEN length END"
+    return f"count({own})::BIGINT AS n{k}, round(avg({own}), 3) AS avg{k}, round(min({own}), 3) AS min{k}, round(max({own}), 3) AS max{k}"
+
+
+ORACLE_SQL = {
+    "region_parse": _with("regions", body="""
+, t AS (SELECT *, CASE WHEN interval_ord % 7 = 3 THEN chrom || '-' || b ELSE chrom || ':' || format('{:,}', b) || '-' || format('{:,}', e) END AS region FROM regions)
+SELECT interval_ord, region, CASE WHEN ok THEN chrom END AS chrom, CASE WHEN ok THEN b ELSE -1 END AS region_begin, CASE WHEN ok THEN e ELSE -1 END AS region_end FROM (SELECT *, interval_ord % 7 <> 3 AND b < e AS ok FROM t)"""),
+    "interval_validate": _with("regions", body=" SELECT interval_ord, chrom, b AS region_begin, e AS region_end FROM regions"),
+    "interval_overlap_query": _with(*_GRID, "regions", body=_MATCH + " SELECT DISTINCT interval_ord, ord, chrom, locus_begin, locus_end FROM k"),
+    "query_single_sorted": _with(*_GRID, "regions", body=_MATCH + """, f AS (SELECT * FROM k WHERE (interval_ord, ord) = (SELECT (interval_ord, ord) FROM k ORDER BY interval_ord, ord LIMIT 1))
+SELECT row_number() OVER (ORDER BY length DESC NULLS LAST, col)::INT AS rank, col AS "column", length FROM f"""),
+    "query_multi_pivot": _with(*_GRID, "regions", body=_MATCH + f""" SELECT col_idx, col, string_agg(chrom || ':' || locus_begin || '-' || locus_end, chr(9) ORDER BY interval_ord, ord) AS matches,
+string_agg({_SHOWN.format("length")}, chr(9) ORDER BY interval_ord, ord) AS lengths FROM k GROUP BY 1, 2"""),
+    "containment_first_match": _with(*_GRID, body=f" SELECT DISTINCT ord, chrom, locus_begin, locus_end FROM grid WHERE ord = {_FIRST}"),
+    "histogram_100": _with(*_GRID, body=f", r AS (SELECT *, min(length) OVER () AS lo, max(length) OVER () AS hi FROM grid WHERE length IS NOT NULL AND ord = {_FIRST})" + _BUCKET + """
+SELECT bucket, lo + (bucket - 1) * ((hi - lo) / 100) AS bucket_low, lo + bucket * ((hi - lo) / 100) AS bucket_high, count(*)::BIGINT AS n FROM h GROUP BY bucket, lo, hi"""),
+    "group_histogram": _with(*_GRID, "metadata", body=f", r AS (SELECT *, min(length) OVER () AS lo, max(length) OVER () AS hi FROM grid JOIN metadata USING (sample) WHERE grp IN ('PAT', 'CON') AND length IS NOT NULL AND ord = {_FIRST})" + _BUCKET + """
+SELECT grp, bucket, lo + (bucket - 1) * ((hi - lo) / 100) AS bucket_low, lo + bucket * ((hi - lo) / 100) AS bucket_high, count(*)::BIGINT AS n FROM h GROUP BY grp, bucket, lo, hi"""),
+    "metadata_filter": _with("metadata", body=" SELECT sample, grp FROM metadata WHERE grp IN ('PAT', 'CON')"),
+    "combine_keyed": _with(*_GRID, body=_FILES),
+    "combine_positional": _with(*_GRID, body=_FILES),
+    "unpivot_haplotypes": _with(*_GRID, body=" SELECT ord, col_idx, col, sample, length FROM grid"),
+    "deinterleave_h1_h2": _with(*_GRID, body=_PAIR + " SELECT ord, sample, h1, h2 FROM p"),
+    "outlier_zscore": _with(*_GRID, body=_Z.format(z=3) + _LIST.format(t="o")),
+    "outlier_zscore_subset": _with(*_GRID, body=_Z.format(z=3) + _LIST.format(t="o") + " HAVING bool_or(sample IN ('s01', 's04', 's07'))"),
+    "outlier_dbscan": _with(*_GRID, body=""", v AS (SELECT *, coalesce(length, 0) AS x, max(coalesce(length, 0)) OVER (PARTITION BY ord) AS top FROM grid),
+cnt AS (SELECT ord, trunc(x)::BIGINT AS m, count(*) AS n FROM v WHERE x > 0 GROUP BY 1, 2), md AS (SELECT ord, first(m ORDER BY n DESC, m) AS m FROM cnt GROUP BY ord),
+e AS (SELECT v.*, greatest(coalesce(2 * m, 10), 10) AS eps FROM v LEFT JOIN md USING (ord) WHERE top >= 10),
+core AS (SELECT a.ord, a.col_idx, a.x FROM e a JOIN e b ON a.ord = b.ord AND abs(a.x - b.x) <= a.eps GROUP BY 1, 2, 3 HAVING count(*) >= 5),
+o AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM core c WHERE c.ord = e.ord AND abs(c.x - e.x) <= e.eps))""" + _LIST.format(t="o")),
+    "locus_mode_eps": _with(*_GRID, body=""", cnt AS (SELECT ord, trunc(length)::BIGINT AS m, count(*) AS n FROM grid WHERE length > 0 GROUP BY 1, 2), md AS (SELECT ord, first(m ORDER BY n DESC, m) AS m FROM cnt GROUP BY ord),
+l AS (SELECT ord FROM grid GROUP BY ord HAVING max(coalesce(length, 0)) >= 0) SELECT ord, m AS mode_length, greatest(coalesce(2 * m, 10), 10)::DOUBLE AS eps FROM l LEFT JOIN md USING (ord)"""),
+    "minsize_filter": _with(*_GRID, body=" SELECT ord, chrom, locus_begin, locus_end, max(coalesce(length, 0)) AS longest FROM grid GROUP BY 1, 2, 3, 4 HAVING max(coalesce(length, 0)) >= 20"),
+    "count_outliers": _with(*_GRID, body=_Z.format(z=3) + """, i AS (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY col_idx) - 1 AS place FROM o)
+SELECT sample, count(*)::BIGINT AS n, min((ord, place)).ord AS first_ord, min((ord, place)).place::INT AS first_place FROM (SELECT sample, ord, place FROM i) GROUP BY sample""".replace("min((ord, place)).ord", "min(ord)").replace("min((ord, place)).place::INT", "first(place ORDER BY ord, place)::INT")),
+    "count_outliers_groups": _with(*_GRID, "metadata", body=_Z.format(z=3) + """, i AS (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY col_idx) - 1 AS place FROM o)
+SELECT i.sample, count(*)::BIGINT AS n, min(ord) AS first_ord, first(place ORDER BY ord, place)::INT AS first_place, any_value(grp) AS grp FROM i LEFT JOIN metadata m ON m.sample = i.sample GROUP BY i.sample"""),
+    "multiple_hits": _with(*_GRID, body=_Z.format(z=1.5) + """ SELECT ord, chrom, locus_begin, locus_end, string_agg(sample, ',' ORDER BY col_idx) AS outliers, count(*) FILTER (substr(sample, 2)::INT % 2 = 0)::INT AS hits
+FROM o GROUP BY 1, 2, 3, 4 HAVING count(*) FILTER (substr(sample, 2)::INT % 2 = 0) >= 2 AND count(*) FILTER (substr(sample, 2)::INT % 2 = 1) <= 2"""),
+    "cigar_call": _with("reads", body=_CALL + " SELECT read_id, call_len, is_clip FROM rc"),
+    "cigar_ref_len": _with("reads", body=" SELECT read_id, ref_end - ref_start AS ref_len, ref_end FROM reads"),
+    "accidental_2d": _with("reads", body=_CALL + " SELECT read_id, is_2d FROM rc"),
+    "genotype_phased": _with("loci", "reads", body=_CALL + ", h AS (SELECT k, hp AS hap, call_len, is_clip FROM rc WHERE mapq > 10 AND hp IS NOT NULL AND NOT (wb < ref_start AND ref_end < we) AND ref_start < we AND wb < ref_end)" + _MEDIAN),
+    "genotype_unphased": _with("loci", "reads", body=_CALL + """, u AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY call_len, is_clip, read_id) AS r, count(*) OVER (PARTITION BY k) AS total FROM rc WHERE mapq > 10 AND ref_start <= wb AND we <= ref_end),
+h AS (SELECT k, CASE WHEN r <= total // 2 THEN 1 ELSE 2 END AS hap, call_len, is_clip FROM u)""" + _MEDIAN),
+    "phenotype_join": _with(*_GRID, "metadata", body=_MAXED + " SELECT ord, sample, length, grp FROM c"),
+    "variant_qc": _with(*_GRID, "metadata", body=_MAXED + """ SELECT ord, chrom, locus_begin, locus_end, count(*)::BIGINT AS samples, count(length)::BIGINT AS called, count(DISTINCT length)::BIGINT AS different
+FROM c GROUP BY 1, 2, 3, 4 HAVING count(length) > 0 AND count(length) / count(*) >= 0.9 AND count(DISTINCT length) > 1"""),
+    "bed_intersect": _with(*_GRID, "regions", body=_MATCH + " SELECT DISTINCT ord, chrom, locus_begin, locus_end FROM k"),
+    "chr_interval": _with(*_GRID, body=" SELECT DISTINCT ord, chrom, locus_begin, locus_end FROM grid WHERE chrom = 'chr3' AND locus_begin >= 10100 AND locus_end <= 13500"),
+    "chromosome": _with(*_GRID, body=" SELECT DISTINCT ord, chrom, locus_begin, locus_end FROM grid WHERE chrom = 'chr3'"),
+    "single_variant": _with(*_GRID, body=" SELECT DISTINCT ord, chrom, locus_begin, locus_end, chrom || ':' || locus_begin || '_' || locus_end AS variant_id FROM grid WHERE chrom = 'chr3' AND locus_begin = 10100 AND locus_end = 10112"),
+    "assoc_summary": _with(*_GRID, "metadata", body=_MAXED + f""", s AS (SELECT ord, chrom, locus_begin, locus_end, {_sided("", 0)}, {_sided("", 1)}, round(avg(length), 3) AS avg_size, round(min(length), 3) AS min_size, round(max(length), 3) AS max_size,
+  round(max(length) - min(length), 3) AS size_range FROM g WHERE ord IN (SELECT ord FROM q) GROUP BY 1, 2, 3, 4) SELECT *, round(abs(avg0 - avg1), 3) AS abs_diff FROM s"""),
+    "assoc_expanded_or": _with(*_GRID, "metadata", body=_MAXED + """, t AS (SELECT ord, chrom, locus_begin, locus_end, count(*) FILTER (length >= 23 AND label = 1)::DOUBLE AS a, count(*) FILTER (length >= 23 AND label = 0)::DOUBLE AS b,
+  count(*) FILTER (length < 23 AND label = 1)::DOUBLE AS c, count(*) FILTER (length < 23 AND label = 0)::DOUBLE AS d FROM g WHERE length IS NOT NULL GROUP BY 1, 2, 3, 4),
+e AS (SELECT *, CASE WHEN least(a, b, c, d) > 0 THEN ln((a * d) / (b * c)) END AS beta, CASE WHEN least(a, b, c, d) > 0 THEN sqrt(1 / a + 1 / b + 1 / c + 1 / d) END AS se FROM t)
+SELECT *, exp(beta) AS odds_ratio, exp(beta - 1.959963984540054::DOUBLE * se) AS ci_low, exp(beta + 1.959963984540054::DOUBLE * se) AS ci_high FROM e"""),
+    "assoc_linear_beta": _with(*_GRID, "metadata", body=_MAXED + _LM.format(x="length")),
+    "assoc_linear_expanded": _with(*_GRID, "metadata", body=_MAXED + _LM.format(x="CASE WHEN length >= 23 THEN 1.0 WHEN length IS NOT NULL THEN 0.0 END::DOUBLE")),
+    "natural_sort": _with("loci", body=" SELECT row_number() OVER (ORDER BY substr(chrom, 4)::INT, locus_begin, locus_end)::INT AS place, chrom, locus_begin, locus_end FROM loci"),
+    "str_mode_mean": _with(*_GRID, body=_PAIR + " SELECT ord, sample, (greatest(h1, h2) + least(h1, h2)) / 2 AS length FROM p"),
+    "str_mode_max": _with(*_GRID, body=_PAIR + " SELECT ord, sample, greatest(h1, h2) AS length FROM p"),
+    "str_mode_min": _with(*_GRID, body=_PAIR + " SELECT ord, sample, least(h1, h2) AS length FROM p"),
+    "str_mode_sum": _with(*_GRID, body=_PAIR + " SELECT ord, sample, h1 + h2 AS length FROM p"),
+}
