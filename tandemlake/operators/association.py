@@ -12,6 +12,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType
 
 from tandemlake.functions import stats
 
@@ -76,12 +77,12 @@ def expanded_odds(calls: DataFrame, cutoff: float) -> DataFrame:
     return c.withColumn("ci_low", F.exp(F.col("beta") - stats.Z975 * F.col("se"))).withColumn("ci_high", F.exp(F.col("beta") + stats.Z975 * F.col("se")))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_pvalue(z: pd.Series) -> pd.Series:
     return z.map(lambda x: None if pd.isna(x) else stats.normal_p(x))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def student_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) or pd.isna(b) or b < 1 else stats.student_p(a, b) for a, b in zip(t, df)], dtype="float64")
 
