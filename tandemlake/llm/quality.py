@@ -108,7 +108,7 @@ def train(table: pa.Table) -> Model:
     mean, spread = feature.mean(axis=0), feature.std(axis=0) + 1e-6
     mean[-1], spread[-1] = 0, 1
     feature = _scaled(mean, spread, feature)
-    half = np.arange(len(many)) % 2 == 0
+    half = np.random.default_rng(1).permutation(len(many)) % 2 == 0
     of_line = np.repeat(half, many)
     part = lambda h: np.r_[0, np.cumsum(many[h])]
     chain = fit(feature[of_line], np.repeat(label[half], many[half]), part(half))

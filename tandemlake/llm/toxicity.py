@@ -27,7 +27,9 @@ STEMS = (4, 5)
 #: Evidence (log odds) from which a word of a toxic document is labelled toxic.
 LABELLED = 1.0
 #: Labelled documents learnt from, of either label; words of one stretch that the chain is trained on.
-PER_CLASS, STRETCH = 2500, 256
+PER_CLASS, STRETCH = 2000, 256
+#: Words that the chain is trained on, about.
+CHAIN_WORDS = 400_000
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 
@@ -89,21 +91,27 @@ def train(table: pa.Table, all_of: tuple[int, int] | None = None) -> Model:
     for i, j, data, bounds in tv.steps(table.column("text")):
         _, _, first, cells = _cells(data, bounds)
         per += [[c[first[r] : first[r + 1]] for c in cells] for r in range(j - i)]
-    half = np.arange(len(per)) % 2
+    half = np.random.default_rng(1).permutation(len(per)) % 2
     odds = [_odds([per[i] for i in np.flatnonzero(half == h)], label[half == h]) for h in (0, 1)]
-    f, y = [], []
-    for h in (0, 1):
-        for i in np.flatnonzero(half == h):
-            f.append(_features(odds[1 - h], per[i]))
-            y.append((f[-1][:, -1] > 0) & (label[i] == 1))
-    order = np.concatenate([np.flatnonzero(half == h) for h in (0, 1)])
-    first = np.r_[0, np.cumsum([len(x) for x in f])].astype(np.int64)
-    feature = np.concatenate(f) if f else np.zeros((0, 3 + len(STEMS)))
-    short = np.unique(np.r_[first, np.arange(0, first[-1], STRETCH)])
-    chain = fit(feature, np.concatenate(y) if y else np.zeros(0), short, rounds=60) if len(feature) else Chain(np.zeros(3 + len(STEMS)), np.zeros(4))
-    word = np.concatenate([per[i][0] for i in order]) if len(order) else np.zeros(0, np.int32)
-    columns = _of_documents(marginals(feature, first, chain), first, word)
-    document = logistic(columns, label[order].astype(float)) if len(order) else np.zeros(4)
+    order = np.random.default_rng(2).permutation(len(per))  # either half and either label early
+    size = np.array([len(per[i][0]) for i in order], np.int64)
+
+    def features(some: np.ndarray) -> np.ndarray:
+        return np.concatenate([_features(odds[1 - half[i]], per[i]) for i in some])
+
+    taught = order[: max(1, int(np.searchsorted(np.cumsum(size), CHAIN_WORDS, "right")))]
+    chain = Chain(np.zeros(3 + len(STEMS)), np.zeros(4))
+    if len(taught) and (feature := features(taught)).size:
+        word_label = np.repeat(label[taught] == 1, size[: len(taught)]) & (feature[:, -1] > 0)
+        first = np.r_[0, np.cumsum(size[: len(taught)])]
+        chain = fit(feature, word_label, np.unique(np.r_[first, np.arange(0, first[-1], STRETCH)]), rounds=60)
+        del feature
+    columns = [np.zeros((0, 3))]
+    for k in range(0, len(order), 200):
+        some = order[k : k + 200]
+        first = np.r_[0, np.cumsum(size[k : k + 200])]
+        columns.append(_of_documents(marginals(features(some), first, chain), first, np.concatenate([per[i][0] for i in some])))
+    document = logistic(np.concatenate(columns), label[order].astype(float)) if len(order) else np.zeros(4)
     n1, n0 = int(label.sum()), int((1 - label).sum())
     if all_of and min(*all_of, n1, n0) > 0:
         document[-1] += np.log(all_of[1] / all_of[0]) - np.log(n1 / n0)
