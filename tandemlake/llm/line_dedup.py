@@ -20,43 +20,227 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import textvec as tv
-from .ngram_join import BATCH_TOKENS, HEAVY_SHARE, _unpack, frequent, links_of, need, shared_tokens, sketch_of, token_sets
+from .ngram_join import HEAVY_SHARE, _pack, _unpack, code_of, frequent, links_of, need, sketch_of, token_sets
 from .scratch import Scratch
 
+U64 = np.uint64
+#: Tokens of one batch; bytes of text that one range stands for.
+TOKENS, BYTES = 1_000_000, 36_000_000
+#: The frequency code of tokens that are too common anywhere to be dealt out by range.
+COMMON = 255
+_PLACE = np.dtype([("has", "u1"), ("id", "<i8"), ("digest", "<i8"), ("line", "<i4")])
 #: How often classes are held against a head before the full search.
-ROUNDS = 3
+ROUNDS = 2
 
 
-def _meta(width: int, share: float):
-    """Rows of lines (kind 0: id, digest, line, fp, n) and of locally frequent tokens (kind 1: id the token, n)."""
+def _parts(raw: np.ndarray, *shapes) -> list[np.ndarray]:
+    """Arrays that lie one after the other; shapes: (dtype, length)."""
+    out, at = [], 0
+    for dtype, n in shapes:
+        size = np.dtype(dtype).itemsize * n
+        out.append(raw[at : at + size].copy().view(dtype))
+        at += size
+    return [*out, raw[at:]]
+
+
+def _runs(fp: np.ndarray, count: np.ndarray, tok: np.ndarray, common: np.ndarray, code: np.ndarray | None = None) -> bytes:
+    """Sets with their tokens (and codes), after the tokens that the batch found common."""
+    wide = "<u1" if count.max(initial=0) < 256 else "<u4"
+    head = np.array([len(fp), len(common), int(wide[-1]), len(tok)], "<u4")
+    return b"".join((head.tobytes(), fp.astype("<u8").tobytes(), count.astype(wide).tobytes(), _pack(common), _pack(tok), b"" if code is None else code.astype("u1").tobytes()))
+
+
+def _unruns(raw) -> tuple[np.ndarray, ...]:
+    raw = np.frombuffer(raw, np.uint8)
+    m, h, wide, total = raw[:16].view("<u4").tolist()
+    fp, count, common, tok, code = _parts(raw[16:], ("<u8", m), (f"<u{wide}", m), ("u1", 6 * h), ("u1", 6 * total))
+    return fp, count.astype(np.int64), _unpack(common), _unpack(tok), code
+
+
+def _by_place(fp: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, new, first): rows by set, then place; a row that isn't the same line again; a set's first."""
+    order = np.lexsort((place["line"], place["digest"], place["id"], place["has"], fp))
+    f, p = fp[order], place[order]
+    first = np.r_[True, f[1:] != f[:-1]] if len(f) else np.zeros(0, bool)
+    new = np.r_[True, (p[1:] != p[:-1]) | first[1:]] if len(f) else np.zeros(0, bool)
+    return order, new, first
+
+
+def _deal(width: int, ranges: int, share: float):
+    """Blobs of a batch's different lines: tokens by range; sizes, places and common tokens by set; lines that go by id.
+
+    Keys: below `ranges` token ranges, then as many groups of sets, then as many
+    of lines that an equal line of the batch comes before.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, sets = [], 0
-        names = ["kind", "id", "digest", "line", "fp", "n"]
+        held: list[tuple] = []
 
-        def heavy():
-            tok, n = frequent(held, share, sets)
-            m = len(tok)
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int8)), pa.array(tok), *(pa.nulls(m, t) for t in (pa.int64(), pa.int32(), pa.int64())), pa.array(n)], names)
+        def flush():
+            tok, n, fp, place = (np.concatenate([h[k] for h in held]) for k in range(4))
+            held.clear()
+            common = np.sort(frequent([tok], share, len(fp))[0].view(U64))
+            at = np.r_[0, np.cumsum(n)]
+            some = np.flatnonzero(n)
+            order, new, first = _by_place(fp[some], place[some])
+            order = some[order]
+            one, later = order[first], order[new & ~first]
+            row = np.repeat(np.arange(len(one)), n[one])
+            tok = tok[np.repeat(at[one] - np.r_[0, np.cumsum(n[one])[:-1]], n[one]) + np.arange(len(row))] if len(one) else tok[:0]
+            fp1, n1, place1 = fp[one], n[one], place[one]
+            spot = np.minimum(np.searchsorted(common, tok), max(len(common) - 1, 0))
+            is_common = common[spot] == tok if len(common) else np.zeros(len(tok), bool)
+            keys, blobs = [], []
+            t, r = tok[~is_common], row[~is_common]
+            g = ((t >> U64(16)) * U64(ranges) >> U64(32)).astype(np.uint16 if ranges < 65536 else np.int64)
+            marked = ((common >> U64(16)) * U64(ranges) >> U64(32)).astype(np.int64)
+            order = np.argsort(g, kind="stable")
+            t, r, g = t[order], r[order], g[order]
+            start = np.searchsorted(g, np.arange(ranges + 1))
+            for k in range(ranges):
+                a, b = start[k], start[k + 1]
+                own = common[marked == k] if len(common) else common
+                if a == b and not len(own):
+                    continue
+                rr = r[a:b]
+                begin = np.flatnonzero(np.r_[True, rr[1:] != rr[:-1]]) if b > a else np.zeros(0, np.int64)
+                keys.append(k)
+                blobs.append(_runs(fp1[rr[begin]], np.diff(np.r_[begin, b - a]), t[a:b], own))
+            t, r = tok[is_common], row[is_common]
+            count = np.bincount(r, minlength=len(one))
+            first_of = np.r_[0, np.cumsum(count)]
+            group = (fp1 % U64(ranges)).astype(np.int64)
+            order = np.argsort(group, kind="stable")
+            edge = np.searchsorted(group[order], np.arange(ranges + 1))
+            for k in np.flatnonzero(np.diff(edge)).tolist():
+                own = order[edge[k] : edge[k + 1]]
+                pick = np.repeat(first_of[own] - np.r_[0, np.cumsum(count[own])[:-1]], count[own]) + np.arange(count[own].sum())
+                inner = _runs(fp1[own], count[own], t[pick], common[:0])
+                keys.append(ranges + k)
+                blobs.append(np.array([len(own)], "<u4").tobytes() + n1[own].astype("<u4").tobytes() + place1[own].tobytes() + inner)
+            group = tv.mix64(place["id"][later].view(U64)) % U64(ranges)
+            for k in np.unique(group).tolist():
+                own = later[group == k]
+                keys.append(2 * ranges + int(k))
+                blobs.append(fp[own].tobytes() + place[own].tobytes())
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["key", "blob"])
 
         for batch in batches:
+            has = pc.is_valid(batch.column(0)).to_numpy(zero_copy_only=False)
+            ids, digest = batch.column(0).fill_null(0).to_numpy(), batch.column(1).fill_null(0).to_numpy()
             for i, j, of_row, tok, at, fp in token_sets(batch.column(2), width, True):
                 many = np.diff(of_row)
                 row = np.repeat(np.arange(i, j), many)
-                line = (np.arange(len(row)) - np.repeat(of_row[:-1], many)).astype(np.int32)
-                n = np.diff(at)
-                some = np.flatnonzero(n)
-                take = pa.array(row[some])
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(some), np.int8)), batch.column(0).take(take), batch.column(1).take(take), pa.array(line[some]), pa.array(fp[some].view(np.int64)), pa.array(n[some])], names)
-                held.append(tok)
-                sets += len(fp)
-                if sum(map(len, held)) >= BATCH_TOKENS:
-                    yield heavy()
-                    held, sets = [], 0
-        yield heavy()
+                place = np.empty(len(row), _PLACE)
+                place["has"], place["id"], place["digest"] = has[row], ids[row], digest[row]
+                place["line"] = np.arange(len(row)) - np.repeat(of_row[:-1], many)
+                held.append((tok, np.diff(at), fp, place))
+                if sum(len(h[0]) for h in held) >= TOKENS:
+                    yield flush()
+        if held:
+            yield flush()
+
+    return run
+
+
+def _count(ranges: int):
+    """Of one token range: tokens of two sets or more, and all that are common in a batch, dealt out by set."""
+
+    def run(table: pa.Table) -> pa.Table:
+        key, blobs = table.column("key")[0].as_py(), table.column("blob")
+        if key >= ranges:
+            return pa.table({"key": pa.array(np.full(len(table), key - ranges, np.int32)), "blob": blobs})
+        fp, count, common, tok, _ = (np.concatenate(x) for x in zip(*(_unruns(b.as_buffer()) for b in blobs)))
+        sets, first = np.unique(fp, return_index=True)
+        one = np.zeros(len(fp), bool)
+        one[first] = True
+        owner = np.repeat(np.searchsorted(sets, fp).astype(np.int32), count)
+        keep = np.repeat(one, count)
+        if not keep.all():
+            tok, owner = tok[keep], owner[keep]
+        del fp, keep
+        order = np.argsort(tok)
+        tok, owner = tok[order], owner[order]
+        del order
+        start = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]]) if len(tok) else np.zeros(0, np.int64)
+        df = np.diff(np.r_[start, len(tok)])
+        code = np.minimum(code_of(df), COMMON - 1)
+        code[np.isin(tok[start], common)] = COMMON
+        keep = np.repeat((df > 1) | (code == COMMON), df)
+        code = np.repeat(code, df)[keep]
+        tok, fp = tok[keep], sets[owner[keep]]
+        group = (fp % U64(ranges)).astype(np.int32)
+        order = np.lexsort((tok, fp, group))
+        tok, fp, code, group = tok[order], fp[order], code[order], group[order]
+        edge = np.searchsorted(group, np.arange(ranges + 1))
+        keys, out = [], []
+        for k in np.flatnonzero(np.diff(edge)).tolist():
+            a, b = edge[k], edge[k + 1]
+            begin = np.flatnonzero(np.r_[True, fp[a + 1 : b] != fp[a : b - 1]])
+            inner = _runs(fp[a:b][begin], np.diff(np.r_[begin, b - a]), tok[a:b], tok[:0], code[a:b])
+            keys.append(k)
+            out.append(np.zeros(1, "<u4").tobytes() + inner)
+        return pa.table({"key": pa.array(keys, pa.int32()), "blob": pa.array(out, pa.binary())})
+
+    return run
+
+
+SETS = "kind tinyint, fp long, n int, alone int, tok binary, code binary, id long, digest long, line int"
+
+
+def _rows(kind: int, fp, n, alone, tok, code, place) -> pa.Table:
+    m = len(fp)
+    ids = pa.array(place["id"].astype(np.int64), mask=place["has"] == 0)
+    cols = [pa.array(np.full(m, kind, np.int8)), pa.array(fp.view(np.int64)), n, alone, tok, code, ids, pa.array(place["digest"].astype(np.int64)), pa.array(place["line"].astype(np.int32))]
+    return pa.table(cols, names=[x.split()[0] for x in SETS.split(", ")])
+
+
+def _gather(ranges: int, percent: int):
+    """Of one group of sets: those whose prefix holds a token of another (kind 0, at their first line), and all later equal lines (kind 1)."""
+
+    def gone(fp, place):
+        m = len(fp)
+        return _rows(1, fp, pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), place)
+
+    def run(table: pa.Table) -> pa.Table:
+        key, blobs = table.column("key")[0].as_py(), [np.frombuffer(b.as_buffer(), np.uint8) for b in table.column("blob")]
+        if key >= ranges:
+            both = [_parts(b, ("<u8", len(b) // (8 + _PLACE.itemsize)), (_PLACE, len(b) // (8 + _PLACE.itemsize))) for b in blobs]
+            return gone(np.concatenate([b[0] for b in both]), np.concatenate([b[1] for b in both]))
+        n, place, own, parts = [], [], [], []
+        for b in blobs:
+            m = int(b[:4].view("<u4")[0])
+            sizes, places, inner = _parts(b[4:], ("<u4", m), (_PLACE, m))
+            fp, count, _, tok, code = _unruns(inner.tobytes())
+            parts.append((np.repeat(fp, count), tok, code if len(code) else np.full(len(tok), COMMON, np.uint8)))
+            if m:
+                n.append(sizes)
+                place.append(places)
+                own.append(fp)
+        if not own:
+            return gone(np.zeros(0, U64), np.zeros(0, _PLACE))
+        n, place, own = np.concatenate(n).astype(np.int64), np.concatenate(place), np.concatenate(own)
+        order, new, first = _by_place(own, place)
+        later = order[new & ~first]
+        sets, size, at = own[order[first]], n[order[first]], place[order[first]]
+        fp, tok, code = (np.concatenate(x) for x in zip(*parts))
+        row = np.searchsorted(sets, fp)
+        order = np.lexsort((tok, code, row))
+        row, tok, code = row[order], tok[order], code[order]
+        fresh = np.r_[True, (row[1:] != row[:-1]) | (tok[1:] != tok[:-1])] if len(row) else np.zeros(0, bool)
+        row, tok, code = row[fresh], tok[fresh], code[fresh]
+        have = np.bincount(row, minlength=len(sets))
+        alone = size - have
+        pick = np.flatnonzero((alone < size - need(size, percent) + 1) & (have > 0))
+        edge = np.r_[0, np.cumsum(have)]
+        toks = pa.array([_pack(tok[edge[k] : edge[k + 1]]) for k in pick], pa.binary())
+        codes = pa.array([code[edge[k] : edge[k + 1]].tobytes() for k in pick], pa.binary())
+        out = _rows(0, sets[pick], pa.array(size[pick].astype(np.int32)), pa.array(alone[pick].astype(np.int32)), toks, codes, at[pick])
+        return pa.concat_tables([out, gone(own[later], place[later]).cast(out.schema)])
 
     return run
 
@@ -81,15 +265,16 @@ def _prefix(percent: int):
 def duplicate_lines(docs: DataFrame, width: int = 5, percent: int = 75, heavy_share: float = HEAVY_SHARE) -> DataFrame:
     """(id, digest, lines): for each document with lines to remove, their numbers (from 0), from (id, digest, text)."""
     scratch = Scratch(docs.sparkSession, "line_dedup")
-    meta = scratch.keep(docs.select("id", "digest", "text").mapInArrow(_meta(width, heavy_share), "kind tinyint, id long, digest long, line int, fp long, n long"))
-    line = meta.where("kind = 0")
-    total = line.agg(F.count("*").alias("lines"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
-    sets, _ = shared_tokens(docs.select("text"), meta, total.lines, total.tokens, width, percent, heavy_share, scratch, True)
-    first = scratch.keep(line.groupBy("fp").agg(F.min(F.struct("id", "digest", "line")).alias("at"), F.count("*").alias("copies")))
-    known = scratch.bucketed(sets.join(first.select("fp", "at"), "fp"), "fp", 12)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("size")).first().size
+    ranges = min(1 << 20, max(12, -(-size // BYTES)))
+    dealt = docs.select("id", "digest", "text").mapInArrow(_deal(width, ranges, heavy_share), "key int, blob binary")
+    by_set = dealt.groupBy("key").applyInArrow(_count(ranges), "key int, blob binary")
+    filed = scratch.bucketed(by_set.groupBy("key").applyInArrow(_gather(ranges, percent), SETS), "fp", min(max(8, ranges // 8), 4096), "kind")
+    known = filed.where("kind = 0").select("fp", "n", "alone", "tok", "code", F.struct("id", "digest", "line").alias("at"))
+    sets = known
 
     gone = None
-    sketch = scratch.keep(known.mapInArrow(sketch_of, "tok long, fp long").join(known.select("fp", "at"), "fp"))
+    sketch = scratch.keep(known.select("fp", "tok").mapInArrow(sketch_of, "tok long, fp long").join(known.select("fp", "at"), "fp"))
     for turn in range(ROUNDS):
         rows = sketch if gone is None else sketch.join(gone, "fp", "left_anti")
         least = F.struct("at", "fp") if turn == 0 else F.struct(F.xxhash64("fp", F.lit(turn)), "at", "fp")
@@ -110,10 +295,8 @@ def duplicate_lines(docs: DataFrame, width: int = 5, percent: int = 75, heavy_sh
     found = x.join(y, "tok").where((F.col("b_at") < F.col("at")) & (F.col("a") != F.col("b")) & length & position).select("a", "b").distinct()
     gone = gone.union(links_of(found, sets, percent).select(F.col("a").alias("fp"))).distinct()
 
-    # classes that go as a whole, or have copies: the others' lines all stay
-    state = first.join(gone.withColumn("gone", F.lit(True)), "fp", "left").where("gone or copies > 1")
-    place = F.struct("id", "digest", "line")
-    out = line.select("fp", "id", "digest", "line").join(state, "fp").where(F.col("gone").isNotNull() | ~place.eqNullSafe(F.col("at")))
+    whole = known.join(gone, "fp", "left_semi").select("at.id", "at.digest", "at.line")
+    out = filed.where("kind = 1").select("id", "digest", "line").union(whole)
     return out.groupBy("id", "digest").agg(F.collect_set("line").alias("lines"))
 
 

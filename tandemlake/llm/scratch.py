@@ -36,10 +36,11 @@ class Scratch:
         out._scratch_path = path
         return out
 
-    def bucketed(self, df: DataFrame, key: str, buckets: int) -> DataFrame:
-        """Write df in buckets of the key: joins on it move the other side only."""
+    def bucketed(self, df: DataFrame, key: str, buckets: int, *parts: str) -> DataFrame:
+        """Write df in buckets of the key, apart by `parts`: joins on the key move the other side only."""
         name = f"scratch_{uuid.uuid4().hex}"
-        df.write.bucketBy(buckets, key).sortBy(key).option("path", f"{self.root}/{name}").saveAsTable(name)
+        out = df.write.partitionBy(*parts) if parts else df.write
+        out.bucketBy(buckets, key).sortBy(key).option("path", f"{self.root}/{name}").saveAsTable(name)
         return self.spark.table(name)
 
     def drop(self, df: DataFrame) -> None:
