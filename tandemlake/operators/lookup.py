@@ -48,15 +48,15 @@ def bucket_of(value: Column, low: Column, high: Column, buckets: int) -> Column:
 def histogram(values: DataFrame, column: str = "length", buckets: int = 100, by: tuple[str, ...] = ()) -> DataFrame:
     """(*by, bucket, bucket_low, bucket_high, n) of the values that aren't missing, over one shared range.
 
-    The range is found by an aggregate and joined back; what is counted is
+    The range is two numbers that an aggregate finds first; what is counted is
     summed up before it is shuffled.
     """
     v = values.where(F.col(column).isNotNull())
-    span = v.agg(F.min(column).alias("low"), F.max(column).alias("high"))
-    v = v.join(F.broadcast(span))  # one row
-    width = (F.col("high") - F.col("low")) / buckets
-    n = v.groupBy(*by, bucket_of(F.col(column), F.col("low"), F.col("high"), buckets).alias("bucket"), "low", "high").agg(F.count("*").alias("n"))
-    return n.select(*by, "bucket", (F.col("low") + (F.col("bucket") - 1) * width).alias("bucket_low"), (F.col("low") + F.col("bucket") * width).alias("bucket_high"), "n")
+    span = v.agg(F.min(column).alias("low"), F.max(column).alias("high")).first()
+    low, high = F.lit(span.low).cast("double"), F.lit(span.high).cast("double")
+    width = (high - low) / buckets
+    n = v.groupBy(*by, bucket_of(F.col(column), low, high, buckets).alias("bucket")).agg(F.count("*").alias("n"))
+    return n.select(*by, "bucket", (low + (F.col("bucket") - 1) * width).alias("bucket_low"), (low + F.col("bucket") * width).alias("bucket_high"), "n")
 
 
 def locus_histogram(matrix: DataFrame, header: list[str], chrom: str, begin: int, end: int, buckets: int = 100) -> DataFrame:
