@@ -8,7 +8,7 @@ import sys
 from pyspark.sql import DataFrame, functions as F
 
 from tandemlake.functions.values import natural_key, shown
-from tandemlake.operators import association, cohort, genotype, intervals, lookup, outliers
+from tandemlake.operators import association, cohort, genotype, intervals, lookup, matrix_association, outliers
 from tandemlake.session import session
 from tandemlake.sources import alignments, tables
 
@@ -99,19 +99,11 @@ def associate(a, spark) -> None:
     if a.bed:
         bed = tables.read_bed(spark, a.bed).select(F.col("chrom").alias("r_chrom"), F.col("begin").alias("r_begin"), F.col("end").alias("r_end"))
         rows = intervals.overlap_semi(rows.withColumn("begin", F.col("locus_begin")).withColumn("end", F.col("locus_end")), bed)
-    lengths = association.str_mode(F.col("h1"), F.col("h2"), a.mode)
-    c = cohort.pairs(rows.select("ord", *tables.KEY, "lengths"), m.header).select("ord", *tables.KEY, "sample", lengths.alias("length"))
-    c = association.with_phenotype(c, tables.read_metadata(spark, a.phenotypes, a.phenotype).drop("ord"))
+    phenotypes = tables.read_metadata(spark, a.phenotypes, a.phenotype)
     covariates = a.covariates.split(",") if a.covariates else []
-    c = association.keep_qualified(c, a.missing_cutoff)
-    outcome, family = a.phenotype, "gaussian"
-    if a.binary_order:
-        c = association.keep_qualified(association.two_groups(c, a.phenotype, a.binary_order.split(",")), a.missing_cutoff)
-        outcome, family = "label", "binomial"
-    predictor = "length"
-    if a.expanded is not None:
-        c, predictor = c.withColumn("expanded", (F.col("length") >= a.expanded).cast("double")), "expanded"
-    out = association.by_pvalue(association.fitted(c, outcome, covariates, family, predictor))
+    order = a.binary_order.split(",") if a.binary_order else None
+    found = matrix_association.associate_matrix(rows.select("ord", *tables.KEY, "lengths"), m.header, phenotypes, a.phenotype, order, covariates, a.mode, a.missing_cutoff, a.expanded)
+    out = association.by_pvalue(found)
     _print(out.select(association.variant_id(a.expanded is not None), "n", "beta", "se", "effect", "ci_low", "ci_high", "pvalue"), ["VariantID", "N", "beta", "SE", "effect", "CI_low", "CI_high", "Pvalue"])
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tandemlake.functions import cigar, values
-from tandemlake.operators import association, cohort, genotype, intervals, lookup, outliers
+from tandemlake.operators import association, cohort, genotype, intervals, lookup, matrix_association, outliers
 from tandemlake.plans import bridge
 from tandemlake.plans.bridge import HEADER
 
@@ -236,6 +236,15 @@ def assoc_linear_covariate(spark, sf_dir):
     return association.fitted(association.keep_qualified(_cases(spark, sf_dir), 0.6), "balance", ["label"], "gaussian")
 
 
+def assoc_matrix_logistic(spark, sf_dir):
+    return matrix_association.associate_matrix(bridge.matrix(spark, sf_dir), HEADER, bridge.metadata(spark, sf_dir), "group", ["CON", "PAT"], missing_cutoff=0.6)
+
+
+def assoc_matrix_linear(spark, sf_dir):
+    out = matrix_association.associate_matrix(bridge.matrix(spark, sf_dir), HEADER, bridge.metadata(spark, sf_dir), "balance", missing_cutoff=0.0)
+    return out.select(*LOCUS, "n", F.round("beta", 6).alias("slope"), F.round("se", 6).alias("se"))
+
+
 def natural_sort(spark, sf_dir):
     from pyspark.sql import Window
 
@@ -247,7 +256,7 @@ QUERIES = {f.__name__: f for f in (
     region_parse, interval_validate, interval_overlap_query, query_single_sorted, query_multi_pivot, containment_first_match, histogram_100, group_histogram, metadata_filter,
     combine_keyed, combine_positional, unpivot_haplotypes, deinterleave_h1_h2, outlier_zscore, outlier_zscore_subset, outlier_dbscan, locus_mode_eps, minsize_filter,
     count_outliers, count_outliers_groups, multiple_hits, cigar_call, cigar_ref_len, accidental_2d, genotype_phased, genotype_unphased, phenotype_join, variant_qc,
-    bed_intersect, chr_interval, chromosome, single_variant, assoc_summary, assoc_expanded_or, assoc_linear_beta, assoc_linear_expanded, assoc_logistic, assoc_logistic_covariate, assoc_linear_covariate, natural_sort,
+    bed_intersect, chr_interval, chromosome, single_variant, assoc_summary, assoc_expanded_or, assoc_linear_beta, assoc_linear_expanded, assoc_logistic, assoc_logistic_covariate, assoc_linear_covariate, assoc_matrix_logistic, assoc_matrix_linear, natural_sort,
 )}
 QUERIES |= {f"str_mode_{m.lower()}": _moded(m) for m in ("MEAN", "MAX", "MIN", "SUM")}
 
@@ -345,6 +354,7 @@ FROM c GROUP BY 1, 2, 3, 4 HAVING count(length) > 0 AND count(length) / count(*)
 e AS (SELECT *, CASE WHEN least(a, b, c, d) > 0 THEN ln((a * d) / (b * c)) END AS beta, CASE WHEN least(a, b, c, d) > 0 THEN sqrt(1 / a + 1 / b + 1 / c + 1 / d) END AS se FROM t)
 SELECT *, exp(beta) AS odds_ratio, exp(beta - 1.959963984540054::DOUBLE * se) AS ci_low, exp(beta + 1.959963984540054::DOUBLE * se) AS ci_high FROM e"""),
     "assoc_linear_beta": _with(*_GRID, "metadata", body=_MAXED + _LM.format(x="length")),
+    "assoc_matrix_linear": _with(*_GRID, "metadata", body=_MAXED + _LM.format(x="length")),
     "assoc_linear_expanded": _with(*_GRID, "metadata", body=_MAXED + _LM.format(x="CASE WHEN length >= 23 THEN 1.0 WHEN length IS NOT NULL THEN 0.0 END::DOUBLE")),
     "natural_sort": _with("loci", body=" SELECT row_number() OVER (ORDER BY substr(chrom, 4)::INT, locus_begin, locus_end)::INT AS place, chrom, locus_begin, locus_end FROM loci"),
     "str_mode_mean": _with(*_GRID, body=_PAIR + " SELECT ord, sample, (greatest(h1, h2) + least(h1, h2)) / 2 AS length FROM p"),

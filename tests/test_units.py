@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tandemlake import cli
 from tandemlake.functions import cigar, stats, values
-from tandemlake.operators import association, cohort, genotype, intervals, lookup, outliers
+from tandemlake.operators import association, cohort, genotype, intervals, lookup, matrix_association, outliers
 from tandemlake.sources import alignments, tables
 
 
@@ -151,6 +151,30 @@ def test_logistic_against_library(spark):
     assert own.beta == pytest.approx(m.coefficients[0], rel=1e-6) and own.se == pytest.approx(m.summary.coefficientStandardErrors[0], rel=1e-5) and own.pvalue == pytest.approx(m.summary.pValues[0], rel=1e-4)
 
 
+@pytest.mark.parametrize("order, covariates, expanded", [(["CON", "PAT"], [], None), (["CON", "PAT"], ["age"], None), (None, ["flag"], None), (["CON", "PAT"], [], 12.0), (None, [], 12.0)])
+def test_matrix_form_says_the_same(spark, order, covariates, expanded):
+    rng = np.random.default_rng(9)
+    n, loci = 40, 30
+    header = [f"p{k}_H{h}" for k in range(n) for h in (1, 2)]
+    draw = lambda: float(rng.integers(0, 25)) if rng.random() > 0.12 else None
+    rows = [(i, "c", i, i + 1, [draw() if i else 3.0 for _ in header]) for i in range(loci)]
+    m = spark.createDataFrame(rows, "ord long, chrom string, locus_begin long, locus_end long, lengths array<double>")
+    meta = spark.createDataFrame([(f"p{k}", str(rng.choice(["CON", "PAT", "OTH"])), float(rng.normal()) if k else None, float(k % 2), float(rng.normal())) for k in range(n)], "sample string, group string, age double, flag double, y double")
+    c = cohort.pairs(m, header).select("ord", "chrom", "locus_begin", "locus_end", "sample", association.str_mode(F.col("h1"), F.col("h2"), "MAX").alias("length"))
+    c = association.keep_qualified(association.with_phenotype(c, meta), 0.8)
+    outcome = "y"
+    if order:
+        c, outcome = association.keep_qualified(association.two_groups(c, "group", order), 0.8), "label"
+    c = c.withColumn("big", (F.col("length") >= (expanded or 0)).cast("double"))
+    want = {r.ord: r for r in association.fitted(c, outcome, covariates, "binomial" if order else "gaussian", "big" if expanded else "length").collect()}
+    got = {r.ord: r for r in matrix_association.associate_matrix(m, header, meta, "group" if order else "y", order, covariates, expanded=expanded).collect()}
+    assert set(got) == set(want) and 0 not in got
+    for k, w in want.items():
+        assert got[k].n == w.n
+        for f in ("beta", "se", "effect", "ci_low", "pvalue"):
+            assert (got[k][f] is None) == (w[f] is None) and (w[f] is None or got[k][f] == pytest.approx(w[f], rel=1e-5, abs=1e-9))
+
+
 def test_numbers_and_names(spark):
     rows = spark.createDataFrame([("NaN",), ("4027.0",), ("150.5",), ("10000000",), ("x",), (None,)], "t string")
     assert [r[0] for r in rows.select(values.shown(values.missing_to_null(F.col("t")))).collect()] == ["NaN", "4027", "150.5", "10000000", "NaN", "NaN"]
