@@ -41,6 +41,25 @@ r(doc_id, other) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, l.b FRO
 SELECT n.doc_id, n.n_shingles, min(r.other) AS component_id FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY 1, 2
 """
 
+LINES = r"""
+WITH l AS (
+  SELECT doc_id, i - 1 AS line, parts[i] AS t FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents), unnest(range(1, len(parts) + 1)) AS u(i)
+), w AS (
+  SELECT *, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM l
+), g AS (
+  SELECT doc_id, line, t, doc_id * 1000000 + line AS place, list_sort(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END) AS gs FROM w
+), k AS (SELECT *, md5(array_to_string(gs, chr(1))) AS key FROM g),
+c AS (SELECT key, min(place) AS first, any_value(gs) AS gs, len(any_value(gs)) AS n FROM k WHERE len(gs) > 0 GROUP BY key),
+e AS (SELECT key, first, n, unnest(gs) AS x FROM c),
+p AS (SELECT a.key, count(*) AS m, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.x = b.x AND b.first < a.first GROUP BY a.key, b.key),
+gone AS (SELECT DISTINCT key FROM p WHERE 100 * m >= 75 * (na + nb - m)),
+r AS (SELECT k.*, len(k.gs) > 0 AND (k.key IN (SELECT key FROM gone) OR k.place <> c.first) AS cut FROM k LEFT JOIN c USING (key))
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (cut)::BIGINT AS n_removed, coalesce(string_agg(line::VARCHAR, ',' ORDER BY line) FILTER (cut), '') AS removed,
+  sha256(coalesce(string_agg(t, chr(10) ORDER BY line) FILTER (NOT cut), '')) AS text_sha256
+FROM r GROUP BY doc_id
+"""
+
 CHATS = r"""
 WITH c AS (
   SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations

@@ -35,12 +35,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's lines before and after, the numbers of those that go, and the digest of what stays."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = line_dedup.dedup_lines(docs)
-    left = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")
-    gone = F.size("lines_removed").cast("long")
-    left = F.when((F.coalesce("text", F.lit("")) == "") & (gone > 0), 0).otherwise(left)
-    return out.select("doc_id", (left + gone).alias("n_lines"), gone.alias("n_removed"), F.array_join(F.col("lines_removed").cast("array<string>"), ",").alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text", lines.alias("n_lines")))
+    gone = F.array_join(F.col("lines_removed").cast("array<string>"), ",")
+    return out.select("doc_id", "n_lines", F.size("lines_removed").cast("long").alias("n_removed"), gone.alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_mixing": oracle.MIXING,
     "op4_ngram_jaccard_join": oracle.NGRAMS,
+    "op6_line_dedup": oracle.LINES,
     "op7_chat_formatting": oracle.CHATS,
     "op9_secret_scans": oracle.secrets_sql(),
 }
