@@ -30,6 +30,8 @@ LABELLED = 1.0
 PER_CLASS, STRETCH = 2000, 256
 #: Words that the chain is trained on, about.
 CHAIN_WORDS = 400_000
+#: How far scores follow the labels' ratio among all rows, against that of the sample (0: not, 1: wholly).
+PRIOR = 0.5
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 
@@ -82,7 +84,7 @@ def _of_documents(p: np.ndarray, first: np.ndarray, word: np.ndarray) -> np.ndar
 
 
 def train(table: pa.Table, all_of: tuple[int, int] | None = None) -> Model:
-    """From (text, label). all_of: how many rows of label 0 and 1 the sample stands for; scores are set to their ratio.
+    """From (text, label). all_of: how many rows of label 0 and 1 the sample stands for; scores lean to their ratio.
 
     Without rows of both labels the document model leans to the one it saw.
     """
@@ -114,7 +116,7 @@ def train(table: pa.Table, all_of: tuple[int, int] | None = None) -> Model:
     document = logistic(np.concatenate(columns), label[order].astype(float)) if len(order) else np.zeros(4)
     n1, n0 = int(label.sum()), int((1 - label).sum())
     if all_of and min(*all_of, n1, n0) > 0:
-        document[-1] += np.log(all_of[1] / all_of[0]) - np.log(n1 / n0)
+        document[-1] += PRIOR * (np.log(all_of[1] / all_of[0]) - np.log(n1 / n0))
     return Model(_odds(per, label), chain, document)
 
 
