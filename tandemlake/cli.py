@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import re
 import sys
 
 from pyspark.sql import DataFrame, functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from tandemlake.functions.values import natural_key, shown
 from tandemlake.operators import association, cohort, genotype, intervals, lookup, matrix_association, outliers
 from tandemlake.session import session
-from tandemlake.sources import alignments, tables
+from tandemlake.sources import alignments, charts, tables
 
 
 def _print(rows: DataFrame, header: list[str]) -> None:
@@ -87,7 +88,10 @@ def plot(a, spark) -> None:
     m, place = _one(a, spark)
     column, values = tables.parse_condition(a.condition)
     meta = tables.read_metadata(spark, a.metadata, column)
-    _print(lookup.group_histogram(m.rows, m.header, meta, column, values, *place).orderBy("group", "bucket"), ["group", "bucket", "from", "to", "n"])
+    counts = lookup.group_histogram(m.rows, m.header, meta, column, values, *place)
+    if a.output:
+        charts.grouped_bars(counts, a.output, a.region)
+    _print(counts.orderBy("group", "bucket"), ["group", "bucket", "from", "to", "n"])
 
 
 def associate(a, spark) -> None:
@@ -96,6 +100,9 @@ def associate(a, spark) -> None:
     if a.region:
         r = tables.region_frame(spark, a.region).first()
         rows = rows.where((F.col("chrom") == r.chrom) & intervals.contains(F.lit(r.begin), F.lit(r.end), F.col("locus_begin"), F.col("locus_end")))
+    if a.variant:
+        chrom, begin, end = re.split("[_:-]", a.variant)
+        rows = rows.where((F.col("chrom") == chrom) & (F.col("locus_begin") == int(begin)) & (F.col("locus_end") == int(end)))
     if a.bed:
         bed = tables.read_bed(spark, a.bed).select(F.col("chrom").alias("r_chrom"), F.col("begin").alias("r_begin"), F.col("end").alias("r_end"))
         rows = intervals.overlap_semi(rows.withColumn("begin", F.col("locus_begin")).withColumn("end", F.col("locus_end")), bed)
@@ -103,13 +110,24 @@ def associate(a, spark) -> None:
     covariates = a.covariates.split(",") if a.covariates else []
     order = a.binary_order.split(",") if a.binary_order else None
     found = matrix_association.associate_matrix(rows.select("ord", *tables.KEY, "lengths"), m.header, phenotypes, a.phenotype, order, covariates, a.mode, a.missing_cutoff, a.expanded)
-    out = association.by_pvalue(found)
-    _print(out.select(association.variant_id(a.expanded is not None), "n", "beta", "se", "effect", "ci_low", "ci_high", "pvalue"), ["VariantID", "N", "beta", "SE", "effect", "CI_low", "CI_high", "Pvalue"])
+    lengths = association.str_mode(F.col("h1"), F.col("h2"), a.mode)
+    c = cohort.pairs(rows.select("ord", *tables.KEY, "lengths"), m.header).select("ord", *tables.KEY, "sample", lengths.alias("length"))
+    if order:
+        c = association.two_groups(association.with_phenotype(c, phenotypes.drop("ord")), a.phenotype, order)
+    sizes = ["n0", "avg0", "min0", "max0", "n1", "avg1", "min1", "max1", "abs_diff"] if order else []
+    c = c if order else c.withColumn("label", F.lit(0.0))
+    about = association.summary(c).select("ord", "avg_size", "min_size", "max_size", "size_range", *sizes)
+    out = association.by_pvalue(found.join(about, "ord"))
+    cols = ["n", "beta", "se", "effect", "ci_low", "ci_high", "pvalue", "avg_size", "min_size", "max_size", "size_range", *sizes]
+    named = [f"{x.rstrip('01')}_{order[int(x[-1])]}" if x[-1] in "01" else x for x in cols] if order else cols
+    _print(out.select(association.variant_id(a.expanded is not None), *cols), ["variant", *named])
 
 
 def count(a, spark) -> None:
     groups = tables.read_metadata(spark, a.groups, "group") if a.groups else None
     n = outliers.count_outliers(tables.read_outliers(spark, a.outliers), groups)
+    if a.output:
+        charts.spread_page(n if a.groups else n.withColumn("group", F.lit("all")), a.output)
     _print(n.orderBy(F.desc("n"), "first_ord", "first_place").drop("first_ord", "first_place"), ["sample", "count", *(["group"] if groups else [])])
 
 
@@ -118,6 +136,10 @@ def hits(a, spark) -> None:
     _print(found.orderBy("ord").select(*tables.KEY, F.array_join("outliers", ",").alias("outliers"), "hits"), ["chrom", "begin", "end", "outliers", "hits"])
 
 
+def scan(a, spark) -> None:
+    raise NotImplementedError("searching for polymorphic repeats isn't offered")
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tandemlake", description=__doc__)
     s = p.add_subparsers(dest="command", required=True)
@@ -134,9 +156,10 @@ def parser() -> argparse.ArgumentParser:
     add("query", query, o("combined"), o("region"), o("--region-list", action="store_true"))
     add("outlier", outlier, o("combined"), o("--minsize", type=float, default=10), o("-z", "--zscore", type=float, default=3.0), o("--method", choices=("zscore", "dbscan"), default="zscore"), o("-s", "--sample"), o("-S", "--samples"))
     add("histogram", histogram, o("combined"), o("region"))
-    add("plot", plot, o("combined"), o("metadata"), o("region"), o("-c", "--condition", required=True))
-    add("associate", associate, o("combined"), o("phenotypes"), o("phenotype"), o("--mode", choices=("MEAN", "MAX", "MIN", "SUM"), default="MAX"), o("--binary-order"), o("--covariates"), o("--missing-cutoff", type=float, default=0.8), o("--expanded", type=float), o("--chrom"), o("--region"), o("--bed"))
-    add("count-outliers", count, o("outliers"), o("--groups"))
+    add("plot", plot, o("combined"), o("metadata"), o("region"), o("-c", "--condition", required=True), o("-o", "--output"))
+    add("associate", associate, o("combined"), o("phenotypes"), o("phenotype"), o("--mode", choices=("MEAN", "MAX", "MIN", "SUM"), default="MAX"), o("--binary-order"), o("--covariates"), o("--missing-cutoff", type=float, default=0.8), o("--expanded", type=float), o("--chrom"), o("--region"), o("--bed"), o("--variant"))
+    add("count-outliers", count, o("outliers"), o("--groups"), o("-o", "--output"))
+    add("scan", scan, o("alignments", nargs="?"))
     add("multiple-hits", hits, o("outliers"), o("-s", "--samples", required=True), o("-m", "--min-hits", type=int, default=2), o("--max-others", type=int))
     return p
 

@@ -238,6 +238,11 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     names = tmp_path / "n.txt"
     names.write_text("a\nb\n\n")
     assert go("multiple-hits", str(out), "-s", str(names)) == ["chrom\tbegin\tend\toutliers\thits", "chr1\t1\t2\ta,a,b\t3"]
+    go("plot", str(m), str(meta), "chr1:90-130", "-c", "status:PAT,CON", "-o", str(tmp_path / "p.html"))
+    go("count-outliers", str(out), "-o", str(tmp_path / "c.html"))
+    assert (tmp_path / "p.html").read_text().count("<rect") == 3 and "<rect" in (tmp_path / "c.html").read_text()
+    with pytest.raises(NotImplementedError):
+        go("scan")
     with pytest.raises(ValueError):
         go("query", str(m), "nonsense")
 
@@ -282,7 +287,8 @@ def test_associate(spark, tmp_path, capsys, monkeypatch):
     p = tmp_path / "p.tsv"
     p.write_text("individual\tstatus\tage\n" + "".join(f"{n}\t{'PAT' if rng.random() < 0.5 else 'CON'}\t{40 + k}\n" for k, n in enumerate(names)))
     got = run(capsys, spark, monkeypatch, "associate", str(m), str(p), "status", "--binary-order", "CON,PAT", "--covariates", "age")
-    assert got[0].startswith("VariantID") and got[1].split("\t")[:2] == ["chr1:1_9", "40"]
+    assert got[0].startswith("variant\tn\tbeta") and "avg_CON" in got[0] and got[1].split("\t")[:2] == ["chr1:1_9", "40"]
+    assert len(run(capsys, spark, monkeypatch, "associate", str(m), str(p), "status", "--binary-order", "CON,PAT", "--variant", "chr1_1_9")) == 2
     assert run(capsys, spark, monkeypatch, "associate", str(m), str(p), "age", "--expanded", "15", "--region", "chr1:0-10")[1].startswith("chr1:1_9_ExpandedAllele\t40")
 
 
