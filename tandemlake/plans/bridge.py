@@ -43,7 +43,7 @@ SQL = {
       CASE WHEN k % 10 = 0 AND ln > 1 THEN 'S' WHEN l_returnflag = 'R' THEN 'D' WHEN l_returnflag = 'N' THEN 'S' ELSE 'I' END AS op
     FROM (SELECT *, l_partkey % 100 AS k, l_linenumber AS ln, l_quantity::BIGINT AS q FROM lineitem)))""",
     "loci": """loci AS (SELECT k AS ord, 'chr' || (1 + k % 22) AS chrom, 10000 + 50 * k AS locus_begin, 10010 + 50 * k + k % 30 AS locus_end FROM range(100) t(k))""",
-    "regions": """regions AS (SELECT p_partkey AS interval_ord, 'chr' || (1 + (5 * p_partkey) % 22) AS chrom, 10000 + 250 * p_partkey AS b, 10000 + 250 * p_partkey + p_size AS e FROM part WHERE p_partkey < 20)""",
+    "regions": """regions AS (SELECT p_partkey AS interval_ord, 'chr' || (1 + (5 * p_partkey) % 22) AS chrom, 10000 + (250 * p_partkey) % 5000 AS b, 10000 + (250 * p_partkey) % 5000 + p_size AS e FROM part)""",
     "metadata": """metadata AS (SELECT 's' || lpad(sid::VARCHAR, 2, '0') AS sample, CASE sid % 3 WHEN 0 THEN 'PAT' WHEN 1 THEN 'CON' ELSE 'OTH' END AS grp, balance
   FROM (SELECT c_custkey % 20 AS sid, avg(c_acctbal) AS balance FROM customer GROUP BY 1))""",
 }
@@ -103,8 +103,8 @@ def contigs(spark: SparkSession) -> DataFrame:
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("p_partkey")
-    begin = (p * 250 + 10000).cast("long")
-    return table(spark, sf_dir, "part").where(p < 20).select(p.cast("long").alias("interval_ord"), F.concat(F.lit("chr"), (p * 5 % 22 + 1).cast("string")).alias("chrom"), begin.alias("begin"), (begin + F.col("p_size")).cast("long").alias("end"))
+    begin = (p * 250 % 5000 + 10000).cast("long")
+    return table(spark, sf_dir, "part").select(p.cast("long").alias("interval_ord"), F.concat(F.lit("chr"), (p * 5 % 22 + 1).cast("string")).alias("chrom"), begin.alias("begin"), (begin + F.col("p_size")).cast("long").alias("end"))
 
 
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:

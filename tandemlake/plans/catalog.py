@@ -62,10 +62,10 @@ def metadata_filter(spark, sf_dir):
 
 
 def _files(spark, sf_dir) -> list[DataFrame]:
-    """Per-sample call files of three samples: two text cells a locus."""
+    """Per-sample call files: two text cells a locus."""
     long = cohort.pairs(bridge.matrix(spark, sf_dir), HEADER)
     cells = F.array(values.shown(F.col("h1")), values.shown(F.col("h2")))
-    return [long.where(F.col("sample") == s).select(*LOCUS, cells.alias("cells")) for s in ("s00", "s01", "s02")]
+    return [long.where(F.col("sample") == s).select(*LOCUS, cells.alias("cells")) for s in dict.fromkeys(h[:-3] for h in HEADER)]
 
 
 def combine_keyed(spark, sf_dir):
@@ -277,7 +277,7 @@ _SHOWN = "CASE WHEN {0} IS NULL THEN 'NaN' WHEN {0} = floor({0}) THEN {0}::BIGIN
 _FIRST = "(SELECT min(ord) FROM grid WHERE chrom = 'chr1' AND 9000 <= locus_begin AND locus_end <= 10200)"
 _MATCH = ", k AS (SELECT interval_ord, g.* FROM regions r JOIN grid g ON r.chrom = g.chrom AND greatest(b, locus_begin) < least(e, locus_end))"
 _BUCKET = ", h AS (SELECT *, CASE WHEN hi = lo THEN 1 ELSE least(100, floor((length - lo) / ((hi - lo) / 100)) + 1) END::INT AS bucket FROM r)"
-_FILES = """, t AS (SELECT ord, chrom, locus_begin, locus_end, string_agg(""" + _SHOWN.format("length") + """, chr(9) ORDER BY col_idx) AS cells FROM grid WHERE col_idx < 6 GROUP BY ALL) SELECT * FROM t"""
+_FILES = """, t AS (SELECT ord, chrom, locus_begin, locus_end, string_agg(""" + _SHOWN.format("length") + """, chr(9) ORDER BY col_idx) AS cells FROM grid GROUP BY ALL) SELECT * FROM t"""
 _CALL = """, w AS (SELECT r.*, 9990 + 50 * k AS wb, 10020 + 50 * k + k % 30 AS we, str_split(sa, ';') AS s FROM reads r),
 d AS (SELECT *, coalesce(len(s) = 2 AND (str_split(s[1], ',')[3] = '-') <> is_reverse AND greatest(ref_start, str_split(s[1], ',')[2]::BIGINT) < least(ref_end, str_split(s[1], ',')[2]::BIGINT + 34), false) AS is_2d FROM w),
 f AS (SELECT *, ref_start + 1 + regexp_extract(cigar, '^([0-9]+)M', 1)::BIGINT AS at FROM d),

@@ -184,8 +184,8 @@ def test_numbers_and_names(spark):
 
 
 FILES = {
-    "file1.inq": "chr1\t10000\t10468\t4027.0  4081.0\nchr1\t11225\t11448\t0.0\t0.0\nchr1\t10627\t10997\t150.0\t117.0\n",
-    "file2.inq": "chr1\t10000\t10468\t4000.0  4081.0\nchr1\t11225\t11448\t0.0\t120.0\nchr1\t10627\t10997\tNaN\t117.0\n",
+    "one.tsv": "chr1\t10000\t10468\t4027.0  4081.0\nchr1\t11225\t11448\t0.0\t0.0\nchr1\t10627\t10997\t150.0\t117.0\n",
+    "two.tsv": "chr1\t10000\t10468\t4000.0  4081.0\nchr1\t11225\t11448\t0.0\t120.0\nchr1\t10627\t10997\tNaN\t117.0\n",
 }
 
 
