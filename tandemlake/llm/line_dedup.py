@@ -29,7 +29,7 @@ from .scratch import Scratch
 
 U64 = np.uint64
 #: Tokens of one batch; bytes of text that one range stands for.
-TOKENS, BYTES = 1_000_000, 36_000_000
+TOKENS, BYTES = 1_000_000, 33_000_000
 #: The frequency code of tokens that are too common anywhere to be dealt out by range.
 COMMON = 255
 _PLACE = np.dtype([("has", "u1"), ("id", "<i8"), ("digest", "<i8"), ("line", "<i4")])
@@ -61,6 +61,28 @@ def _unruns(raw) -> tuple[np.ndarray, ...]:
     return fp, count.astype(np.int64), _unpack(common), _unpack(tok), code
 
 
+def _quarters(blobs: list[np.ndarray], ranges: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(each token's set, tokens, common tokens) of all blobs of a range, each set's tokens once; a quarter of the range at a time."""
+    heads = [b[:16].view("<u4").tolist() for b in blobs]
+    fps = np.concatenate([b[16 : 16 + 8 * h[0]].copy().view("<u8") for b, h in zip(blobs, heads)])
+    sets, first, own = np.unique(fps, return_index=True, return_inverse=True)
+    one = np.zeros(len(fps), bool)
+    one[first] = True
+    del fps, first
+    for quarter in range(4):
+        toks, owners, common, run = [], [], [], 0
+        for b, (m, h, width, _) in zip(blobs, heads):
+            count, more, raw = _parts(b[16 + 8 * m :], (f"<u{width}", m), ("u1", 6 * h))
+            tok, more = _unpack(raw), _unpack(more)
+            place = lambda t: ((t >> U64(16)) * U64(ranges) & U64(0xFFFFFFFF)) >> U64(30)
+            keep = np.repeat(one[run : run + m], count) & (place(tok) == quarter)
+            toks.append(tok[keep])
+            owners.append(np.repeat(own[run : run + m].astype(np.int32), count)[keep])
+            common.append(more[place(more) == quarter])
+            run += m
+        yield sets, np.concatenate(owners), np.concatenate(toks), np.unique(np.concatenate(common))
+
+
 def _by_place(fp: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order, new, first): rows by set, then place; a row that isn't the same line again; a set's first."""
     order = np.lexsort((place["line"], place["digest"], place["id"], place["has"], fp))
@@ -143,6 +165,7 @@ def _deal(width: int, ranges: int, share: float):
                     yield flush()
         if held:
             yield flush()
+        tv.release()
 
     return run
 
@@ -154,39 +177,35 @@ def _count(ranges: int):
         key, blobs = table.column("key")[0].as_py(), table.column("blob")
         if key >= ranges:
             return pa.table({"key": pa.array(np.full(len(table), key - ranges, np.int32)), "blob": blobs})
-        fp, count, common, tok, _ = (np.concatenate(x) for x in zip(*(_unruns(b.as_buffer()) for b in blobs)))
-        sets, first = np.unique(fp, return_index=True)
-        one = np.zeros(len(fp), bool)
-        one[first] = True
-        owner = np.repeat(np.searchsorted(sets, fp).astype(np.int32), count)
-        keep = np.repeat(one, count)
-        if not keep.all():
-            tok, owner = tok[keep], owner[keep]
-        del fp, keep
-        order = np.argsort(tok)
-        tok, owner = tok[order], owner[order]
-        del order
-        start = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]]) if len(tok) else np.zeros(0, np.int64)
-        df = np.diff(np.r_[start, len(tok)])
-        code = np.minimum(code_of(df), COMMON - 1)
-        code[np.isin(tok[start], common)] = COMMON
-        keep = np.repeat((df > 1) | (code == COMMON), df)
-        code = np.repeat(code, df)[keep]
-        tok, fp = tok[keep], sets[owner[keep]]
-        group = (fp % U64(ranges)).astype(np.int32)
-        order = np.lexsort((tok, fp, group))
-        tok, fp, code, group = tok[order], fp[order], code[order], group[order]
-        edge = np.searchsorted(group, np.arange(ranges + 1))
         keys, out = [], []
-        for k in np.flatnonzero(np.diff(edge)).tolist():
-            a, b = edge[k], edge[k + 1]
-            begin = np.flatnonzero(np.r_[True, fp[a + 1 : b] != fp[a : b - 1]])
-            inner = _runs(fp[a:b][begin], np.diff(np.r_[begin, b - a]), tok[a:b], tok[:0], code[a:b])
-            keys.append(k)
-            out.append(np.zeros(1, "<u4").tobytes() + inner)
+        for sets, owner, tok, common in _quarters([np.frombuffer(b.as_buffer(), np.uint8) for b in blobs], ranges):
+            order = np.argsort(tok)
+            tok, owner = tok[order], owner[order]
+            again = np.zeros(len(tok), bool)
+            again[1:] = tok[1:] == tok[:-1]
+            keep = again.copy()
+            keep[:-1] |= again[1:]
+            for x, y in zip(np.searchsorted(tok, common, "left").tolist(), np.searchsorted(tok, common, "right").tolist()):
+                keep[x:y] = True
+            tok, owner = tok[keep], owner[keep]
+            start = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]]) if len(tok) else np.zeros(0, np.int64)
+            df = np.diff(np.r_[start, len(tok)])
+            code = np.minimum(code_of(df), COMMON - 1)
+            code[np.isin(tok[start], common)] = COMMON
+            code, fp = np.repeat(code, df), sets[owner]
+            group = (fp % U64(ranges)).astype(np.int32)
+            order = np.lexsort((tok, fp, group))
+            tok, fp, code, group = tok[order], fp[order], code[order], group[order]
+            edge = np.searchsorted(group, np.arange(ranges + 1))
+            for k in np.flatnonzero(np.diff(edge)).tolist():
+                a, b = edge[k], edge[k + 1]
+                begin = np.flatnonzero(np.r_[True, fp[a + 1 : b] != fp[a : b - 1]])
+                inner = _runs(fp[a:b][begin], np.diff(np.r_[begin, b - a]), tok[a:b], tok[:0], code[a:b])
+                keys.append(k)
+                out.append(np.zeros(1, "<u4").tobytes() + inner)
         return pa.table({"key": pa.array(keys, pa.int32()), "blob": pa.array(out, pa.binary())})
 
-    return run
+    return tv.releasing(run)
 
 
 SETS = "kind tinyint, fp long, n int, alone int, tok binary, code binary, id long, digest long, line int"
@@ -242,7 +261,7 @@ def _gather(ranges: int, percent: int):
         out = _rows(0, sets[pick], pa.array(size[pick].astype(np.int32)), pa.array(alone[pick].astype(np.int32)), toks, codes, at[pick])
         return pa.concat_tables([out, gone(own[later], place[later]).cast(out.schema)])
 
-    return run
+    return tv.releasing(run)
 
 
 def _prefix(percent: int):

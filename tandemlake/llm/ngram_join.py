@@ -173,6 +173,7 @@ def _deal(width: int, ranges: int, heavy: np.ndarray, heavy_code: np.ndarray, by
                     yield flush()
         if held:
             yield flush()
+        tv.release()
 
     return run
 
@@ -215,7 +216,7 @@ def _count(ranges: int):
             out.append(_blob(f[new], np.zeros(len(new)), np.diff(np.r_[new, b - a]), tok[a:b], code[a:b]))
         return pa.table({"key": pa.array(keys, pa.int32()), "blob": pa.array(out, pa.binary())})
 
-    return run
+    return tv.releasing(run)
 
 
 def _gather(percent: int):
@@ -241,7 +242,7 @@ def _gather(percent: int):
             "tok": pa.array([_pack(tok[at[k] : at[k + 1]]) for k in pick], pa.binary()), "code": pa.array([code[at[k] : at[k + 1]].tobytes() for k in pick], pa.binary()),
         })
 
-    return run
+    return tv.releasing(run)
 
 
 def _prefixes(percent: int, orders: int):
@@ -331,7 +332,7 @@ def _across(percent: int):
         none = np.zeros(0, np.int64)
         return pa.table({"a": pa.array(np.concatenate([none, *out_a])), "b": pa.array(np.concatenate([none, *out_b]))})
 
-    return run
+    return tv.releasing(run)
 
 
 def _in_blocks(marked: DataFrame, family: DataFrame, percent: int) -> DataFrame:

@@ -7,6 +7,7 @@ counts as an empty one.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -157,3 +158,23 @@ def row_sum(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(values) + 1, values.dtype)
     np.cumsum(values, out=sums[1:])
     return sums[first[1:]] - sums[first[:-1]]
+
+
+def release() -> None:
+    """Give freed memory back: a Python worker is kept for later tasks, and its idle memory counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
+def releasing(run):
+    """run(table), then release()."""
+
+    def whole(table: pa.Table) -> pa.Table:
+        out = run(table)
+        release()
+        return out
+
+    return whole
