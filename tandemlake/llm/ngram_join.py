@@ -38,7 +38,7 @@ RANGE_TOKENS = 2_000_000
 BATCH_TOKENS = 2_000_000
 HEAVY_SHARE = 0.01
 #: Tokens of a set's sketch, and how often sets are held against a head before the full search.
-SKETCH, ROUNDS = 8, 4
+SKETCH, ROUNDS = 8, 3
 #: Sets that one side of a block of the full search holds, about.
 BLOCK = 128
 U64 = np.uint64
