@@ -7,7 +7,7 @@ stage's rows to the shared folder, so a lost executor costs one stage's tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tandemlake.llm import line_dedup, mixing, ngram_join, pieces, toxicity
 from tandemlake.llm.labelled import sample
@@ -28,18 +28,27 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of least id; of rows with one id the least text."""
-    first = ngram_join.ngram_components(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept")).distinct()
-    rest = [c for c in docs.columns if c != "doc_id"]
-    one = docs.groupBy("doc_id").agg(F.min(F.struct("text", *(c for c in rest if c != "text"))).alias("row"))
-    return one.join(first, one.doc_id.eqNullSafe(first.kept), "left_semi").select(*(F.col("doc_id") if c == "doc_id" else F.col(f"row.{c}").alias(c) for c in docs.columns))
+    """Of each group of near duplicates the document of least id, null last; of one id the text of least digest.
+
+    Groups are of texts, whatever their ids: texts that don't link all stay, with
+    null or repeated ids too. Texts without words link with nothing and all stay.
+    """
+    worded = F.coalesce(F.col("text").rlike(mixing.WORD), F.lit(False))
+    key = ngram_join.row_key(F.col("doc_id"), F.col("text"))
+    one = docs.where(worded).groupBy(*key).agg(F.min(F.struct("text", *(c for c in docs.columns if c != "text"))).alias("row"))
+    one = one.join(ngram_join.first_rows(docs), ["no_id", "id", "digest"], "left_semi")
+    return one.select(*(F.col(f"row.{c}").alias(c) for c in docs.columns)).union(docs.where(~worded))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, as whole texts: taken words over size, rounded."""
-    taken = mixing.mix_sources(docs).groupBy("doc_id").agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("share"))
-    taken = taken.select(F.col("doc_id").alias("mixed"), F.round("share").cast("int").alias("copies")).where("copies > 0")
-    out = docs.join(taken, docs.doc_id.eqNullSafe(taken.mixed))
+    """Rows as often as the mix takes them, as whole texts: taken words over size, rounded, each row by itself."""
+    mark = F.xxhash64("doc_id", "text", "source")
+    taken = mixing.mix_sources(docs.withColumn("mark", mark), mark=("mark",)).where("size > 0").select("mark", F.round(F.col("taken") / F.col("size")).cast("int").alias("copies"))
+    # rows equal in id, text and source are told apart by a number
+    taken = taken.withColumn("no", F.row_number().over(Window.partitionBy("mark").orderBy(F.col("copies").desc())))
+    own = docs.where(F.col("text").rlike(mixing.WORD)).withColumn("mark", mark)
+    own = own.withColumn("no", F.row_number().over(Window.partitionBy("mark").orderBy(*(c for c in docs.columns if c not in ("doc_id", "text", "source")))))
+    out = own.join(taken.where("copies > 0"), ["mark", "no"])
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
 
 

@@ -81,9 +81,9 @@ def slots(sources: DataFrame, block: Column, bits: int = SLOT_BITS) -> DataFrame
     return ranked.where("block_no < wanted").select("source", "block_no", "position").union(late.select("source", "block_no", "position"))
 
 
-def _laid_out(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights) -> tuple[DataFrame, DataFrame]:
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+def _laid_out(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, mark: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), *mark)
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), *(F.col(c).cast("string") for c in mark), F.lit("")))
     # digest ranges: as many as documents / STRETCH, within 1 and 2^24
     scratch = Scratch(docs.sparkSession, "mixing")
     d = scratch.keep(d)
@@ -94,14 +94,14 @@ def _laid_out(docs: DataFrame, id_col: str, text_col: str, source_col: str, weig
     before = Window.partitionBy("source").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     part = part.withColumn("offset", F.coalesce(F.sum("words").over(before), F.lit(0)))
     sources = targets(part.groupBy("source").agg(F.sum("words").alias("source_size")), weights)
-    within = Window.partitionBy("source", "stretch").orderBy("key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "stretch").orderBy("key", F.col("doc_id").asc_nulls_first(), "size", *mark).rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
     o = part.select(F.col("source").alias("s"), F.col("stretch").alias("t"), "offset")
-    d = d.join(o, d.source.eqNullSafe(o.s) & (d.stretch == o.t)).select("doc_id", "source", "size", (F.col("offset") + F.col("inner")).alias("at"))
+    d = d.join(o, d.source.eqNullSafe(o.s) & (d.stretch == o.t)).select("doc_id", "source", "size", (F.col("offset") + F.col("inner")).alias("at"), *mark)
     return scratch.keep(d), scratch.keep(sources)
 
 
-def mix_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, bits: int = SLOT_BITS) -> tuple[DataFrame, DataFrame]:
+def mix_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, bits: int = SLOT_BITS, mark: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """The mix as pieces, and the documents with their source's figures.
 
     Pieces: (position, source, at, doc_id, first_word, end_word, epoch), a row
@@ -110,7 +110,7 @@ def mix_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the place of a document's first word in its source: with the source it tells
     rows that have words apart.
     """
-    d, sources = _laid_out(docs, id_col, text_col, source_col, weights)
+    d, sources = _laid_out(docs, id_col, text_col, source_col, weights, mark)
     block = F.greatest(F.lit(1), F.ceil(F.col("total") / F.lit(1 << (bits - 1)))).cast("long")
     schedule = slots(sources, block, bits)
     s = sources.select(F.col("source").alias("s"), "source_size", "target", block.alias("block"))
@@ -124,18 +124,20 @@ def mix_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = F.greatest("from", F.col("block_no") * F.col("block")) - F.col("from")
     last = F.least("to", (F.col("block_no") + 1) * F.col("block")) - F.col("from")
     pieces = taken.select("position", "source", "at", "doc_id", first.alias("first_word"), last.alias("end_word"), "epoch")
-    return pieces, d.select("source", "at", "doc_id", "size", "source_size", "target")
+    return pieces, d.select("source", "at", "doc_id", "size", "source_size", "target", *mark)
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, bits: int = SLOT_BITS) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, bits: int = SLOT_BITS, mark: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, size, source, source_size, target, taken): words of each document that the mix takes.
 
     A null text has size 0 and takes nothing; a null source is a source, the
     last one. Sources take round(target) words exactly, no document more than
     EPOCHS times its size. Ties in the shuffle go by id, then size; repeated
     rows are documents of their own. No words at all: targets 0. An empty table
-    gives an empty one. Columns beside the three named aren't read.
+    gives an empty one. Columns beside the three named aren't read, but for those
+    of `mark`: they come along, break ties in the shuffle after the size, and deal
+    out rows without an id.
     """
-    pieces, d = mix_pieces(docs, id_col, text_col, source_col, weights, bits)
+    pieces, d = mix_pieces(docs, id_col, text_col, source_col, weights, bits, mark)
     words = pieces.groupBy(F.col("source").alias("s"), F.col("at").alias("t")).agg(F.sum(F.col("end_word") - F.col("first_word")).alias("taken"))
-    return d.join(words, d.source.eqNullSafe(words.s) & (d["at"] == words.t) & (d["size"] > 0), "left").select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return d.join(words, d.source.eqNullSafe(words.s) & (d["at"] == words.t) & (d["size"] > 0), "left").select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *mark)

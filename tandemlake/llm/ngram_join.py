@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import textvec as tv
 from .graph import components
@@ -100,8 +100,9 @@ def frequent(held: list[np.ndarray], share: float, sets: int) -> tuple[np.ndarra
     return tok[m].view(np.int64), n[m].astype(np.int64)
 
 
-def _meta(width: int, share: float):
-    """Rows of documents (kind 0: id, fp, n) and of locally frequent tokens (kind 1: token, count)."""
+def _meta(width: int, share: float, more: tuple[str, ...] = ()):
+    """Rows of documents (kind 0: id, fp, n) and of locally frequent tokens (kind 1: token, count); more: longs after id and text, kept."""
+    names = ["kind", "id", "fp", "n", *more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, docs = [], 0
@@ -109,11 +110,11 @@ def _meta(width: int, share: float):
         def heavy():
             tok, n = frequent(held, share, docs)
             m = len(tok)
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int8)), pa.array(tok), pa.nulls(m, pa.int64()), pa.array(n)], ["kind", "id", "fp", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int8)), pa.array(tok), pa.nulls(m, pa.int64()), pa.array(n), *(pa.nulls(m, pa.int64()) for _ in more)], names)
 
         for batch in batches:
             for i, j, _, tok, at, fp in token_sets(batch.column(1), width):
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(j - i, np.int8)), batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(fp.view(np.int64)), pa.array(np.diff(at))], ["kind", "id", "fp", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(j - i, np.int8)), batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(fp.view(np.int64)), pa.array(np.diff(at)), *(batch.column(2 + k).slice(i, j - i) for k in range(len(more)))], names)
                 held.append(tok)
                 docs += j - i
                 if sum(map(len, held)) >= BATCH_TOKENS:
@@ -375,22 +376,11 @@ def shared_tokens(texts: DataFrame, meta: DataFrame, count: int, tokens: int, wi
     return scratch.bucketed(sets, "fp", min(ranges, 4096)), ranges
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, orders: int = 3, heavy_share: float = HEAVY_SHARE) -> DataFrame:
-    """Documents with their set size and component: (doc_id, n_shingles, component_id, set_id).
-
-    docs: any columns beside the id (an integer) and the text; others aren't read.
-    Words are runs of bytes other than blank and 9 to 13, A-Z lower-cased. A text
-    of fewer than `width` words has its whole sequence as its one token. Two texts
-    link when 100 * shared >= percent * union; component_id is the least id that
-    links reach. A null or wordless text has size 0, links with nothing and is its
-    own component. Repeated rows each give a row. A null id stays null and doesn't
-    count in the minimum (a component of null ids only has null). An empty table
-    gives an empty one. set_id tells sets apart (equal texts, equal set_id).
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "ngram_join")
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    meta = scratch.keep(source.mapInArrow(_meta(width, heavy_share), "kind tinyint, id long, fp long, n long"))
+def _grouped(source: DataFrame, width: int, percent: int, orders: int, heavy_share: float) -> tuple[DataFrame, DataFrame]:
+    """Of (id, text, more longs): its rows as (id, fp, n, more), and (v, label) of the sets that link with another."""
+    more = tuple(source.columns[2:])
+    scratch = Scratch(source.sparkSession, "ngram_join")
+    meta = scratch.keep(source.mapInArrow(_meta(width, heavy_share, more), ", ".join(["kind tinyint, id long, fp long, n long", *(f"{c} long" for c in more)])))
     own = meta.where("kind = 0")
     total = own.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
     sets, _ = shared_tokens(source.select("text"), meta, total.docs, total.tokens, width, percent, heavy_share, scratch)
@@ -420,8 +410,22 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     both = across.groupBy("label", "label2", "ord").agg(F.lit(1).alias("k")).groupBy("label", "label2").agg(F.count("*").alias("k")).where(F.col("k") == orders)
     family = components(both.select(F.col("label").alias("a"), F.col("label2").alias("b")), scratch).select(F.col("v").alias("label"), F.col("label").alias("family"))
     links = links.union(_in_blocks(marked, family, percent))
-    group = components(links, scratch)
+    return own, components(links, scratch)
+
+
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, orders: int = 3, heavy_share: float = HEAVY_SHARE) -> DataFrame:
+    """Documents with their set size and component: (doc_id, n_shingles, component_id, set_id).
 
+    docs: any columns beside the id (an integer) and the text; others aren't read.
+    Words are runs of bytes other than blank and 9 to 13, A-Z lower-cased. A text
+    of fewer than `width` words has its whole sequence as its one token. Two texts
+    link when 100 * shared >= percent * union; component_id is the least id that
+    links reach. A null or wordless text has size 0, links with nothing and is its
+    own component. Repeated rows each give a row. A null id stays null and doesn't
+    count in the minimum (a component of null ids only has null). An empty table
+    gives an empty one. set_id tells sets apart (equal texts, equal set_id).
+    """
+    own, group = _grouped(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), width, percent, orders, heavy_share)
     least = own.where("n > 0").groupBy("fp").agg(F.min("id").alias("least"))
     classes = least.join(group.withColumnRenamed("v", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     of_label = classes.groupBy("label").agg(F.min("least").alias("component_id"))
@@ -429,3 +433,22 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     out = own.where("n > 0").join(classes, "fp").select("id", "n", "component_id", "fp")
     none = own.where("n = 0").select("id", "n", F.col("id").alias("component_id"), F.lit(None).cast("long").alias("fp"))
     return out.union(none).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.col("fp").alias("set_id"))
+
+
+def first_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, orders: int = 3, heavy_share: float = HEAVY_SHARE) -> DataFrame:
+    """(no_id, id, digest): of each component of texts with words its first row, as row_key names it.
+
+    Components as in ngram_components, but told by their sets, so null and
+    repeated ids don't join texts that don't link. The least id is first, null
+    last; of one id the least digest. Rows equal in id and text have one key.
+    """
+    key = row_key(F.col(id_col), F.col(text_col))
+    own, group = _grouped(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), key[2]), width, percent, orders, heavy_share)
+    least = own.where("n > 0").groupBy("fp").agg(F.min(F.struct(*row_key(F.col("id")), "digest")).alias("least"))
+    return _labelled(least, group).groupBy("label").agg(F.min("least").alias("least")).select("least.*")
+
+
+def row_key(doc_id: Column, text: Column | None = None) -> list[Column]:
+    """no_id, id (0 for null), digest of the text: without nulls, so that keys compare as they are."""
+    key = [doc_id.isNull().alias("no_id"), F.coalesce(doc_id.cast("long"), F.lit(0)).alias("id")]
+    return key if text is None else [*key, F.xxhash64(text).alias("digest")]

@@ -75,3 +75,30 @@ def test_threshold(spark, folder):
     assert got.where((F.col("score") >= 0.5) != (F.col("predicted") == 1)).count() == 0
 
 
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_documents_of_null_and_repeated_ids(spark):
+    """Texts that don't link all stay, whatever their ids; of those that do the least id stays, null last."""
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(40))
+    near = text("five") + " more"
+    rows = [(None, text(f"n{k}")) for k in range(6)] + [(None, near), (5, text("five")), (7, text("a")), (7, text("b")), (3, text("b"))]
+    rows += [(None, text("twin")), (None, text("twin")), (9, text("one")), (9, text("one")), (None, None), (None, ""), (8, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS).repartition(3)
+    got = corpus_pipeline.dedup_documents(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [(None, text(f"n{k}")) for k in range(6)] + [(5, text("five")), (7, text("a")), (3, text("b")), (None, text("twin")), (9, text("one")), (None, None), (None, ""), (8, " ")]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_mix_of_null_and_repeated_ids(spark, doc_id):
+    """Each row by its own count: sources are as near their targets as with different ids."""
+    rows = [(doc_id, " ".join(f"{k}w{i}" for i in range(1 + k % 30)), "en", f"s{k % 3}", 0) for k in range(200)]
+    rows += [(doc_id, "twin rows", "en", "s0", 0)] * 9 + [(doc_id, None, "en", "s0", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    target, _ = want_mix([(i, t, s) for i, t, _, s, _ in rows])
+    got = [(r.text, r.source) for r in corpus_pipeline.mix_sources(spark, docs, "").collect()]
+    for s in target:
+        assert abs(sum(len(t.split()) for t, o in got if o == s) - target[s]) <= 30
+    assert max(got.count(x) for x in set(got) if x[0] != "twin rows") <= 2 and got.count(("twin rows", "s0")) <= 18
