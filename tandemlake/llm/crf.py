@@ -7,6 +7,7 @@ longest first, one numpy step a position, so none is cut.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -54,34 +55,49 @@ def marginals(feature: np.ndarray, first: np.ndarray, chain: Chain) -> np.ndarra
     return r * b / (1 + r * b)
 
 
-def fit(feature: np.ndarray, state: np.ndarray, first: np.ndarray, l2: float = 1e-3, rounds: int = 80, rate: float = 0.2) -> Chain:
-    """Largest likelihood of the given states, by Adam over all sequences."""
+def _gradient(feature: np.ndarray, state: np.ndarray, first: np.ndarray, weight: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    """Weighted counts of features and links as seen, less those hoped for under theta."""
     first = np.concatenate([[0], np.unique(first[1:])])  # sequences without positions say nothing
-    n, k = len(feature), feature.shape[1]
+    n, k = feature.shape
     head = np.zeros(n, bool)
     head[first[:-1]] = True
     inner = np.flatnonzero(~head)
-    theta = np.zeros(k + 4)
     y, prev = state.astype(float), state[inner - 1].astype(bool)
     here = state[inner].astype(bool)
-    seen = np.concatenate([feature.T @ y, [y[head].sum(), (~prev & here).sum(), (prev & ~here).sum(), (prev & here).sum()]])
-    m, v = np.zeros(k + 4), np.zeros(k + 4)
+    x = np.exp(np.clip(feature @ theta[:k], -30, 30))
+    link = theta[k:]
+    r, b = _messages(x, first, link)
+    p = r * b / (1 + r * b)
+    left, right = r[inner - 1], x[inner] * b[inner]
+    p01, p10, p11 = np.exp(link[1]) * right, np.exp(link[2]) * left, np.exp(link[3]) * left * right
+    z, w = 1 + p01 + p10 + p11, weight[inner]
+    off = weight * (y - p)
+    return np.concatenate([feature.T @ off, [off[head].sum(), w @ ((~prev & here) - p01 / z), w @ ((prev & ~here) - p10 / z), w @ ((prev & here) - p11 / z)]])
+
+
+def fit_blocks(blocks: Callable[[], Iterable[tuple]], k: int, l2: float = 1e-3, rounds: int = 80, rate: float = 0.2) -> Chain:
+    """Largest likelihood of the given states, by Adam over all sequences.
+
+    blocks() gives (feature, state, first, positions' weights) of some whole sequences after others,
+    anew each round, so that only one block is held. k: columns of a feature.
+    """
+    theta, m, v = np.zeros(k + 4), np.zeros(k + 4), np.zeros(k + 4)
     for step in range(1, rounds + 1):
-        x = np.exp(np.clip(feature @ theta[:k], -30, 30))
-        link = theta[k:]
-        r, b = _messages(x, first, link)
-        p = r * b / (1 + r * b)
-        left, right = r[inner - 1], x[inner] * b[inner]
-        p01, p10, p11 = np.exp(link[1]) * right, np.exp(link[2]) * left, np.exp(link[3]) * left * right
-        z = 1 + p01 + p10 + p11
-        hoped = np.concatenate([feature.T @ p, [p[head].sum(), (p01 / z).sum(), (p10 / z).sum(), (p11 / z).sum()]])
-        grad = (seen - hoped) / n - l2 * theta
+        n, total = 0.0, np.zeros(k + 4)
+        for feature, state, first, weight in blocks():
+            n, total = n + weight.sum(), total + _gradient(feature, state, first, weight, theta)
+        grad = total / (n or 1) - l2 * theta
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8) * (1 - 0.8 * step / rounds)
         theta[k:] = np.clip(theta[k:], -8, 8)
     return Chain(theta[:k], theta[k:])
 
 
+def fit(feature: np.ndarray, state: np.ndarray, first: np.ndarray, l2: float = 1e-3, rounds: int = 80, rate: float = 0.2) -> Chain:
+    """fit_blocks of one block, all positions alike."""
+    return fit_blocks(lambda: [(feature, state, first, np.ones(len(feature)))], feature.shape[1], l2, rounds, rate)
+
+
 def logistic(feature: np.ndarray, label: np.ndarray, l2: float = 1e-3, rounds: int = 30) -> np.ndarray:
     """Weights (the last is the constant) by Newton's method."""
     x = np.column_stack([feature, np.ones(len(feature))])

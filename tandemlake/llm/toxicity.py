@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textvec as tv
-from .crf import Chain, fit, logistic, marginals, sigmoid
+from .crf import Chain, fit_blocks, logistic, marginals, sigmoid
 from .labelled import held_out, sample
 
 CELLS = 1 << 17
@@ -28,8 +28,10 @@ STEMS = (4, 5)
 LABELLED = 1.0
 #: Labelled documents learnt from, of either label; words of one stretch that the chain is trained on.
 PER_CLASS, STRETCH = 2000, 256
-#: Words that the chain is trained on, about.
-CHAIN_WORDS = 400_000
+#: Words that the chain's training holds at once: a multiple of STRETCH; it goes through all words of the sample.
+CHAIN_BLOCK = 1 << 18
+#: All words of a document together weigh as so many at most in the chain's training.
+HEAVIEST = 2048
 #: How far scores follow the labels' ratio among all rows, against that of the sample (0: not, 1: wholly).
 PRIOR = 0.5
 _LETTER = np.zeros(256, bool)
@@ -101,13 +103,29 @@ def train(table: pa.Table, all_of: tuple[int, int] | None = None) -> Model:
     def features(some: np.ndarray) -> np.ndarray:
         return np.concatenate([_features(odds[1 - half[i]], per[i]) for i in some])
 
-    taught = order[: max(1, int(np.searchsorted(np.cumsum(size), CHAIN_WORDS, "right")))]
+    # pieces of whole stretches of every document, a block's worth of words together
+    lots, have = [[]], 0
+    for i, n in zip(order.tolist(), size.tolist()):
+        for a in range(0, n, CHAIN_BLOCK):
+            b = min(n, a + CHAIN_BLOCK)
+            if have + b - a > CHAIN_BLOCK:
+                lots, have = [*lots, []], 0
+            lots[-1].append((i, a, b))
+            have += b - a
+
+    def blocks():
+        for lot in filter(None, lots):
+            feature = np.concatenate([_features(odds[1 - half[i]], [c[a:b] for c in per[i]]) for i, a, b in lot])
+            many = np.array([b - a for _, a, b in lot])
+            end = np.cumsum(many)
+            toxic = np.repeat([label[i] == 1 for i, *_ in lot], many)
+            first = np.concatenate([[0], *(np.r_[np.arange(e - m + STRETCH, e, STRETCH), e] for e, m in zip(end, many))])
+            weight = np.repeat([min(1.0, HEAVIEST / len(per[i][0])) for i, *_ in lot], many)
+            yield feature, toxic & (feature[:, -1] > 0), first, weight
+
     chain = Chain(np.zeros(3 + len(STEMS)), np.zeros(4))
-    if len(taught) and (feature := features(taught)).size:
-        word_label = np.repeat(label[taught] == 1, size[: len(taught)]) & (feature[:, -1] > 0)
-        first = np.r_[0, np.cumsum(size[: len(taught)])]
-        chain = fit(feature, word_label, np.unique(np.r_[first, np.arange(0, first[-1], STRETCH)]), rounds=60)
-        del feature
+    if size.sum():
+        chain = fit_blocks(blocks, 3 + len(STEMS), rounds=60)
     columns = [np.zeros((0, 3))]
     for k in range(0, len(order), 200):
         some = order[k : k + 200]

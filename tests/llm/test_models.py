@@ -83,6 +83,22 @@ def test_toxic_spans():
     assert out.column("spans").to_pylist() == ["4:9", ""] and out.column("score")[0].as_py() > 0.5 > out.column("score")[1].as_py()
 
 
+def test_a_long_text_leaves_the_others_taught():
+    """A clean text of very many words, drawn first, doesn't keep the chain from the toxic ones."""
+    n = 100
+    text = [f"word{k} {'idiot' if k % 2 else 'plain'} here it is" for k in range(n)]
+    label = [k % 2 for k in range(n)]
+    first = int(np.random.default_rng(2).permutation(n)[0])
+    text[first], label[first] = "w " * 420_000, 0
+    model = toxicity.train(pa.table({"text": text, "label": label}))
+
+    class Held:
+        value = model
+
+    out = next(toxicity._score(Held)(iter([pa.RecordBatch.from_pydict({"text": ["some idiot x", "clean"]})])))
+    assert out.column("spans").to_pylist() == ["5:10", ""]
+
+
 def exact(rows, k):
     good = {i: np.array(v, float) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(np.array(v, float)).all() and any(v)}
     out = {}
