@@ -29,8 +29,8 @@ def call(a, spark) -> None:
         raise ValueError("either a region or a region file is needed")
     reads = alignments.read_sam(spark, a.alignments) if sam else alignments.read_bam(spark, a.alignments)
     loci = tables.read_bed(spark, a.region_file) if a.region_file else tables.region_frame(spark, a.region).withColumnRenamed("interval_ord", "ord")
-    if sam:
-        loci = intervals.validate(loci, alignments.sam_contigs(spark, a.alignments)).select("ord", "chrom", "begin", "end")
+    contigs = alignments.sam_contigs(spark, a.alignments) if sam else alignments.bam_contigs(spark, a.alignments)
+    loci = intervals.validate(loci, contigs).select("ord", "chrom", "begin", "end")
     found = genotype.genotypes(reads, loci, a.minlen, a.support, a.unphased)
     name = a.sample_name or alignments.sample_name(a.alignments)
     _print(found.orderBy(natural_key(F.col("chrom")), "locus_begin", "locus_end").select(*tables.KEY, "h1", "h2"), ["chromosome", "begin", "end", f"{name}_H1", f"{name}_H2"])

@@ -138,6 +138,18 @@ def read_bam(spark: SparkSession, path: str) -> DataFrame:
     return _with_end(spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, SHAPE))
 
 
+def bam_contigs(spark: SparkSession, path: str) -> DataFrame:
+    """(chrom, length) of the headers of one or many BAM files, each contig once."""
+    import pandas as pd
+
+    def rows(batches):
+        for pdf in batches:
+            for raw in pdf["content"]:
+                yield pd.DataFrame(bam_header(_Stream(_inflated(raw))), columns=["chrom", "length"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, "chrom string, length long").groupBy("chrom").agg(F.min("length").alias("length"))
+
+
 def sample_name(path: str) -> str:
     """A file's stem without .bam or .cram."""
     return PurePosixPath(path).stem.replace(".bam", "").replace(".cram", "")

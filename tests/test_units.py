@@ -279,6 +279,15 @@ def test_call_from_files(spark, tmp_path, capsys, monkeypatch):
         cli.main(["call", str(tmp_path / "x.sam")])
 
 
+@pytest.mark.parametrize("kind", ["sam", "bam"])
+def test_call_outside_the_contigs(spark, tmp_path, capsys, monkeypatch, kind):
+    at = tmp_path / f"x.{kind}"
+    at.write_bytes(SAM.encode() if kind == "sam" else bam(SAM))
+    for region, fault in (("chr9:95-110", "unknown contig"), ("chr1:990-1010", "past its contig")):
+        with pytest.raises(Exception, match=fault):
+            run(capsys, spark, monkeypatch, "call", str(at), "-r", region)
+
+
 def test_associate(spark, tmp_path, capsys, monkeypatch):
     rng = np.random.default_rng(0)
     names = [f"p{k}" for k in range(40)]
