@@ -6,12 +6,17 @@ by Zipf's law from the pieces' rank in the file. A character that is no piece
 falls back to byte pieces. Decoding joins the pieces' bytes: it gives every text
 back exactly, blanks and blank marks included.
 
-The search is a stream. Only the last boundaries within the longest piece's
-length can still be left, so only they are kept; ids are committed as soon as
-the paths back from all of them meet in one boundary (`Stream`). Where no piece
-can cross a place (a blank after other text, a newline), all paths meet there
-whatever comes: the stretches between such places are then streams of their own,
-run side by side in numpy, each distinct stretch once a task (`encode_batch`).
+The search is a stream. Only boundaries within the longest piece's length can
+still be left, so only they are kept; ids are committed as soon as the paths back
+from all of them meet in one boundary. Many stretches of text run in lockstep in
+numpy (`search`), whatever their length, each with its own window; `Stream` is the
+same for one text that comes in portions, and takes over the few stretches that
+outlive all others. What was committed never changes, so a stretch's rest is a
+stretch of its own.
+
+Where no piece can cross a place (a blank after other text, a newline), all paths
+meet there whatever comes: texts are cut there beforehand, and each distinct
+stretch is searched once a task (`Encoder`).
 """
 
 from __future__ import annotations
@@ -27,13 +32,12 @@ from . import textvec as tv
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-#: Stretches of more bytes are searched one at a time, by Stream.
-SIDE_BY_SIDE = 64
-#: Distinct stretches that a task remembers, and how many run together.
-REMEMBERED, TOGETHER = 1 << 20, 1 << 14
+#: Distinct stretches that a task remembers, and how many run together; how few go on alone.
+REMEMBERED, TOGETHER, FEW = 1 << 20, 1 << 14, 8
+#: Bytes that stretches advance before ids are committed.
+ADVANCE = 24
 #: Log probabilities are whole multiples of this part of 1, so that sums are exact and ties the same everywhere.
 SCORE_UNITS = 1024
-_BITS = 22
 
 
 class Vocabulary:
@@ -44,15 +48,7 @@ class Vocabulary:
         self.longest = max((len(p) for _, p, _ in pieces), default=1)
         self.unknown = min((s for *_, s in pieces), default=0.0) - 10.0 * SCORE_UNITS
         self.by_bytes = {p: (i, s) for i, p, s in pieces}
-        flat = b"".join(p for _, p, _ in pieces)
-        data = np.frombuffer(flat, np.uint8)
-        end = np.cumsum([len(p) for _, p, _ in pieces]).astype(np.int64)
-        key = _keys(_sums(data), np.r_[0, end[:-1]].astype(np.int64), end) if pieces else np.zeros(0, np.uint64)
-        order = np.argsort(key)
-        self.key, self.id = key[order], np.array([i for i, *_ in pieces], np.int32)[order]
-        self.score = np.array([s for *_, s in pieces])[order]
-        self.seen = np.zeros(1 << _BITS, bool)
-        self.seen[_cell(key)] = True
+        self._trie(pieces)
         # the bytes of every id, for decoding
         own = {i: p for i, p, _ in pieces} | {int(i): bytes([b]) for b, i in enumerate(byte_ids)}
         parts = [own.get(i, b"") for i in range(size)]
@@ -62,33 +58,50 @@ class Vocabulary:
         #: no piece has a blank after something else, nor a newline
         self.parted = not any(b"\n" in p or b" " in p.lstrip(b" ") for _, p, _ in pieces)
 
-    def find(self, key: np.ndarray) -> np.ndarray:
-        """Each key's place among the pieces, or -1."""
+    def _trie(self, pieces: list[tuple[int, bytes, float]]) -> None:
+        """Nodes by a table of (node, byte), probed in turn; a node's piece and its score."""
+        step: dict[int, int] = {}
+        ends: dict[int, tuple[int, float]] = {}
+        for i, p, s in pieces:
+            node = 0
+            for b in p:
+                node = step.setdefault(node << 8 | b, len(step) + 1)
+            ends[node] = (i, s)
+        self.piece = np.full(len(step) + 1, -1, np.int32)
+        self.score = np.zeros(len(step) + 1)
+        for node, (i, s) in ends.items():
+            self.piece[node], self.score[node] = i, s
+        bits = max(4, (4 * len(step)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.edge, self.into = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        key, into = np.array(list(step), np.int64), np.array(list(step.values()), np.int32)
+        cell = self._cell(key)
+        while len(key):
+            free = np.flatnonzero(self.edge[cell] < 0)
+            one = free[np.unique(cell[free], return_index=True)[1]]
+            self.edge[cell[one]], self.into[cell[one]] = key[one], into[one]
+            rest = np.ones(len(key), bool)
+            rest[one] = False
+            key, into, cell = key[rest], into[rest], (cell[rest] + 1) & self.mask
+
+    def _cell(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E6C63D0876A9A47) >> self.shift).astype(np.int64)
+
+    def next(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The node after each node's byte, or -1."""
+        key = node.astype(np.int64) << 8 | byte
+        cell = self._cell(key)
         out = np.full(len(key), -1, np.int32)
-        maybe = np.flatnonzero(self.seen[_cell(key)])
-        if len(maybe):
-            at = np.minimum(np.searchsorted(self.key, key[maybe]), len(self.key) - 1)
-            good = self.key[at] == key[maybe]
-            out[maybe[good]] = at[good]
+        left = np.arange(len(key))
+        while len(left):
+            held = self.edge[cell[left]]
+            hit = held == key[left]
+            out[left[hit]] = self.into[cell[left[hit]]]
+            left = left[~hit & (held >= 0)]
+            cell[left] = (cell[left] + 1) & self.mask
         return out
 
 
-def _cell(key: np.ndarray) -> np.ndarray:
-    return (key * np.uint64(0x9E6C63D0876A9A47) >> np.uint64(64 - _BITS)).astype(np.int64)
-
-
-def _sums(data: np.ndarray) -> np.ndarray:
-    up, _ = tv._power(len(data) + 1)
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(tv._BYTE[data] * up[: len(data)], out=out[1:])
-    return out
-
-
-def _keys(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    _, down = tv._power(len(sums))
-    return (sums[end] - sums[start]) * down[start]
-
-
 def load(path: str = MODEL) -> Vocabulary:
     """Of a SentencePiece model file: its normal pieces, ranked by their score in it, and its byte pieces."""
     import sentencepiece
@@ -172,74 +185,117 @@ def encode_stream(vocabulary: Vocabulary, raw: bytes) -> list[int]:
     return s.feed(raw) + s.finish()
 
 
-def _side_by_side(v: Vocabulary, data: np.ndarray, sums: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(how many ids each stretch has, all ids): stretches by size, longest first."""
-    m, most = len(start), int(size[0])
-    best = np.full((m, most + 1), -np.inf)
-    step = np.zeros((m, most + 1), np.uint8)
-    made = np.zeros((m, most + 1), np.int32)
-    best[:, 0] = 0
-    lead = (data & 0xC0) != 0x80
-    for t in range(1, most + 1):
-        live = int(np.searchsorted(-size, -t, "right"))
-        end = start[:live] + t
-        top, back, ids = best[:live, t], step[:live, t], made[:live, t]
-        one = np.zeros(live, bool)  # the character that ends here is a piece
-        whole = np.ones(live, bool)  # a character ends here
-        inner = size[:live] > t
-        whole[inner] = lead[end[inner]]
-        for k in range(min(t, v.longest), 0, -1):
-            lane = np.flatnonzero(whole & lead[end - k])
-            if not len(lane):
-                continue
-            place = v.find(_keys(sums, end[lane] - k, end[lane]))
-            lane, place = lane[place >= 0], place[place >= 0]
-            score = best[lane, t - k] + v.score[place]
-            if k <= 4:
-                one[lane] |= np.add.reduce([lead[end[lane] - j] for j in range(1, k + 1)]) == 1
-            better = score > top[lane]
-            lane, place, score = lane[better], place[better], score[better]
-            top[lane], back[lane], ids[lane] = score, k, v.id[place]
-        # bytes: a lead byte costs what an unknown character does, the others nothing
-        lane = np.flatnonzero(whole & ~one)
-        if len(lane):
-            for k in (1, 2, 3, 4):
-                if k > t:
-                    break
-                own = lane[lead[end[lane] - k] & (np.add.reduce([lead[end[lane] - j] for j in range(1, k + 1)]) == 1)]
-                score = best[own, t - k] + v.unknown
-                own = own[score > top[own]]
-                top[own], back[own], ids[own] = best[own, t - k] + v.unknown, k, -1
-    # back from the ends, all stretches together; unknown characters give their bytes
-    lanes, tokens, ranks = [], [], []
-    lane, at, n = np.arange(m), size.copy(), np.zeros(m, np.int64)
-    while len(lane):
-        k, i = step[lane, at].astype(np.int64), made[lane, at]
-        plain = i >= 0
-        for sel, tok in ((plain, i[plain]),):
-            lanes.append(lane[sel])
-            tokens.append(tok)
-            ranks.append(n[lane[sel]])
-        n[lane[plain]] += 1
-        odd = np.flatnonzero(~plain)
-        for j in range(1, 5):
-            own = odd[k[odd] >= j]
-            if len(own):
-                lanes.append(lane[own])
-                tokens.append(v.byte_ids[data[start[lane[own]] + at[own] - j]])
-                ranks.append(n[lane[own]])
-                n[lane[own]] += 1
-        at = at - k
-        lane, at = lane[at > 0], at[at > 0]
-    lane, token, rank = np.concatenate(lanes), np.concatenate(tokens), np.concatenate(ranks)
-    first = np.r_[0, np.cumsum(n)]
-    out = np.empty(first[-1], np.int32)
-    out[first[lane] + n[lane] - 1 - rank] = token
-    return n, out
+_LEAD = np.ones(256, np.int64)  # bytes of the character that a byte begins
+_LEAD[0xC0:0xE0], _LEAD[0xE0:0xF0], _LEAD[0xF0:] = 2, 3, 4
+
+
+class _Lanes:
+    """Stretches in lockstep. Places count from each stretch's last commit; `at` is where it stands."""
+
+    def __init__(self, v: Vocabulary, data: np.ndarray, start: np.ndarray, size: np.ndarray):
+        self.v, self.data = v, data
+        self.name, self.start, self.left = np.arange(len(start)), start.copy(), size.copy()
+        self.at = np.zeros(len(start), np.int64)
+        room = v.longest + 4 + ADVANCE
+        self.best = np.full((len(start), room), -np.inf)
+        self.back, self.made = (np.zeros((len(start), room), np.int32) for _ in range(2))
+        self.best[:, 0] = 0
+        self.out: list[tuple] = []  # (stretch, commit, place from its end, id)
+
+    def _offer(self, lane: np.ndarray, width: np.ndarray, score: np.ndarray, piece: np.ndarray) -> None:
+        to = self.at[lane] + width
+        better = score > self.best[lane, to]
+        lane, to = lane[better], to[better]
+        self.best[lane, to], self.back[lane, to], self.made[lane, to] = score[better], width[better], piece[better]
+
+    def advance(self, lane: np.ndarray) -> None:
+        """One place on: all pieces from there are offered to the boundaries that they reach."""
+        v = self.v
+        lane = lane[self.best[lane, self.at[lane]] > -np.inf]
+        base, where, left = self.best[lane, self.at[lane]], self.start[lane] + self.at[lane], self.left[lane] - self.at[lane]
+        one = np.minimum(_LEAD[self.data[where]], left)
+        known = np.zeros(len(lane), bool)
+        live, node, depth = np.arange(len(lane)), np.zeros(len(lane), np.int32), 0
+        while len(live):
+            node = v.next(node, self.data[where[live] + depth])
+            live, node, depth = live[node >= 0], node[node >= 0], depth + 1
+            hit = v.piece[node] >= 0
+            some, end = live[hit], node[hit]
+            self._offer(lane[some], np.full(len(some), depth), base[some] + v.score[end], v.piece[end])
+            known[some[one[some] == depth]] = True
+            more = left[live] > depth
+            live, node = live[more], node[more]
+        self._offer(lane[~known], one[~known], base[~known] + v.unknown, np.full((~known).sum(), -1))
+
+    def commit(self, turn: int) -> None:
+        """Ids up to where all paths meet (the end, for stretches at their end), then windows move there."""
+        v, n = self.v, len(self.name)
+        meet = self.left.copy()
+        going = np.flatnonzero(self.at < self.left)
+        if len(going):
+            front = self.at[going, None] + np.arange(v.longest + 4)
+            reached = self.best[going[:, None], front] > -np.inf
+            front = np.where(reached, front, -1)
+            top = front.max(axis=1)
+            front = np.where(front < 0, top[:, None], front)
+            while len(apart := np.flatnonzero(front.min(axis=1) < top)):
+                own = front[apart]
+                high = top[apart]
+                own = np.where(own == high[:, None], (high - self.back[going[apart], high])[:, None], own)
+                front[apart], top[apart] = own, own.max(axis=1)
+            meet[going] = top
+        lane, place, rank = np.arange(n), meet.copy(), np.zeros(n, np.int64)
+        while len(lane := lane[place[lane] > 0]):
+            width, piece = self.back[lane, place[lane]], self.made[lane, place[lane]]
+            plain = lane[piece >= 0]
+            self.out.append((self.name[plain], turn, rank[plain].copy(), piece[piece >= 0]))
+            rank[plain] += 1
+            odd, long = lane[piece < 0], width[piece < 0]
+            for j in range(1, 5):  # a character that is no piece: its bytes, from the last
+                own = odd[long >= j]
+                self.out.append((self.name[own], turn, rank[own].copy(), v.byte_ids[self.data[self.start[own] + place[own] - j]]))
+                rank[own] += 1
+            place[lane] -= width
+        room = self.best.shape[1]
+        after = meet[going, None] + np.arange(room)
+        inside, after = after < room, np.minimum(after, room - 1)
+        self.best = np.where(inside, self.best[going[:, None], after], -np.inf)
+        self.back, self.made = self.back[going[:, None], after], self.made[going[:, None], after]
+        self.name, self.start, self.left, self.at = self.name[going], self.start[going] + meet[going], self.left[going] - meet[going], self.at[going] - meet[going]
+        if len(going) and self.at.max() + v.longest + 4 + ADVANCE > room:  # paths that don't meet: a wider window
+            more = ((0, 0), (0, room))
+            self.best = np.pad(self.best, more, constant_values=-np.inf)
+            self.back, self.made = np.pad(self.back, more), np.pad(self.made, more)
+
+
+def search(v: Vocabulary, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(how many ids each stretch of the bytes has, all ids)."""
+    lanes, turn = _Lanes(v, data, start, size), 0
+    while len(lanes.name) > (FEW if turn else 0):
+        for _ in range(ADVANCE):
+            on = np.flatnonzero(lanes.at < lanes.left)
+            if not len(on):
+                break
+            lanes.advance(on)
+            lanes.at[on] += 1
+        lanes.commit(turn)
+        turn += 1
+    for name, a, left in zip(lanes.name.tolist(), lanes.start.tolist(), lanes.left.tolist()):
+        ids = encode_stream(v, data[a : a + left].tobytes())
+        lanes.out.append((np.full(len(ids), name), turn, -np.arange(len(ids)), np.array(ids, np.int32)))
+    if not lanes.out:
+        return np.zeros(len(start), np.int64), np.zeros(0, np.int32)
+    name, rank, ids = (np.concatenate([o[k] for o in lanes.out]) for k in (0, 2, 3))
+    turns = np.concatenate([np.full(len(o[0]), o[1]) for o in lanes.out])
+    return np.bincount(name, minlength=len(start)), ids[np.lexsort((-rank, turns, name))].astype(np.int32)
 
 
 class Encoder:
-    """Encodes batches; remembers stretches by a 64-bit hash of their bytes, REMEMBERED at most."""
+    """Encodes batches; remembers stretches by a 64-bit hash of their bytes, REMEMBERED at most.
+
+    What a row's ids decode to is held against its bytes; should hashes ever meet,
+    the row is searched again by itself.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
@@ -252,42 +308,44 @@ class Encoder:
 
     def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, key: np.ndarray) -> None:
         size = end - start
-        order = np.argsort(-size, kind="stable")
-        sums = _sums(data)
-        counts, ids, keys = [], [], []
-        long = int(np.searchsorted(-size[order], -SIDE_BY_SIDE, "left"))
-        for k in order[:long].tolist():
-            got = encode_stream(self.v, data[start[k] : end[k]].tobytes())
-            counts.append(np.array([len(got)]))
-            ids.append(np.array(got, np.int32))
-            keys.append(key[k : k + 1])
-        for a in range(long, len(order), TOGETHER):
-            part = order[a : a + TOGETHER]
-            n, got = _side_by_side(self.v, data, sums, start[part], size[part])
+        counts, ids = [], []
+        for a in range(0, len(start), TOGETHER):
+            n, got = search(self.v, data, start[a : a + TOGETHER], size[a : a + TOGETHER])
             counts.append(n)
             ids.append(got)
-            keys.append(key[part])
         n = np.concatenate(counts)
         self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(n) - n])
         self.n = np.concatenate([self.n, n])
         self.ids = np.concatenate([self.ids, *ids])
         slot = np.concatenate([self.slot, len(self.slot) + np.arange(len(n))])
-        key = np.concatenate([self.key, *keys])
+        key = np.concatenate([self.key, key])
         order = np.argsort(key)
         self.key, self.slot = key[order], slot[order]
 
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, each row's first): rows that aren't empty begin with a blank of their own."""
+        ids, first = self._from_memory(data, bounds)
+        back, at = decode(self.v, ids, first)
+        if np.array_equal(back, data) and np.array_equal(at, bounds):
+            return ids, first
+        parts = []
+        for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+            own = ids[first[k] : first[k + 1]]
+            if not np.array_equal(back[at[k] : at[k + 1]], data[a:b]):
+                text = np.r_[np.uint8(32), data[a:b]]
+                own = search(self.v, text, np.zeros(1, np.int64), np.array([len(text)]))[1]
+            parts.append(own)
+        return np.concatenate(parts), np.r_[0, np.cumsum([len(x) for x in parts])]
+
+    def _from_memory(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         filled = np.diff(bounds) > 0
         text = np.insert(data, bounds[:-1][filled], 32)
         bounds = bounds + np.r_[0, np.cumsum(filled)]
         if not len(text):
             return np.zeros(0, np.int32), np.zeros(len(bounds), np.int64)
-        if not self.v.parted:
-            rows = [encode_stream(self.v, text[a:b].tobytes()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-            return np.array([i for r in rows for i in r], np.int32), np.r_[0, np.cumsum([len(r) for r in rows])]
         new = np.zeros(len(text), bool)
-        new[1:] = ((text[1:] == 32) & (text[:-1] != 32)) | (text[1:] == 10) | (text[:-1] == 10)
+        if self.v.parted:
+            new[1:] = ((text[1:] == 32) & (text[:-1] != 32)) | (text[1:] == 10) | (text[:-1] == 10)
         new[bounds[:-1][bounds[:-1] < len(text)]] = True
         start = np.flatnonzero(new)
         end = np.r_[start[1:], len(text)]
@@ -384,5 +442,9 @@ def _digest(vocabulary_of):
 
 
 def piece_digest(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """(doc_id, n_bytes, n_ids, ids_sha256, text_sha256, round_trip): of each text's ids (little-endian int32), and of what they decode to."""
+    """(doc_id, n_bytes, n_ids, ids_sha256, text_sha256, round_trip): of each text's ids (little-endian int32), and of what they decode to.
+
+    Null and empty texts have no ids and the digests of nothing. Each row alone
+    decides its values; ids may be null or repeat; an empty table gives an empty one.
+    """
     return docs.select("doc_id", "text").mapInArrow(_digest(docs.sparkSession.sparkContext.broadcast(load(path))), DIGEST)

@@ -8,6 +8,7 @@ counts as an empty one.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +22,10 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_BYTE_LOWER = _BYTE[LOWER]
-_BASE = U64(0x9E3779B97F4A7C15)
-_BASE_INV = U64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _MULT = _rng.integers(1, 2**63, 16, dtype=np.uint64) * U64(2) + U64(1)
-_powers: dict[str, np.ndarray] = {}
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Spans of more bytes are hashed one at a time.
+LONG = 64
 
 #: Bytes of text that one vectorised step holds; longer texts are a step of their own.
 STEP_BYTES = 1 << 20
@@ -42,15 +41,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers["up"]) < n:
-        size = 1 << max(20, int(n - 1).bit_length())
-        up, down = np.full(size, _BASE), np.full(size, _BASE_INV)
-        up[0] = down[0] = 1
-        _powers["up"], _powers["down"] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _powers["up"], _powers["down"]
-
-
 def steps(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, row bounds within them) of runs of rows of about STEP_BYTES."""
     chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
@@ -109,11 +99,26 @@ def lines(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit hashes of byte spans (A-Z as a-z if `lower`): differences of a running polynomial."""
-    up, down = _power(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * up[: len(data)], out=sums[1:])
-    return mix64((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    """64-bit hashes of byte spans (A-Z as a-z if `lower`).
+
+    Eight bytes a step, each step mixed through all bits before the next, so no
+    pair of texts made for a polynomial collides; spans of over LONG bytes go
+    through a cryptographic hash.
+    """
+    size = (end - start).astype(np.int64)
+    held = np.zeros(len(data) + 8, np.uint8)
+    held[: len(data)] = LOWER[data] if lower else data
+    eight = np.ndarray((len(data) + 1,), "<u8", held, 0, (1,))  # the eight bytes from each place on
+    out = mix64(mix64(size.astype(np.uint64) + U64(0x9E3779B97F4A7C15)) ^ (eight[start] & _KEEP[np.minimum(size, 8)]))
+    live = np.flatnonzero((size > 8) & (size <= LONG))
+    for k in range(8, LONG, 8):
+        if not len(live):
+            break
+        out[live] = mix64(out[live] + _MULT[k // 8] ^ (eight[start[live] + k] & _KEEP[np.minimum(size[live] - k, 8)]))
+        live = live[size[live] > k + 8]
+    for k in np.flatnonzero(size > LONG).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(held[start[k] : end[k]].data, digest_size=8).digest(), "little")
+    return out
 
 
 def shingles(word: np.ndarray, first: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:

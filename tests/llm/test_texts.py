@@ -188,6 +188,43 @@ def test_stream_keeps_a_window(vocabulary):
     assert ids + s.finish() == pieces.encode_stream(vocabulary, raw) and most < 6 * vocabulary.longest
 
 
+def doubling(n, swap=False):
+    """A word of a and b that, with its complement, has one polynomial hash modulo a power of 2."""
+    word = "ba" if swap else "ab"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+def test_lockstep_is_one_search(vocabulary):
+    """Stretches of any lengths together, each as if alone; windows that don't meet grow."""
+    texts = ["a" * 70, "lllll" * 300, doubling(4096), doubling(4096, True), "x", "漢字🙂" * 50, "~!" * 40, " " * 90]
+    raw = [b" " + t.encode() for t in texts]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    size = np.array([len(r) for r in raw])
+    n, ids = pieces.search(vocabulary, data, np.cumsum(size) - size, size)
+    first = np.r_[0, np.cumsum(n)]
+    assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [best_cut(vocabulary, r) for r in raw]
+    toy = pieces.Vocabulary([(0, b"a", -1.0), (1, b"aa", -2.0), (2, b"ab", -9.0), (3, b" a b", -1.0)], list(range(10, 266)), 300)
+    for text in (b"a" * 200 + b"b", b"a b" * 9, b"aab a bcc", b""):
+        assert pieces.search(toy, np.frombuffer(text, np.uint8), np.zeros(1, np.int64), np.array([len(text)]))[1].tolist() == best_cut(toy, text)
+
+
+def test_words_of_one_polynomial_hash(vocabulary, spark):
+    texts = [doubling(n, swap) for n in (16, 64, 1024, 4096) for swap in (False, True)]
+    got = pieces.piece_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(r.round_trip for r in got) and len({r.ids_sha256 for r in got}) == len(texts)
+
+
+def test_meeting_hashes_are_found_out(vocabulary, monkeypatch):
+    """A row whose stretches' hashes meet is searched by itself."""
+    from tandemlake.llm import textvec as tv
+
+    monkeypatch.setattr(tv, "span_hash", lambda data, start, end, lower=True: (end - start).astype(np.uint64))
+    texts = ["one two six", "ten owl axe", "same same"]
+    assert encode_all(vocabulary, texts) == [best_cut(vocabulary, b" " + t.encode()) for t in texts]
+
+
 def test_pieces_against_library(vocabulary):
     pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
     import sentencepiece
