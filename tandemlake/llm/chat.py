@@ -4,6 +4,9 @@ A turn is written as <|im_start|>role, newline, body, <|im_end|>, newline. In
 bodies and roles `<`, any backslashes, `|` get one backslash more before the bar,
 so no control string can come from a text, and taking one away gives it back.
 Attachments become <|kind:n|> placeholders, numbered within their conversation.
+Text parts that follow each other are joined before they are escaped, so none can
+begin a control string that the next one ends; a placeholder ends in `>`, which
+begins none. Reading back cuts at the placeholders before anything is unescaped.
 
 Rows go to their conversation's partition and are sorted there; turns are then
 formatted, and read back, as a stream. A conversation never has to be in memory
@@ -25,7 +28,7 @@ START, END = "<|im_start|>", "<|im_end|>"
 KINDS = ("image", "audio", "document")
 _OPEN, _SHUT = re.compile(r"<(\\*)\|"), re.compile(r"<(\\*)\\\|")
 _TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
-_MARK = re.compile(r"<\|(?:image|audio|document):\d+\|>")
+_MARK = re.compile(r"<\|(image|audio|document):(\d+)\|>")
 #: Tokens that an attachment without a stated count stands for.
 EXPANDED = {"image": 256, "audio": 128, "document": 512}
 
@@ -46,6 +49,24 @@ def unescape_role(role: str) -> str:
     return unescape(role).replace("%0A", "\n").replace("%25", "%")
 
 
+def text_of(body: str) -> str:
+    """The text of a formatted body, without its placeholders."""
+    return "".join(unescape(x) for x in _MARK.split(body)[::3])
+
+
+def parts_of(body: str, attached: list) -> list[tuple]:
+    """(type, text, ref, tokens) of a formatted body: texts, and attachments by their number."""
+    at = {n: (ref, tokens) for _, n, ref, tokens in attached}
+    cut = _MARK.split(body)
+    out = []
+    for k in range(0, len(cut), 3):
+        if cut[k]:
+            out.append(("text", unescape(cut[k]), None, None))
+        if k + 2 < len(cut):
+            out.append((cut[k + 1], None, *at[int(cut[k + 2])]))
+    return out
+
+
 @dataclass
 class Visitor:
     """Flattens parts in order; keeps what they refer to."""
@@ -53,19 +74,38 @@ class Visitor:
     seen: int = 0
     attached: list[tuple] = field(default_factory=list)
     tokens: int = 0
+    body: list[str] = field(default_factory=list)
+    pending: list[str] = field(default_factory=list)
 
-    def visit(self, part: dict) -> str:
-        kind = part.get("type") or "text"
-        if kind == "text":
-            return escape(part.get("text") or "")
-        if kind not in KINDS:
-            raise ValueError(f"unknown content part: {kind}")
+    def text(self, part: dict) -> None:
+        self.pending.append(part.get("text") or "")
+
+    def attachment(self, part: dict) -> None:
+        kind, tokens = part["type"], part.get("tokens")
+        self.close()
         n, self.seen = self.seen, self.seen + 1
-        tokens = part.get("tokens")
         tokens = EXPANDED[kind] if tokens is None else int(tokens)
         self.attached.append((kind, n, part.get("ref"), tokens))
         self.tokens += tokens
-        return f"<|{kind}:{n}|>"
+        self.body.append(f"<|{kind}:{n}|>")
+
+    def close(self) -> None:
+        """The texts since the last placeholder, joined, then escaped."""
+        self.body.append(escape("".join(self.pending)))
+        self.pending = []
+
+    def turn(self, parts: list) -> str:
+        """The body of one turn; null parts are left out."""
+        self.attached, self.tokens, self.body = [], 0, []
+        for part in parts:
+            if part is None:
+                continue
+            kind = part.get("type") or "text"
+            if kind != "text" and kind not in KINDS:
+                raise ValueError(f"unknown content part: {kind}")
+            (self.text if kind == "text" else self.attachment)(part)
+        self.close()
+        return "".join(self.body)
 
 
 SHAPE = "conv_id long, turn_no long, chunk string, loss_start long, loss_end long, attachments string, attachment_tokens long"
@@ -78,10 +118,9 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c, role, content in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "role", "content"))):
             if fresh or c != conv:
                 conv, visitor, turn, at, fresh = c, Visitor(), 0, 0, False
-            visitor.attached, visitor.tokens = [], 0
             parts = [{"text": content}] if not isinstance(content, list) else content
             head = f"{START}{escape_role(role or '')}\n"
-            body = "".join(map(visitor.visit, parts))
+            body = visitor.turn(parts)
             loss = (at + len(head), at + len(head) + len(body)) if role == "assistant" else (None, None)
             chunk = f"{head}{body}{END}\n"
             out.append((c, turn, chunk, *loss, json.dumps(visitor.attached) if visitor.attached else None, visitor.tokens))
@@ -98,8 +137,9 @@ def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     chunks of a conversation, one after the other, are its formatted text;
     loss_start and loss_end (null but for role assistant) are code points in it.
     attachments: JSON list of [kind, number, ref, tokens], or null.
-    Null texts, roles and parts' texts are empty; null turns come first; equal
-    turns go by role, then text; a null conversation is one of its own. Empty
+    Null texts, roles and parts' texts are empty, null parts are left out, a part
+    without a type is text, one of an unknown type is an error; null turns come
+    first; equal turns go by role, then text; a null conversation is one of its own. Empty
     tables give empty ones; other columns aren't read.
     """
     own = rows.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(content_col).alias("content"))
@@ -127,11 +167,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     out.append(done())
                 state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
             m = _TURN.fullmatch(chunk)
-            text = unescape(_MARK.sub("", m[2]))
+            text = text_of(m[2])
             state[1] += 1
             state[2].update(f"{unescape_role(m[1])}\n{text}\n".encode())
             if start is not None:
-                masked = unescape(_MARK.sub("", chunk[start - state[5] : end - state[5]]))
+                masked = text_of(chunk[start - state[5] : end - state[5]])
                 state[3] += len(masked)
                 state[4].update(masked.encode())
             state[5] += len(chunk)
@@ -151,3 +191,26 @@ def _digests(out: list) -> pa.RecordBatch:
 def read_chats(formatted: DataFrame) -> DataFrame:
     """What the formatted turns of format_chats() hold, a row a conversation: see DIGEST."""
     return formatted.mapInArrow(_read, DIGEST)
+
+
+TURNS = "conv_id long, turn_no long, role string, content array<struct<type:string,text:string,ref:string,tokens:int>>"
+
+
+def _turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part = pa.struct([("type", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("tokens", pa.int32())])
+    for batch in batches:
+        roles, contents = [], []
+        for chunk, attached in zip(batch.column("chunk").to_pylist(), batch.column("attachments").to_pylist()):
+            m = _TURN.fullmatch(chunk)
+            roles.append(unescape_role(m[1]))
+            contents.append([dict(zip(("type", "text", "ref", "tokens"), p)) for p in parts_of(m[2], json.loads(attached or "[]"))])
+        yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("turn_no"), pa.array(roles, pa.string()), pa.array(contents, pa.list_(part))], ["conv_id", "turn_no", "role", "content"])
+
+
+def read_turns(formatted: DataFrame) -> DataFrame:
+    """The turns that format_chats() wrote, with their parts: see TURNS.
+
+    Texts that followed each other come back as one part, empty ones as none;
+    null roles as empty ones. An empty table gives an empty one.
+    """
+    return formatted.select("conv_id", "turn_no", "chunk", "attachments").mapInArrow(_turns, TURNS)
