@@ -93,8 +93,24 @@ def _of_documents(p: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndar
     return np.column_stack([mean, tv.row_sum(logit * weight, first) / tv.row_sum(weight, first), least, np.log(tv.row_sum(weight, first))])
 
 
+def _halves(label: np.ndarray) -> np.ndarray:
+    """Every other document of either label, in drawn order: both halves hold a label that two documents have."""
+    drawn = np.random.default_rng(1).permutation(len(label))
+    half = np.zeros(len(label), bool)
+    for k in (0, 1):
+        half[drawn[label[drawn] == k][k::2]] = True
+    if not half.any():
+        half[:] = True
+    return half
+
+
 def train(table: pa.Table) -> Model:
-    """From (text, label). Halves of the sample teach the chain and the document scale."""
+    """From (text, label). Halves of the sample teach the chain and the document scale.
+
+    Without documents all scores are 0.5; where a half would lack a label all
+    documents teach both; where only one label occurs all scores are the same and
+    lean to it. Scores are in 0 to 1 always.
+    """
     label = table.column("label").to_numpy().astype(np.int64)
     own, size, many = [], [], []
     for _, _, data, bounds in tv.steps(table.column("text")):
@@ -108,13 +124,17 @@ def train(table: pa.Table) -> Model:
     mean, spread = feature.mean(axis=0), feature.std(axis=0) + 1e-6
     mean[-1], spread[-1] = 0, 1
     feature = _scaled(mean, spread, feature)
-    half = np.random.default_rng(1).permutation(len(many)) % 2 == 0
-    of_line = np.repeat(half, many)
+    half = _halves(label)
+    other = ~half if len(np.unique(label[~half])) > 1 else np.ones(len(label), bool)  # too few for halves: all teach both
+    of_line, of_other = np.repeat(half, many), np.repeat(other, many)
     part = lambda h: np.r_[0, np.cumsum(many[h])]
     chain = fit(feature[of_line], np.repeat(label[half], many[half]), part(half))
-    first = part(~half)
-    columns = _of_documents(marginals(feature[~of_line], first, chain), size[~of_line], first)
-    return Model(mean, spread, chain, logistic(columns, label[~half].astype(float)))
+    first = part(other)
+    columns = _of_documents(marginals(feature[of_other], first, chain), size[of_other], first)
+    if len(np.unique(label)) == 1:  # nothing to tell apart
+        n1 = label.sum()
+        return Model(mean, spread, chain, np.r_[np.zeros(columns.shape[1]), np.log((n1 + 0.5) / (len(label) - n1 + 0.5))])
+    return Model(mean, spread, chain, logistic(columns, label[other].astype(float)))
 
 
 def _score(model_of):
@@ -145,7 +165,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = 0.3) -> DataFrame:
-    """(doc_id, held_out, score, predicted, n_lines) of every row of docs, learnt from labels.quality."""
+    """(doc_id, held_out, score, predicted, n_lines) of every row of docs, learnt from labels.quality.
+
+    Null labels and labels of the held-out fold aren't learnt from; an id labelled
+    twice counts by its largest label; a null id is never held out. Null and empty
+    texts are scored as one empty line, repeated rows alike; columns beside doc_id
+    and text aren't read. An empty table gives an empty one.
+    """
     model = train(sample(docs, labels, "quality", per_class)[0])
     scored = score(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_lines")

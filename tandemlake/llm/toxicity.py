@@ -176,7 +176,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """(doc_id, held_out, score, predicted, spans) of every row of docs, learnt from labels.toxic."""
+    """(doc_id, held_out, score, predicted, spans) of every row of docs, learnt from labels.toxic.
+
+    Null labels and labels of the held-out fold aren't learnt from; an id labelled
+    twice counts by its largest label; a null id is never held out. Null and empty
+    texts are scored as having no words, repeated rows alike; without labels all
+    score 0.5; columns beside doc_id and text aren't read. An empty table gives an
+    empty one.
+    """
     model = train(*sample(docs, labels, "toxic", per_class))
     scored = score(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")

@@ -2,6 +2,7 @@
 
 import itertools
 import os
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +73,20 @@ def test_scores_of_odd_texts(spark, module):
     assert run(docs, labels.limit(0)).count() == 7 and run(docs.limit(0), labels).count() == 0
 
 
+@pytest.mark.parametrize("module", [toxicity, quality])
+@pytest.mark.parametrize("labels", [[], [1], [0], [0, 1], [1, 1, 1], [0, 0], [0, 0, 0, 1]])
+def test_scores_stay_within_bounds(spark, module, labels):
+    """Of none, one, two labelled documents, and of one label alone."""
+    column, run = ("toxic", module.toxicity) if module is toxicity else ("quality", module.quality)
+    kept = [k for k in range(1, 60) if zlib.crc32(str(k).encode()) % 5][: len(labels)]
+    texts = ["a fine line of text\nand one more of it", "zzz %% $$ 11\nqq", None, ""]
+    docs = spark.createDataFrame([(k, texts[k % 4]) for k in range(1, 60)], "doc_id long, text string")
+    got = run(docs, spark.createDataFrame(list(zip(kept, labels)), f"doc_id long, {column} int")).collect()
+    assert len(got) == 59 and all(0 <= r.score <= 1 for r in got)
+    if len(set(labels)) == 1 and len(labels) > 1:
+        assert all((r.score > 0.5) == (labels[0] == 1) for r in got)
+
+
 def test_toxic_spans():
     table = pa.table({"text": [f"é word{k} {'idiot' if k % 2 else 'plain'} here it is" for k in range(200)], "label": [k % 2 for k in range(200)]})
     model = toxicity.train(table)
