@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tandemlake.llm import ann, crf, quality, toxicity
+from tandemlake.llm import ann, crf, labelled, quality, toxicity
 
 DATA = os.environ.get("TEST_LLM_DIR", "/root/testdata/sf0.01")
 
@@ -73,6 +73,23 @@ def test_scores_of_odd_texts(spark, module):
     assert run(docs, labels.limit(0)).count() == 7 and run(docs.limit(0), labels).count() == 0
 
 
+def test_samples_are_bounded(spark):
+    """In rows and bytes, with an id that very many rows share; a labelled row's text comes whole."""
+    good = [k for k in range(300) if zlib.crc32(str(k).encode()) % 5]
+    rows = [(good[0], f"shared {k}") for k in range(500)] + [(k, f"text of {k} " * (k + 1)) for k in good[1:]] + [(None, "x"), (good[1], None)]
+    docs = spark.createDataFrame(rows + rows[:9], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in good] + [(good[2], 1), (None, 1), (good[3], None)], "doc_id long, toxic int")
+    table, all_of = labelled.sample(docs, labels, "toxic", 40)
+    label = table.column("label").to_pylist()
+    assert label.count(0) == label.count(1) == 40 and sum(all_of) == len(good)
+    assert {(r["doc_id"], r["text"]) for r in table.to_pylist()} <= set(rows) and len(table) == len({(r["doc_id"], r["text"]) for r in table.to_pylist()})
+    table, _ = labelled.sample(docs, labels, "toxic", 1000, class_bytes=5000)
+    for k in (0, 1):
+        assert 0 < sum(len(r["text"] or "") for r in table.to_pylist() if r["label"] == k) <= 5000
+    again, _ = labelled.sample(docs.repartition(7), labels, "toxic", 1000, class_bytes=5000)
+    assert again.to_pylist() == table.to_pylist()
+
+
 @pytest.mark.parametrize("module", [toxicity, quality])
 @pytest.mark.parametrize("labels", [[], [1], [0], [0, 1], [1, 1, 1], [0, 0], [0, 0, 0, 1]])
 def test_scores_stay_within_bounds(spark, module, labels):
