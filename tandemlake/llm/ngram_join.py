@@ -6,19 +6,25 @@ the first n - ceil(t n) + 1 of each. Every order here puts rare tokens first
 (document frequency over the whole corpus); the orders differ in how they break
 ties. A pair is a candidate only if it shares such a token under every order.
 
+A pair's larger set is looked up by all those tokens, its smaller one by the first
+n - ceil(2 t / (1 + t) n) + 1, as at least so many must be shared with a larger set.
+
 How it scales:
 - Tokens travel as packed bytes (6 a token), dealt out by token range; the
-  number of ranges follows the corpus, so a range holds about RANGE_TOKENS.
+  number of ranges follows the corpus, so a range holds about RANGE_TOKENS. Where
+  ranges are many they are dealt in two steps, so that packs stay large.
 - Tokens of a large share of all documents are found first. Their number is
-  bounded (sum of set sizes / (share * documents)), so they are broadcast, never
-  dealt out by range.
+  bounded (sum of set sizes / (share * documents)), so they go along with the code.
 - A token of one document only can't link it; a document whose prefix holds no
   other is dropped before any pair is looked at.
-- Equal sets are one class from the first step on.
+- Equal sets are one class from the first step on. A set is told by its 64-bit
+  sum: two of n different sets are taken for one with probability n^2 / 2^65.
 - Groups of near copies: a few times, each class is held against one head that
-  shares some of its least tokens, and components are formed; only pairs across
-  components are then searched, by all prefix tokens. Pairs within a component
-  can't change the result, so no link between components is lost.
+  shares some of its least tokens, and components are formed. This only finds
+  links early: two sets of one component needn't be held against each other, and
+  the result is the same without it.
+- All sets of different components that share a prefix token are then paired up,
+  order by order, long lists in blocks; pairs that every order has are verified.
 - Token lists are bucketed by set, so that pairs come to them, not they to pairs.
 """
 
@@ -33,14 +39,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import textvec as tv
 from .graph import components
 from .scratch import Scratch
+from .skew import bring, meet
 
 RANGE_TOKENS = 2_000_000
 BATCH_TOKENS = 2_000_000
 HEAVY_SHARE = 0.01
 #: Tokens of a set's sketch, and how often sets are held against a head before the full search.
 SKETCH, ROUNDS = 8, 3
-#: Sets that one side of a block of the full search holds, about.
-BLOCK = 128
+#: Sets of one token that one block holds, about.
+BLOCK = 1024
+#: Ranges up to which a batch is dealt in one step; more are dealt in two, by the square root.
+ONE_STEP = 1024
+#: Buckets that a table may have.
+MOST_BUCKETS = 100_000
 U64 = np.uint64
 
 
@@ -67,12 +78,87 @@ def _blob(fp, n, count, tok, code) -> bytes:
 def _unblob(raw) -> tuple[np.ndarray, ...]:
     raw = np.frombuffer(raw, np.uint8)
     m = int(raw[:4].view("<u4")[0])
-    fp, n, count = raw[4 : 4 + 8 * m].copy().view("<u8"), raw[4 + 8 * m : 4 + 12 * m].copy().view("<u4"), raw[4 + 12 * m : 4 + 16 * m].copy().view("<u4")
-    rest = raw[4 + 16 * m :]
-    total = len(rest) // 7
+    fp, n, count = raw[4 : 4 + 8 * m].copy().view("<u8"), raw[4 + 8 * m : 4 + 12 * m].copy().view("<u4").astype(np.int64), raw[4 + 12 * m : 4 + 16 * m].copy().view("<u4").astype(np.int64)
+    rest, total = raw[4 + 16 * m :], int(count.sum())
     return fp, n, count, _unpack(rest[: 6 * total]), rest[6 * total :]
 
 
+def by_token(fp: np.ndarray, row: np.ndarray, tok: np.ndarray, group: np.ndarray) -> tuple[list, list]:
+    """Blobs by group of tokens; row: each token's set."""
+    order = np.argsort(group, kind="stable")
+    row, tok, group = row[order], tok[order], group[order]
+    cut = np.flatnonzero(group[1:] != group[:-1]) + 1
+    keys, blobs = [], []
+    for a, b in zip(np.r_[0, cut].tolist() if len(group) else [], np.r_[cut, len(group)].tolist()):
+        own = row[a:b]
+        new = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        keys.append(int(group[a]))
+        blobs.append(_blob(fp[own[new]], np.zeros(len(new)), np.diff(np.r_[new, b - a]), tok[a:b], np.zeros(0)))
+    return keys, blobs
+
+
+def by_set(fp: np.ndarray, n: np.ndarray, count: np.ndarray, tok: np.ndarray, code: np.ndarray, group: np.ndarray) -> tuple[list, list]:
+    """Blobs by group of sets."""
+    at = np.r_[0, np.cumsum(count)]
+    order = np.argsort(group, kind="stable")
+    fp, n, count, group = fp[order], n[order], count[order], group[order]
+    pick = np.repeat(at[:-1][order] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum()) if len(order) else np.zeros(0, np.int64)
+    tok, code, at = tok[pick], code[pick], np.r_[0, np.cumsum(count)]
+    cut = np.flatnonzero(group[1:] != group[:-1]) + 1
+    keys, blobs = [], []
+    for a, b in zip(np.r_[0, cut].tolist() if len(group) else [], np.r_[cut, len(group)].tolist()):
+        keys.append(int(group[a]))
+        blobs.append(_blob(fp[a:b], n[a:b], count[a:b], tok[at[a] : at[b]], code[at[a] : at[b]]))
+    return keys, blobs
+
+
+def range_of(tok: np.ndarray, ranges: int) -> np.ndarray:
+    return ((tok >> U64(16)) * U64(ranges) >> U64(32)).astype(np.int64)
+
+
+def _packs(keys: list, blobs: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], PACKS)
+
+
+PACKS = ["key", "blob"]
+
+
+def _deal_again(ranges: int, fan: int, sets: bool):
+    """Blobs of coarse groups (keys -1, -2, ...) dealt to the ranges, or groups of sets, in them; others pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, have = [], 0
+
+        def flush():
+            fp, n, count, tok, code = (np.concatenate([h[k] for h in held]) for k in range(5))
+            held.clear()
+            if sets:
+                return _packs(*by_set(fp, n, count, tok, code, (fp % U64(ranges)).astype(np.int64)))
+            return _packs(*by_token(fp, np.repeat(np.arange(len(fp)), count), tok, range_of(tok, ranges)))
+
+        for batch in batches:
+            coarse = batch.column(0).to_numpy() < 0
+            yield batch.filter(pa.array(~coarse))
+            for blob in batch.column(1).filter(pa.array(coarse)):
+                held.append(_unblob(blob.as_buffer()))
+                have += len(held[-1][3])
+                if have >= BATCH_TOKENS:
+                    yield flush()
+                    have = 0
+        if held:
+            yield flush()
+        tv.release()
+
+    return run
+
+
+def again(packs: DataFrame, ranges: int, fan: int, sets: bool) -> DataFrame:
+    """The second step of a deal in two: each coarse group's packs come together, then go out by range."""
+    if fan == 1:
+        return packs
+    return packs.repartition("key").sortWithinPartitions("key").mapInArrow(_deal_again(ranges, fan, sets), "key long, blob binary")
+
+
 def code_of(df: np.ndarray) -> np.ndarray:
     """A document frequency as one byte, eight steps an octave: only the order matters."""
     return np.minimum(255, np.floor(8 * np.log2(np.maximum(df, 1)))).astype(np.uint8)
@@ -125,8 +211,8 @@ def _meta(width: int, share: float, more: tuple[str, ...] = ()):
     return run
 
 
-def _deal(width: int, ranges: int, heavy: np.ndarray, heavy_code: np.ndarray, by_line: bool = False):
-    """Blobs of rare-enough tokens by token range; of sizes and heavy tokens by set (keys from `ranges` on)."""
+def _deal(width: int, ranges: int, fan: int, heavy: np.ndarray, heavy_code: np.ndarray):
+    """Blobs of rare-enough tokens by token range, or -1 less `fan` ranges together; of sizes and heavy tokens by set (keys from `ranges` on)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -135,6 +221,7 @@ def _deal(width: int, ranges: int, heavy: np.ndarray, heavy_code: np.ndarray, by
             tok = np.concatenate([h[0] for h in held])
             n = np.concatenate([np.diff(h[1]) for h in held])
             fp = np.concatenate([h[2] for h in held])
+            held.clear()
             row = np.repeat(np.arange(len(fp)), n)
             first = np.zeros(len(fp), bool)
             first[np.unique(fp, return_index=True)[1]] = True
@@ -143,32 +230,17 @@ def _deal(width: int, ranges: int, heavy: np.ndarray, heavy_code: np.ndarray, by
             tok, row = tok[keep], row[keep]
             place = np.minimum(np.searchsorted(heavy, tok), max(len(heavy) - 1, 0))
             is_heavy = heavy[place] == tok if len(heavy) else np.zeros(len(tok), bool)
-            keys, blobs = [], []
-            t, r = tok[~is_heavy], row[~is_heavy]
-            g = ((t >> U64(16)) * U64(ranges) >> U64(32)).astype(np.uint16 if ranges < 65536 else np.int64)
-            order = np.argsort(g, kind="stable")
-            t, r, g = t[order], r[order], g[order]
-            cut = np.flatnonzero(np.diff(g)) + 1
-            for a, b in zip(np.r_[0, cut].tolist() if len(g) else [], np.r_[cut, len(g)].tolist()):
-                rr = r[a:b]
-                new = np.flatnonzero(np.r_[True, rr[1:] != rr[:-1]])
-                keys.append(int(g[a]))
-                blobs.append(_blob(fp[rr[new]], np.zeros(len(new)), np.diff(np.r_[new, b - a]), t[a:b], np.zeros(0)))
-            t, r, c = tok[is_heavy], row[is_heavy], heavy_code[place[is_heavy]] if len(heavy) else np.zeros(0, np.uint8)
+            t = tok[~is_heavy]
+            group = range_of(t, ranges)
+            keys, blobs = by_token(fp, row[~is_heavy], t, group if fan == 1 else -1 - group // fan)
+            code = heavy_code[place[is_heavy]] if len(heavy) else np.zeros(0, np.uint8)
             some = np.flatnonzero(first)
-            count = np.bincount(r, minlength=len(fp))[some]
-            group = (fp[some] % U64(ranges)).astype(np.int64)
-            at = np.r_[0, np.cumsum(count)]
-            for b in np.unique(group).tolist():
-                own = np.flatnonzero(group == b)
-                pick = np.concatenate([np.arange(at[x], at[x + 1]) for x in own]) if count[own].any() else np.zeros(0, np.int64)
-                keys.append(ranges + b)
-                blobs.append(_blob(fp[some][own], n[some][own], count[own], t[pick], c[pick]))
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["key", "blob"])
+            count = np.bincount(row[is_heavy], minlength=len(fp))[some]
+            more = by_set(fp[some], n[some], count, tok[is_heavy], code, ranges + (fp[some] % U64(ranges)).astype(np.int64))
+            return _packs(keys + more[0], blobs + more[1])
 
         for batch in batches:
-            for _, _, _, tok, at, fp in token_sets(batch.column(0), width, by_line):
+            for _, _, _, tok, at, fp in token_sets(batch.column(0), width):
                 held.append((tok, at, fp))
                 if sum(len(h[0]) for h in held) >= BATCH_TOKENS:
                     yield flush()
@@ -179,22 +251,15 @@ def _deal(width: int, ranges: int, heavy: np.ndarray, heavy_code: np.ndarray, by
     return run
 
 
-def _range_blob(raw) -> tuple[np.ndarray, ...]:
-    """A blob without codes: sets, counts, tokens."""
-    raw = np.frombuffer(raw, np.uint8)
-    m = int(raw[:4].view("<u4")[0])
-    return raw[4 : 4 + 8 * m].copy().view("<u8"), raw[4 + 12 * m : 4 + 16 * m].copy().view("<u4").astype(np.int64), _unpack(raw[4 + 16 * m :])
-
-
-def _count(ranges: int):
+def _count(ranges: int, fan: int):
     """Of one token range: the tokens of two sets or more, with their frequency, dealt out by set."""
 
     def run(table: pa.Table) -> pa.Table:
         key, blobs = table.column("key")[0].as_py(), table.column("blob")
         if key >= ranges:
-            return pa.table({"key": pa.array(np.full(len(table), key - ranges, np.int32)), "blob": blobs})
-        parts = [_range_blob(x.as_buffer()) for x in blobs]
-        fp, count, tok = (np.concatenate([p[k] for p in parts]) for k in range(3))
+            return pa.table({"key": pa.array(np.full(len(table), key - ranges, np.int64)), "blob": blobs})
+        parts = [_unblob(x.as_buffer()) for x in blobs]
+        fp, count, tok = (np.concatenate([p[k] for p in parts]) for k in (0, 2, 3))
         one = np.zeros(len(fp), bool)
         one[np.unique(fp, return_index=True)[1]] = True
         keep = np.repeat(one, count)
@@ -205,17 +270,12 @@ def _count(ranges: int):
         df = np.diff(np.r_[start, len(tok)])
         df = np.repeat(df, df)
         tok, fp, code = tok[df > 1], fp[df > 1], code_of(df[df > 1])
-        group = (fp % U64(ranges)).astype(np.int32)
-        order = np.lexsort((fp, group))
-        tok, fp, code, group = tok[order], fp[order], code[order], group[order]
-        cut = np.flatnonzero(np.diff(group)) + 1
-        keys, out = [], []
-        for a, b in zip(np.r_[0, cut].tolist() if len(group) else [], np.r_[cut, len(group)].tolist()):
-            f = fp[a:b]
-            new = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
-            keys.append(int(group[a]))
-            out.append(_blob(f[new], np.zeros(len(new)), np.diff(np.r_[new, b - a]), tok[a:b], code[a:b]))
-        return pa.table({"key": pa.array(keys, pa.int32()), "blob": pa.array(out, pa.binary())})
+        order = np.argsort(fp, kind="stable")
+        tok, fp, code = tok[order], fp[order], code[order]
+        new = np.flatnonzero(np.r_[True, fp[1:] != fp[:-1]]) if len(fp) else np.zeros(0, np.int64)
+        group = (fp[new] % U64(ranges)).astype(np.int64)
+        keys, out = by_set(fp[new], np.zeros(len(new), np.int64), np.diff(np.r_[new, len(fp)]), tok, code, group if fan == 1 else -1 - group // fan)
+        return pa.Table.from_batches([_packs(keys, out)])
 
     return tv.releasing(run)
 
@@ -246,8 +306,11 @@ def _gather(percent: int):
     return tv.releasing(run)
 
 
+POSTINGS = "ord int, tok long, fp long, label long, n int, rest int"
+
+
 def _prefixes(percent: int, orders: int):
-    """(ord, tok, label, n, rest): the prefix tokens of each set under each order; rest: tokens from there on."""
+    """POSTINGS: the prefix tokens of each set under each order (1, 2, 4, ...); rest: how many of the set's tokens are left from there on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,17 +323,38 @@ def _prefixes(percent: int, orders: int):
                 count = np.array([len(x) for x in toks])
                 row, tok = np.repeat(np.arange(len(toks)), count), np.concatenate(toks)
                 place = np.arange(len(tok)) - np.repeat(np.cumsum(count) - count, count)
-                label = part.column("label").to_numpy()
+                inside = place < length[row]
+                fp, label = part.column("fp").to_numpy(), part.column("label").to_numpy()
                 for k in range(orders):
                     order = np.lexsort((tv.mix64(tok + U64(1_000_003 * k)) if k else tok, code, row))
-                    take = order[place < length[row]]
+                    take = order[inside]
                     r = row[take]
-                    rest = size[r] - alone[r] - place[place < length[row]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), k, np.int32)), pa.array(tok[take].astype(np.int64)), pa.array(label[r]), pa.array(size[r].astype(np.int32)), pa.array(rest.astype(np.int32))], ["ord", "tok", "label", "n", "rest"])
+                    rest = size[r] - alone[r] - place[inside]
+                    cols = (np.full(len(r), 1 << k, np.int32), tok[take].astype(np.int64), fp[r], label[r], size[r].astype(np.int32), rest.astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [x.split()[0] for x in POSTINGS.split(", ")])
 
     return run
 
 
+def candidates(postings: DataFrame, percent: int, orders: int) -> DataFrame:
+    """(a, b): sets of different labels that share a prefix token under every order, from POSTINGS.
+
+    Per order, lists with one label only go first. The smaller set of a pair comes
+    by its short prefix, the larger one by its whole prefix; lengths, and what is
+    left after a shared token, must allow the similarity.
+    """
+    key = ["ord", "tok"]
+    mixed = postings.groupBy(*key).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(*key)
+    some = postings.join(mixed, key, "left_semi")
+    small = some.where(F.col("rest") * (100 + percent) >= F.col("n") * (2 * percent)).select(*key, F.col("fp").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("rest").alias("rx"))
+    large = some.select(*key, F.col("fp").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"), F.col("rest").alias("ry"))
+    length = (F.col("nx") <= F.col("ny")) & (F.col("nx") * 100 >= F.col("ny") * percent)
+    position = F.least("rx", "ry") * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent
+    met = meet(small, large, key, BLOCK).where((F.col("lx") != F.col("ly")) & length & position)
+    pair = met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.bit_or("ord").alias("all"))
+    return pair.where(F.col("all") == (1 << orders) - 1).select("a", "b")
+
+
 def _verify(percent: int):
     """Of pairs with both token lists: those of the wanted similarity. Tokens of one set only can't be shared."""
 
@@ -300,80 +384,28 @@ def _labelled(rows: DataFrame, group: DataFrame | None) -> DataFrame:
 
 
 def links_of(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of the wanted similarity; a set of very many pairs is in many tasks."""
     left = sets.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("tok").alias("ta"))
     right = sets.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("tok").alias("tb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(_verify(percent), "a long, b long")
-
-
-def _across(percent: int):
-    """Of two blocks of sets: links between components, one for each two components and set."""
+    return bring(bring(pairs.select("a", "b"), "a", "b", left), "b", "a", right).mapInArrow(_verify(percent), "a long, b long")
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        label, fp, n, side = (table.column(c).to_numpy() for c in ("label", "fp", "n", "side"))
-        toks = [_unpack(np.frombuffer(x.as_buffer(), np.uint8)) for x in table.column("tok")]
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        out_a, out_b = [], []
-        if len(left) and len(right):
-            tok = np.concatenate([toks[k] for k in right])
-            owner = np.repeat(np.arange(len(right)), [len(toks[k]) for k in right])
-            order = np.argsort(tok, kind="stable")
-            tok, owner = tok[order], owner[order]
-            for k in left.tolist():
-                own = np.sort(toks[k])
-                lo, hi = np.searchsorted(tok, own, "left"), np.searchsorted(tok, own, "right")
-                many = hi - lo
-                hit = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
-                both = np.bincount(owner[hit], minlength=len(right))
-                good = (100 * both >= percent * (int(n[k]) + n[right].astype(np.int64) - both)) & (label[right] != label[k])
-                got = right[good]
-                got = got[np.unique(label[got], return_index=True)[1]]
-                out_a.append(np.full(len(got), fp[k]))
-                out_b.append(fp[got])
-        none = np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(np.concatenate([none, *out_a])), "b": pa.array(np.concatenate([none, *out_b]))})
-
-    return tv.releasing(run)
 
-
-def _in_blocks(marked: DataFrame, family: DataFrame, percent: int) -> DataFrame:
-    """Links between components of one family, from (fp, n, tok, label).
-
-    Sets lie in blocks of about BLOCK: those of a large component in blocks of
-    its own, small components together. Blocks meet in twos, but for those of
-    one large component, so work follows the sets that are still apart.
-    """
-    size = marked.groupBy("label").agg(F.count("*").alias("size")).join(family, "label").withColumn("large", F.col("size") >= BLOCK)
-    small = size.groupBy("family").agg(F.sum(F.when(~F.col("large"), F.col("size"))).alias("small"))
-    size = size.join(small, "family").withColumn("own", F.when(F.col("large"), F.col("label")).otherwise(F.col("family")))
-    size = size.select("label", "family", "large", "own", F.ceil(F.when(F.col("large"), F.col("size")).otherwise(F.col("small")) / BLOCK).alias("parts"))
-    part = F.pmod(F.when(F.col("large"), F.xxhash64("fp")).otherwise(F.xxhash64("label")), "parts")
-    member = marked.select("fp", "n", "tok", "label").join(size, "label").withColumn("no", part)
-    one = size.select("family", "large", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("no")).distinct()
-    block = F.struct("large", "own", "no")
-    pair = one.select("family", block.alias("x")).join(one.select("family", block.alias("y")), "family")
-    pair = pair.where((F.col("x") <= F.col("y")) & ~(F.col("x.large") & F.col("y.large") & (F.col("x.own") == F.col("y.own"))))
-    pair = pair.withColumn("pair", F.xxhash64("family", "x", "y"))
-    sides = pair.select("family", "pair", "x.*", F.lit(0).alias("side")).union(pair.select("family", "pair", "y.*", F.lit(1).alias("side")))
-    shipped = member.join(sides, ["family", "large", "own", "no"]).select("pair", "side", "label", "fp", "n", "tok")
-    return shipped.groupBy("pair").applyInArrow(_across(percent), "a long, b long")
-
-
-def shared_tokens(texts: DataFrame, meta: DataFrame, count: int, tokens: int, width: int, percent: int, share: float, scratch: Scratch, by_line: bool = False) -> tuple[DataFrame, int]:
+def shared_tokens(texts: DataFrame, meta: DataFrame, count: int, tokens: int, width: int, percent: int, share: float, scratch: Scratch) -> DataFrame:
     """The sets whose prefix holds a token of another: (fp, n, alone, tok, code), bucketed by fp.
 
     texts: one column. meta: rows of kind 1 have locally frequent tokens (id, n).
     tok: the set's tokens that other sets hold, rarest first; alone: how many it
     has to itself.
     """
-    ranges = min(1 << 24, max(12, -(-tokens // RANGE_TOKENS)))
+    ranges = max(12, -(-tokens // RANGE_TOKENS))
+    fan = 1 if ranges <= ONE_STEP else int(np.ceil(np.sqrt(ranges)))
     # at most 2 * tokens / (share * sets) rows: bounded whatever the corpus' size
     rows = meta.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= F.lit(share / 2 * count)).orderBy("id").toPandas()
     heavy, heavy_code = rows["id"].to_numpy(np.int64).view(U64), code_of(rows["n"].to_numpy(np.int64))
-    dealt = texts.mapInArrow(_deal(width, ranges, heavy, heavy_code, by_line), "key int, blob binary")
-    by_set = dealt.groupBy("key").applyInArrow(_count(ranges), "key int, blob binary")
-    sets = by_set.groupBy("key").applyInArrow(_gather(percent), "fp long, n int, alone int, tok binary, code binary")
-    return scratch.bucketed(sets, "fp", min(ranges, 4096)), ranges
+    dealt = again(texts.mapInArrow(_deal(width, ranges, fan, heavy, heavy_code), "key long, blob binary"), ranges, fan, False)
+    own = again(dealt.groupBy("key").applyInArrow(_count(ranges, fan), "key long, blob binary"), ranges, fan, True)
+    sets = own.groupBy("key").applyInArrow(_gather(percent), "fp long, n int, alone int, tok binary, code binary")
+    return scratch.bucketed(sets, "fp", min(ranges, MOST_BUCKETS))
 
 
 def _grouped(source: DataFrame, width: int, percent: int, orders: int, heavy_share: float) -> tuple[DataFrame, DataFrame]:
@@ -383,7 +415,7 @@ def _grouped(source: DataFrame, width: int, percent: int, orders: int, heavy_sha
     meta = scratch.keep(source.mapInArrow(_meta(width, heavy_share, more), ", ".join(["kind tinyint, id long, fp long, n long", *(f"{c} long" for c in more)])))
     own = meta.where("kind = 0")
     total = own.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
-    sets, _ = shared_tokens(source.select("text"), meta, total.docs, total.tokens, width, percent, heavy_share, scratch)
+    sets = shared_tokens(source.select("text"), meta, total.docs, total.tokens, width, percent, heavy_share, scratch)
 
     # near copies first: each set against one head of a bucket of its sketch, a few times over
     sketch = scratch.keep(sets.mapInArrow(sketch_of, "tok long, fp long"))
@@ -399,18 +431,12 @@ def _grouped(source: DataFrame, width: int, percent: int, orders: int, heavy_sha
             break
         group = components(links, scratch)
 
-    # then all components that share a prefix token under every order, in blocks
-    marked = _labelled(sets, group)
-    bucket = marked.mapInArrow(_prefixes(percent, orders), "ord int, tok long, label long, n int, rest int")
-    bucket = scratch.keep(bucket.groupBy("ord", "tok", "label").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest")))
-    other = bucket.select("ord", "tok", F.col("label").alias("label2"), F.col("least").alias("least2"), F.col("most").alias("most2"), F.col("rest").alias("rest2"))
-    length = (F.col("most") * 100 >= F.col("least2") * percent) & (F.col("most2") * 100 >= F.col("least") * percent)
-    position = F.least("rest", "rest2") * (100 + percent) >= (F.col("least") + F.col("least2")) * percent
-    across = bucket.join(other, ["ord", "tok"]).where((F.col("label") < F.col("label2")) & length & position)
-    both = across.groupBy("label", "label2", "ord").agg(F.lit(1).alias("k")).groupBy("label", "label2").agg(F.count("*").alias("k")).where(F.col("k") == orders)
-    family = components(both.select(F.col("label").alias("a"), F.col("label2").alias("b")), scratch).select(F.col("v").alias("label"), F.col("label").alias("family"))
-    links = links.union(_in_blocks(marked, family, percent))
-    return own, components(links, scratch)
+    # then all sets that are still apart and share a prefix token under every order
+    postings = scratch.keep(_labelled(sets, group).mapInArrow(_prefixes(percent, orders), POSTINGS))
+    found = links_of(candidates(postings, percent, orders), sets, percent)
+    group = components(found if links is None else links.union(found), scratch)
+    scratch.clear(meta, group)
+    return own, group
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, orders: int = 3, heavy_share: float = HEAVY_SHARE) -> DataFrame:

@@ -26,25 +26,40 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.n = 0
+        self.held: dict[str, str | None] = {}  # path: name in the catalogue
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write df, and return what reads it back."""
-        path, self.n = f"{self.root}/{self.n}", self.n + 1
+        path = f"{self.root}/{uuid.uuid4().hex}"
         df.write.parquet(path)
+        self.held[path] = None
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
-    def bucketed(self, df: DataFrame, key: str, buckets: int, *parts: str) -> DataFrame:
-        """Write df in buckets of the key, apart by `parts`: joins on the key move the other side only."""
+    def bucketed(self, df: DataFrame, key: str, buckets: int) -> DataFrame:
+        """Write df in buckets of the key, a file each: joins on the key move the other side only."""
         name = f"scratch_{uuid.uuid4().hex}"
-        out = df.write.partitionBy(*parts) if parts else df.write
-        out.bucketBy(buckets, key).sortBy(key).option("path", f"{self.root}/{name}").saveAsTable(name)
-        return self.spark.table(name)
+        path = f"{self.root}/{name}"
+        df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+        self.held[path] = name
+        out = self.spark.table(name)
+        out._scratch_path = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing reads any more."""
+        for path in [df._scratch_path for df in tables]:
+            self._delete(path)
+
+    def clear(self, *but: DataFrame) -> None:
+        """Delete all tables of this run but those given."""
+        for path in set(self.held) - {df._scratch_path for df in but}:
+            self._delete(path)
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table that nothing reads any more."""
+    def _delete(self, path: str) -> None:
+        if name := self.held.pop(path, None):
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

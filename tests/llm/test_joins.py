@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,10 +81,12 @@ def test_components(spark, share):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got.collect()} == want_components(rows)
 
 
-def test_components_in_blocks(spark, monkeypatch):
-    """Without rounds before it the full search alone finds all links, in small blocks too."""
-    monkeypatch.setattr(ngram_join, "ROUNDS", 1)
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_components_in_blocks(spark, monkeypatch, rounds):
+    """Without rounds before it the full search alone finds all links, in small blocks and dealt in two steps too."""
+    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "ONE_STEP", 1)
     rows = corpus(8, 60)
     got = ngram_join.ngram_components(spark.createDataFrame(rows, DOCS))
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got.collect()} == want_components(rows)
@@ -97,6 +100,47 @@ def test_components_odd_rows(spark):
     assert ngram_join.ngram_components(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_words_of_one_polynomial_hash(spark):
+    """Words that a polynomial modulo a power of 2 takes for one another aren't one."""
+    from .test_texts import doubling
+
+    rows = [(k, doubling(1024, k == 1), None) for k in range(3)] + [(k, doubling(4096, k == 4), None) for k in (3, 4)]
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, DOCS))
+    assert {(r.doc_id, r.component_id) for r in got.collect()} == {(0, 0), (1, 1), (2, 0), (3, 3), (4, 4)}
+
+
+def sets_of(spark, sets):
+    """Sets of whole numbers as what shared_tokens gives: tokens of one set only are counted, others by rarity."""
+    df = {}
+    for s in sets:
+        for t in s:
+            df[t] = df.get(t, 0) + 1
+    rows = []
+    for k, s in enumerate(sets):
+        own = sorted((t for t in s if df[t] > 1), key=lambda t: (df[t], t))
+        code = ngram_join.code_of(np.array([df[t] for t in own])).tobytes()
+        rows.append((k, len(s), len(s) - len(own), bytearray(ngram_join._pack(np.array(own, np.uint64))), bytearray(code), k))
+    return spark.createDataFrame(rows, "fp long, n int, alone int, tok binary, code binary, label long").repartition(4)
+
+
+@pytest.mark.parametrize("common", [1, 4, 9])
+def test_boilerplate_makes_few_pairs(spark, common):
+    """10,000 short sets that share boilerplate: only sets that share a rare token too are paired up."""
+    n = 10_000
+    sets = [{*range(common), *(1000 + 3 * (k // 2) + j for j in range(3))} if k % 5 == 0 or k % 5 == 1 else {*range(common), *(10**6 + 4 * k + j for j in range(3))} for k in range(n)]
+    made = sets_of(spark, sets).mapInArrow(ngram_join._prefixes(75, 3), ngram_join.POSTINGS)
+    pairs = {(r.a, r.b) for r in ngram_join.candidates(made, 75, 3).collect()}
+    like = {(a, b) for a in range(n) for b in range(a + 1, min(a + 3, n)) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert like <= pairs and 0 < len(like) and len(pairs) <= n
+
+
+def test_pairs_of_one_hot_set(spark):
+    """A head of very many pairs goes to each lot of them once."""
+    sets = sets_of(spark, [set(range(20))] + [{*range(20), 100 + k % 3} - {k % 20} for k in range(500)] + [{1, 2}, {2, 1}])
+    pairs = spark.createDataFrame([(k, 0) for k in range(1, 501)] + [(501, 502), (501, 0)], "a long, b long")
+    assert {(r.a, r.b) for r in ngram_join.links_of(pairs, sets, 75).collect()} == {(k, 0) for k in range(1, 501)} | {(501, 502)}
+
+
 def want_lines(rows):
     """The rows' texts after dedup, and the numbers of the lines that go."""
     place = lambda i, k: (i is not None, i or 0, k)
