@@ -24,12 +24,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import textvec as tv
-from .ngram_join import HEAVY_SHARE, _pack, _unpack, code_of, frequent, links_of, need, sketch_of, token_sets
+from .ngram_join import BLOCK, HEAVY_SHARE, MOST_BUCKETS, ONE_STEP, _pack, _packs, _unpack, code_of, frequent, links_of, need, range_of, sketch_of, token_sets
 from .scratch import Scratch
+from .skew import meet
 
 U64 = np.uint64
 #: Tokens of one batch; bytes of text that one range stands for.
-TOKENS, BYTES = 1_000_000, 33_000_000
+TOKENS, BYTES = 1_000_000, 8_000_000
 #: The frequency code of tokens that are too common anywhere to be dealt out by range.
 COMMON = 255
 _PLACE = np.dtype([("has", "u1"), ("id", "<i8"), ("digest", "<i8"), ("line", "<i4")])
@@ -92,11 +93,82 @@ def _by_place(fp: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return order, new, first
 
 
-def _deal(width: int, ranges: int, share: float):
+def _by_range(fp: np.ndarray, row: np.ndarray, tok: np.ndarray, common: np.ndarray, group_of) -> tuple[list, list]:
+    """Runs by group of tokens, for groups that have a token or a common one; row: each token's set."""
+    group, marked = group_of(tok), group_of(common)
+    order, place = np.argsort(group, kind="stable"), np.argsort(marked, kind="stable")
+    row, tok, group, common, marked = row[order], tok[order], group[order], common[place], marked[place]
+    keys = np.union1d(group, marked)
+    edges = [np.searchsorted(x, keys, side).tolist() for x in (group, marked) for side in ("left", "right")]
+    blobs = []
+    for a, b, c, d in zip(*edges):
+        own = row[a:b]
+        new = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if b > a else np.zeros(0, np.int64)
+        blobs.append(_runs(fp[own[new]], np.diff(np.r_[new, b - a]), tok[a:b], common[c:d]))
+    return keys.tolist(), blobs
+
+
+def _by_set(fp: np.ndarray, tok: np.ndarray, code: np.ndarray, group_of) -> tuple[list, list]:
+    """Runs with codes by group of sets; fp: each token's set."""
+    group = group_of(fp)
+    order = np.lexsort((tok, fp, group))
+    fp, tok, code, group = fp[order], tok[order], code[order], group[order]
+    cut = np.flatnonzero(group[1:] != group[:-1]) + 1
+    keys, blobs = [], []
+    for a, b in zip(np.r_[0, cut].tolist() if len(group) else [], np.r_[cut, len(group)].tolist()):
+        new = np.flatnonzero(np.r_[True, fp[a + 1 : b] != fp[a : b - 1]])
+        keys.append(int(group[a]))
+        blobs.append(np.zeros(1, "<u4").tobytes() + _runs(fp[a:b][new], np.diff(np.r_[new, b - a]), tok[a:b], tok[:0], code[a:b]))
+    return keys, blobs
+
+
+def _coarse(group: np.ndarray, fan: int) -> np.ndarray:
+    """Groups, or keys under 0 for `fan` of them together."""
+    return group if fan == 1 else -1 - group // fan
+
+
+def _deal_again(ranges: int, sets: bool):
+    """Blobs of coarse groups (keys under 0) dealt to the ranges, or groups of sets, in them; others pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, have = [], 0
+
+        def flush():
+            fp, count, common, tok, code = (np.concatenate([h[k] for h in held]) for k in range(5))
+            held.clear()
+            if sets:
+                return _packs(*_by_set(np.repeat(fp, count), tok, code, lambda x: (x % U64(ranges)).astype(np.int64)))
+            return _packs(*_by_range(fp, np.repeat(np.arange(len(fp)), count), tok, common, lambda x: range_of(x, ranges)))
+
+        for batch in batches:
+            coarse = batch.column(0).to_numpy() < 0
+            yield batch.filter(pa.array(~coarse))
+            for blob in batch.column(1).filter(pa.array(coarse)):
+                held.append(_unruns(blob.as_buffer()[4:] if sets else blob.as_buffer()))
+                have += len(held[-1][3])
+                if have >= TOKENS:
+                    yield flush()
+                    have = 0
+        if held:
+            yield flush()
+        tv.release()
+
+    return run
+
+
+def _again(packs: DataFrame, ranges: int, fan: int, sets: bool) -> DataFrame:
+    """The second step of a deal in two: each coarse group's packs come together, then go out by range."""
+    if fan == 1:
+        return packs
+    return packs.repartition("key").sortWithinPartitions("key").mapInArrow(_deal_again(ranges, sets), "key long, blob binary")
+
+
+def _deal(width: int, ranges: int, fan: int, share: float):
     """Blobs of a batch's different lines: tokens by range; sizes, places and common tokens by set; lines that go by id.
 
-    Keys: below `ranges` token ranges, then as many groups of sets, then as many
-    of lines that an equal line of the batch comes before.
+    Keys: below `ranges` token ranges (or below 0, `fan` of them together), then as
+    many groups of sets, then as many of lines that an equal line of the batch
+    comes before.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,40 +188,23 @@ def _deal(width: int, ranges: int, share: float):
             fp1, n1, place1 = fp[one], n[one], place[one]
             spot = np.minimum(np.searchsorted(common, tok), max(len(common) - 1, 0))
             is_common = common[spot] == tok if len(common) else np.zeros(len(tok), bool)
-            keys, blobs = [], []
-            t, r = tok[~is_common], row[~is_common]
-            g = ((t >> U64(16)) * U64(ranges) >> U64(32)).astype(np.uint16 if ranges < 65536 else np.int64)
-            marked = ((common >> U64(16)) * U64(ranges) >> U64(32)).astype(np.int64)
-            order = np.argsort(g, kind="stable")
-            t, r, g = t[order], r[order], g[order]
-            start = np.searchsorted(g, np.arange(ranges + 1))
-            for k in range(ranges):
-                a, b = start[k], start[k + 1]
-                own = common[marked == k] if len(common) else common
-                if a == b and not len(own):
-                    continue
-                rr = r[a:b]
-                begin = np.flatnonzero(np.r_[True, rr[1:] != rr[:-1]]) if b > a else np.zeros(0, np.int64)
-                keys.append(k)
-                blobs.append(_runs(fp1[rr[begin]], np.diff(np.r_[begin, b - a]), t[a:b], own))
+            keys, blobs = _by_range(fp1, row[~is_common], tok[~is_common], common, lambda x: _coarse(range_of(x, ranges), fan))
             t, r = tok[is_common], row[is_common]
             count = np.bincount(r, minlength=len(one))
             first_of = np.r_[0, np.cumsum(count)]
             group = (fp1 % U64(ranges)).astype(np.int64)
             order = np.argsort(group, kind="stable")
-            edge = np.searchsorted(group[order], np.arange(ranges + 1))
-            for k in np.flatnonzero(np.diff(edge)).tolist():
-                own = order[edge[k] : edge[k + 1]]
+            for own in np.split(order, np.flatnonzero(np.diff(group[order])) + 1) if len(order) else []:
                 pick = np.repeat(first_of[own] - np.r_[0, np.cumsum(count[own])[:-1]], count[own]) + np.arange(count[own].sum())
                 inner = _runs(fp1[own], count[own], t[pick], common[:0])
-                keys.append(ranges + k)
+                keys.append(ranges + int(group[own[0]]))
                 blobs.append(np.array([len(own)], "<u4").tobytes() + n1[own].astype("<u4").tobytes() + place1[own].tobytes() + inner)
-            group = tv.mix64(place["id"][later].view(U64)) % U64(ranges)
-            for k in np.unique(group).tolist():
-                own = later[group == k]
-                keys.append(2 * ranges + int(k))
-                blobs.append(fp[own].tobytes() + place[own].tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["key", "blob"])
+            group = (tv.mix64(place["id"][later].view(U64)) ^ tv.mix64(place["digest"][later].view(U64))) % U64(ranges)
+            order = np.argsort(group, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(group[order])) + 1) if len(order) else []:
+                keys.append(2 * ranges + int(group[at[0]]))
+                blobs.append(fp[later[at]].tobytes() + place[later[at]].tobytes())
+            return _packs(keys, blobs)
 
         for batch in batches:
             has = pc.is_valid(batch.column(0)).to_numpy(zero_copy_only=False)
@@ -170,13 +225,13 @@ def _deal(width: int, ranges: int, share: float):
     return run
 
 
-def _count(ranges: int):
+def _count(ranges: int, fan: int):
     """Of one token range: tokens of two sets or more, and all that are common in a batch, dealt out by set."""
 
     def run(table: pa.Table) -> pa.Table:
         key, blobs = table.column("key")[0].as_py(), table.column("blob")
         if key >= ranges:
-            return pa.table({"key": pa.array(np.full(len(table), key - ranges, np.int32)), "blob": blobs})
+            return pa.table({"key": pa.array(np.full(len(table), key - ranges, np.int64)), "blob": blobs})
         keys, out = [], []
         for sets, owner, tok, common in _quarters([np.frombuffer(b.as_buffer(), np.uint8) for b in blobs], ranges):
             order = np.argsort(tok)
@@ -192,18 +247,10 @@ def _count(ranges: int):
             df = np.diff(np.r_[start, len(tok)])
             code = np.minimum(code_of(df), COMMON - 1)
             code[np.isin(tok[start], common)] = COMMON
-            code, fp = np.repeat(code, df), sets[owner]
-            group = (fp % U64(ranges)).astype(np.int32)
-            order = np.lexsort((tok, fp, group))
-            tok, fp, code, group = tok[order], fp[order], code[order], group[order]
-            edge = np.searchsorted(group, np.arange(ranges + 1))
-            for k in np.flatnonzero(np.diff(edge)).tolist():
-                a, b = edge[k], edge[k + 1]
-                begin = np.flatnonzero(np.r_[True, fp[a + 1 : b] != fp[a : b - 1]])
-                inner = _runs(fp[a:b][begin], np.diff(np.r_[begin, b - a]), tok[a:b], tok[:0], code[a:b])
-                keys.append(k)
-                out.append(np.zeros(1, "<u4").tobytes() + inner)
-        return pa.table({"key": pa.array(keys, pa.int32()), "blob": pa.array(out, pa.binary())})
+            more = _by_set(sets[owner], tok, np.repeat(code, df), lambda x: _coarse((x % U64(ranges)).astype(np.int64), fan))
+            keys += more[0]
+            out += more[1]
+        return pa.Table.from_batches([_packs(keys, out)])
 
     return tv.releasing(run)
 
@@ -285,10 +332,12 @@ def duplicate_lines(docs: DataFrame, width: int = 5, percent: int = 75, heavy_sh
     """(id, digest, lines): for each document with lines to remove, their numbers (from 0), from (id, digest, text)."""
     scratch = Scratch(docs.sparkSession, "line_dedup")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("size")).first().size
-    ranges = min(1 << 20, max(12, -(-size // BYTES)))
-    dealt = docs.select("id", "digest", "text").mapInArrow(_deal(width, ranges, heavy_share), "key int, blob binary")
-    by_set = dealt.groupBy("key").applyInArrow(_count(ranges), "key int, blob binary")
-    filed = scratch.bucketed(by_set.groupBy("key").applyInArrow(_gather(ranges, percent), SETS), "fp", min(max(8, ranges // 8), 4096), "kind")
+    ranges = max(12, -(-size // BYTES))
+    fan = 1 if ranges <= ONE_STEP else int(np.ceil(np.sqrt(ranges)))
+    packs = "key long, blob binary"
+    dealt = _again(docs.select("id", "digest", "text").mapInArrow(_deal(width, ranges, fan, heavy_share), packs), ranges, fan, False)
+    by_set = _again(dealt.groupBy("key").applyInArrow(_count(ranges, fan), packs), ranges, fan, True)
+    filed = scratch.bucketed(by_set.groupBy("key").applyInArrow(_gather(ranges, percent), SETS), "fp", min(max(8, ranges // 4), MOST_BUCKETS), "kind")
     known = filed.where("kind = 0").select("fp", "n", "alone", "tok", "code", F.struct("id", "digest", "line").alias("at"))
     sets = known
 
@@ -308,21 +357,30 @@ def duplicate_lines(docs: DataFrame, width: int = 5, percent: int = 75, heavy_sh
     prefix = scratch.keep(tokens.mapInArrow(_prefix(percent), f"tok long, fp long, n int, at {at}, open boolean, place int"))
     y = prefix.select("tok", F.col("fp").alias("b"), F.col("n").alias("y"), F.col("at").alias("b_at"), F.col("place").alias("q"))
     x = prefix.where("open").select("tok", F.col("fp").alias("a"), F.col("n").alias("x"), "at", F.col("place").alias("p"))
-    length = (F.col("x") * 100 >= F.col("y") * percent) & (F.col("y") * 100 >= F.col("x") * percent)
+    short = lambda n, place: (F.col(n) - F.col(place)) * (100 + percent) >= F.col(n) * (2 * percent)
     shared = F.least(F.col("x") - F.col("p"), F.col("y") - F.col("q"))
-    position = shared * (100 + percent) >= percent * (F.col("x") + F.col("y"))
-    found = x.join(y, "tok").where((F.col("b_at") < F.col("at")) & (F.col("a") != F.col("b")) & length & position).select("a", "b").distinct()
+    alike = (F.col("b_at") < F.col("at")) & (F.col("a") != F.col("b")) & (shared * (100 + percent) >= percent * (F.col("x") + F.col("y")))
+    # the smaller line of two comes by its short prefix, the larger one by its whole prefix
+    smaller = meet(x.where(short("x", "p")), y, ["tok"], BLOCK).where(alike & (F.col("x") <= F.col("y")) & (F.col("x") * 100 >= F.col("y") * percent))
+    larger = meet(x, y.where(short("y", "q")), ["tok"], BLOCK).where(alike & (F.col("x") > F.col("y")) & (F.col("y") * 100 >= F.col("x") * percent))
+    found = smaller.select("a", "b").union(larger.select("a", "b")).distinct()
     gone = gone.union(links_of(found, sets, percent).select(F.col("a").alias("fp"))).distinct()
 
     whole = known.join(gone, "fp", "left_semi").select("at.id", "at.digest", "at.line")
     out = filed.where("kind = 1").select("id", "digest", "line").union(whole)
-    return out.groupBy("id", "digest").agg(F.collect_set("line").alias("lines"))
+    out = scratch.keep(out.groupBy("id", "digest").agg(F.collect_set("line").alias("lines")))
+    scratch.clear(out)
+    return out
 
 
 def kept_text(text: Column, gone: Column) -> Column:
-    """The text without the lines of the given numbers."""
-    each = F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(gone, i))
-    return F.when(gone.isNull(), text).otherwise(F.array_join(each, "\n"))
+    """The text without the lines of the given numbers, each once; work follows lines, not lines times numbers."""
+    lines = F.split(text, "\n", -1)
+    every = F.sequence(F.lit(0), F.size(lines) - 1)
+    mark = lambda numbers, kept: F.transform(numbers, lambda i: F.struct(i.alias("i"), F.lit(kept).alias("kept")))
+    marked = F.array_sort(F.concat(mark(F.array_except(every, gone), True), mark(F.array_intersect(every, gone), False)))
+    kept = F.zip_with(lines, marked, lambda line, m: F.when(m["kept"], line))
+    return F.when(gone.isNull(), text).otherwise(F.array_join(F.array_compact(kept), "\n"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:

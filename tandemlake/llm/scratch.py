@@ -37,11 +37,12 @@ class Scratch:
         out._scratch_path = path
         return out
 
-    def bucketed(self, df: DataFrame, key: str, buckets: int) -> DataFrame:
-        """Write df in buckets of the key, a file each: joins on the key move the other side only."""
+    def bucketed(self, df: DataFrame, key: str, buckets: int, *parts: str) -> DataFrame:
+        """Write df in buckets of the key, a file each, apart by `parts`: joins on the key move the other side only."""
         name = f"scratch_{uuid.uuid4().hex}"
         path = f"{self.root}/{name}"
-        df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+        out = df.repartition(buckets, key).write
+        (out.partitionBy(*parts) if parts else out).bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
         self.held[path] = name
         out = self.spark.table(name)
         out._scratch_path = path

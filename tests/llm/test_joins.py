@@ -160,7 +160,11 @@ def want_lines(rows):
     return out
 
 
-def test_lines(spark):
+@pytest.mark.parametrize("steps, block", [(1024, 1024), (1, 3)])
+def test_lines(spark, monkeypatch, steps, block):
+    """Dealt in one step or two, lists of a token whole or in blocks."""
+    monkeypatch.setattr(line_dedup, "ONE_STEP", steps)
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
     rows = corpus(11, 80)
     docs = spark.createDataFrame(rows, DOCS).withColumn("line", F.lit("x")).withColumn("id", F.lit(0)).withColumn("lines_removed", F.lit(1))
     got = line_dedup.dedup_lines(docs.repartition(3))
@@ -168,6 +172,22 @@ def test_lines(spark):
     assert {r.doc_id: (r.text, r.lines_removed) for r in got.collect()} == want_lines(rows)
 
 
+def test_packs_grow_with_tokens():
+    """Of two steps: packs a batch makes are as many as coarse groups, not as ranges."""
+    from tandemlake.llm import textvec as tv
+
+    rng = np.random.default_rng(3)
+    made = {}
+    for scale in (1, 4, 16):
+        ranges = 4096 * scale
+        fan = int(np.ceil(np.sqrt(ranges)))
+        tok = tv.mix64(rng.integers(0, 2**62, 60_000 * scale, dtype=np.uint64)) >> np.uint64(16)
+        row = np.sort(rng.integers(0, 100, len(tok)))
+        fp = tv.mix64(np.arange(100, dtype=np.uint64))
+        made[scale] = len(line_dedup._by_range(fp, row, tok, tok[:0], lambda x: line_dedup._coarse(ngram_join.range_of(x, ranges), fan))[0])
+    assert made == {1: 64, 4: 128, 16: 256}
+
+
 def test_lines_odd_rows(spark):
     same = "the very same line of text\nthe very same line of text\n\nend of it"
     rows = [(None, same, None), (1, same, None), (4, None, None), (5, "", None)]
