@@ -1,6 +1,6 @@
 """Mixing sources to target weights by a low-discrepancy slot schedule.
 
-Each source's documents are shuffled (by a digest of their id) and laid end to
+Each source's documents are shuffled (by a digest of id and text) and laid end to
 end; the row of words is cut into blocks of equal size and, where the target is
 above the source's size, gone through a second time. The mix is a sequence of
 slots. Slot k has the van der Corput point of k; the point falls into one
@@ -13,11 +13,15 @@ and any run of slots holds each source to its weight within a few blocks.
 
 Only ids and sizes are shuffled, never texts. Sums along a source are taken in
 two steps over digest ranges, so a source with a third of all documents is many
-tasks' work. The number of slots is fixed; blocks grow with the corpus.
+tasks' work. Blocks grow with the corpus up to BLOCK_WORDS, from there the number
+of slots does. What is held in one task: a row a source, a source's slots, and
+rows that are equal in id and text.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .scratch import Scratch
@@ -26,16 +30,21 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 #: Share of all words that the mix takes, and how often a source may be gone through.
 TOTAL_PERCENT, EPOCHS = 150, 2
-#: Slots of the schedule: 2^SLOT_BITS points for about half as many blocks.
-SLOT_BITS = 17
+#: Slots of the schedule: 2^SLOT_BITS points, or more, for about half as many blocks of BLOCK_WORDS at most.
+SLOT_BITS, BLOCK_WORDS = 17, 1 << 20
 #: Documents that one stretch of a source's sum holds, about.
-STRETCH = 4096
+STRETCH = 1024
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def shuffle_key(doc_id: Column, text: Column) -> Column:
+    """By this documents are shuffled: a digest of id and text, so that repeated or missing ids spread too."""
+    return F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")))))
+
+
 def targets(sizes: DataFrame, weights=WEIGHTS) -> DataFrame:
     """(source, source_size, target, cum, total): shares by weight, up to EPOCHS times a source's size.
 
@@ -82,14 +91,13 @@ def slots(sources: DataFrame, block: Column, bits: int = SLOT_BITS) -> DataFrame
 
 
 def _laid_out(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, mark: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), *mark)
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), *(F.col(c).cast("string") for c in mark), F.lit("")))
-    # digest ranges: as many as documents / STRETCH, within 1 and 2^24
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), shuffle_key(F.col(id_col), F.col(text_col)).alias("key"), *mark)
+    # digest ranges: as many as documents / STRETCH
     scratch = Scratch(docs.sparkSession, "mixing")
     d = scratch.keep(d)
-    many = max(1, min(1 << 24, -(-d.count() // STRETCH)))
-    stretch = F.shiftright(F.conv(F.substring(key, 1, 8), 16, 10).cast("long") * many, 32)
-    d = d.withColumn("key", key).withColumn("stretch", stretch)
+    many = max(1, min(1 << 30, -(-d.count() // STRETCH)))
+    stretch = F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * many, 32)
+    d = d.withColumn("stretch", stretch)
     part = d.groupBy("source", "stretch").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     part = part.withColumn("offset", F.coalesce(F.sum("words").over(before), F.lit(0)))
@@ -101,16 +109,20 @@ def _laid_out(docs: DataFrame, id_col: str, text_col: str, source_col: str, weig
     return scratch.keep(d), scratch.keep(sources)
 
 
-def mix_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, bits: int = SLOT_BITS, mark: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+def mix_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, bits: int | None = None, mark: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """The mix as pieces, and the documents with their source's figures.
 
     Pieces: (position, source, at, doc_id, first_word, end_word, epoch), a row
     for each slot and document that it takes words of; by position, at, they are
     the mix. Documents: (source, at, doc_id, size, source_size, target). `at` is
     the place of a document's first word in its source: with the source it tells
-    rows that have words apart.
+    rows that have words apart. bits: of the schedule; None: as many as keep
+    blocks within BLOCK_WORDS, SLOT_BITS at least.
     """
     d, sources = _laid_out(docs, id_col, text_col, source_col, weights, mark)
+    if bits is None:
+        total = (sources.agg(F.max("total").alias("n")).first().n or 0) / BLOCK_WORDS
+        bits = max(SLOT_BITS, math.ceil(math.log2(max(total, 1))) + 1)
     block = F.greatest(F.lit(1), F.ceil(F.col("total") / F.lit(1 << (bits - 1)))).cast("long")
     schedule = slots(sources, block, bits)
     s = sources.select(F.col("source").alias("s"), "source_size", "target", block.alias("block"))
@@ -127,17 +139,32 @@ def mix_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return pieces, d.select("source", "at", "doc_id", "size", "source_size", "target", *mark)
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, bits: int = SLOT_BITS, mark: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, size, source, source_size, target, taken): words of each document that the mix takes.
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, bits: int | None = None, mark: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, size, source, source_size, target, taken, first_slot, n_pieces): words of each document that the mix takes, and where.
 
+    first_slot: the earliest position of the schedule at which words of the
+    document stand, null where none is taken; n_pieces: how many pieces they are.
     A null text has size 0 and takes nothing; a null source is a source, the
     last one. Sources take round(target) words exactly, no document more than
     EPOCHS times its size. Ties in the shuffle go by id, then size; repeated
     rows are documents of their own. No words at all: targets 0. An empty table
     gives an empty one. Columns beside the three named aren't read, but for those
-    of `mark`: they come along, break ties in the shuffle after the size, and deal
-    out rows without an id.
+    of `mark`: they come along and break ties in the shuffle after the size.
+    """
+    pieces, d = mix_pieces(docs, id_col, text_col, source_col, weights, bits, mark)
+    words = F.sum(F.col("end_word") - F.col("first_word")).alias("taken")
+    own = pieces.groupBy(F.col("source").alias("s"), F.col("at").alias("t")).agg(words, F.min("position").alias("first_slot"), F.count("*").alias("n_pieces"))
+    some = [F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", F.coalesce("n_pieces", F.lit(0)).alias("n_pieces")]
+    return d.join(own, d.source.eqNullSafe(own.s) & (d["at"] == own.t) & (d["size"] > 0), "left").select("doc_id", "size", "source", "source_size", "target", *some, *mark)
+
+
+def mix_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, bits: int | None = None, mark: tuple[str, ...] = ()) -> DataFrame:
+    """(position, at, words, epoch, size, mark): a row for each time that the mix goes through a document, from its first word on.
+
+    position: its first slot; words: `size`, but for the document in which a
+    source's target ends. Rows as for mix_sources; those without words have none.
     """
     pieces, d = mix_pieces(docs, id_col, text_col, source_col, weights, bits, mark)
-    words = pieces.groupBy(F.col("source").alias("s"), F.col("at").alias("t")).agg(F.sum(F.col("end_word") - F.col("first_word")).alias("taken"))
-    return d.join(words, d.source.eqNullSafe(words.s) & (d["at"] == words.t) & (d["size"] > 0), "left").select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *mark)
+    words = F.sum(F.col("end_word") - F.col("first_word")).cast("long").alias("words")
+    own = pieces.groupBy(F.col("source").alias("s"), F.col("at").alias("t"), "epoch").agg(words, F.min("position").alias("position"))
+    return own.join(d.where("size > 0"), d.source.eqNullSafe(own.s) & (d["at"] == own.t)).select("position", "at", "words", "epoch", "size", *mark)

@@ -6,7 +6,7 @@ WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 MIXING = rf"""
 WITH d AS (
-  SELECT doc_id, source, len({WORDS})::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS key FROM documents
+  SELECT doc_id, source, len({WORDS})::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS key FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source
 ), w AS (
@@ -16,15 +16,32 @@ WITH d AS (
   SELECT *, cap * (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) <= w * (goal - coalesce(sum(cap) OVER b, 0)) AS is_full
   FROM w WINDOW b AS (ORDER BY cap / w, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), t AS (
-  SELECT source, source_size, CASE WHEN is_full THEN cap ELSE
+  SELECT source, source_size, goal, place, CASE WHEN is_full THEN cap ELSE
     w * (goal - coalesce(sum(CASE WHEN is_full THEN cap END) OVER (), 0)) / sum(CASE WHEN NOT is_full THEN w END) OVER () END AS target FROM f
+), c AS (
+  SELECT *, coalesce(sum(target) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS cum, greatest(1, ceil(goal / 65536))::BIGINT AS block FROM t
+), b AS (
+  SELECT *, ceil(cum / goal * 131072)::BIGINT AS lo, least(ceil((cum + target) / goal * 131072), 131072)::BIGINT AS hi, ceil(round(target) / block)::BIGINT AS wanted FROM c
+), k AS (
+  SELECT source, block, wanted, list_sum(list_transform(range(17), lambda x: ((i >> x) & 1) << (16 - x)))::BIGINT AS position FROM b, unnest(range(lo, hi)) AS u(i)
+), n AS (
+  SELECT source, row_number() OVER (PARTITION BY source ORDER BY position) - 1 AS block_no, wanted, position FROM k
+), slots AS (
+  SELECT source, block_no, position FROM n WHERE block_no < wanted
+  UNION ALL SELECT source, i, i + 131072 FROM b, unnest(range(greatest(hi - lo, 0), wanted)) AS u(i)
 ), p AS (
-  SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM d
+  SELECT d.*, row_number() OVER () AS row_id, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM d
+), e AS (
+  SELECT p.row_id, p.source, c.block, pos + epoch * source_size AS a, least(pos + epoch * source_size + size, round(target)::BIGINT) AS z
+  FROM p JOIN c ON p.source IS NOT DISTINCT FROM c.source, (VALUES (0), (1)) AS v(epoch)
+), x AS (
+  SELECT row_id, source, a, z, block, i FROM e, unnest(range(a // block, (z - 1) // block + 1)) AS u(i) WHERE z > a
+), y AS (
+  SELECT row_id, sum(least(z, (i + 1) * block) - greatest(a, i * block))::BIGINT AS taken, min(position)::BIGINT AS first_slot, count(*)::BIGINT AS n_pieces
+  FROM x JOIN slots ON x.source IS NOT DISTINCT FROM slots.source AND x.i = slots.block_no GROUP BY row_id
 )
-SELECT p.doc_id, p.size, p.source, t.source_size, t.target,
-  (greatest(0, least(pos + size, round(target)::BIGINT) - pos)
-   + greatest(0, least(pos + source_size + size, round(target)::BIGINT) - pos - source_size))::BIGINT AS taken
-FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
+SELECT p.doc_id, p.size, p.source, c.source_size, c.target, coalesce(y.taken, 0) AS taken, y.first_slot, coalesce(y.n_pieces, 0) AS n_pieces
+FROM p JOIN c ON p.source IS NOT DISTINCT FROM c.source LEFT JOIN y USING (row_id)
 """
 
 NGRAMS = r"""

@@ -250,6 +250,51 @@ def test_mix_odd_rows(spark):
     assert sum(r.taken for r in got) == 11 and len(got) == 3
 
 
+def slow_schedule(docs, bits):
+    """The mix slot by slot: which words of which document stand at which position."""
+    target, total = want_mix([(i, t, s) for i, t, s in docs])
+    names = sorted(target, key=lambda s: (s is None, s or ""))
+    goal, n = sum(target.values()), 1 << bits
+    block = max(1, -(-int(1.5 * sum(total.values()) * 2) // n))
+    rows = {s: [] for s in names}
+    for i, t, s in docs:
+        key = hashlib.md5(f"{'' if i is None else i}:{hashlib.md5((t or '').encode()).hexdigest()}".encode()).hexdigest()
+        rows[s].append((key, i, len(WORD.findall(t or ""))))
+    line = {s: [(i, e, w) for e in (0, 1) for _, i, size in sorted(rows[s]) for w in range(size)][: int(target[s] + 0.5)] for s in names}
+    place, first, taken = {s: 0 for s in names}, {}, {}
+
+    def fill(s, position):
+        for i, _, _ in line[s][place[s] * block : (place[s] + 1) * block]:
+            first[i] = min(first.get(i, position), position)
+            taken[i] = taken.get(i, 0) + 1
+        place[s] += 1
+
+    edge = [sum(target[x] for x in names[:k]) / goal for k in range(len(names) + 1)]
+    for position in range(n):
+        point = int(f"{position:0{bits}b}"[::-1], 2) / n
+        s = next((s for k, s in enumerate(names) if edge[k] <= point < edge[k + 1]), names[-1])
+        fill(s, position)
+    for s in names:
+        while place[s] * block < len(line[s]):
+            fill(s, n + place[s])
+    return {i: (taken.get(i, 0), first.get(i)) for i, _, _ in docs}
+
+
+def test_mix_against_the_schedule_slot_by_slot(spark):
+    rows = [(k, " ".join("w" * (j + 1) for j in range(k % 17)), None if k % 5 == 0 else f"s{k % 4}") for k in range(90)] + [(900, None, "s1")]
+    got = mixing.mix_sources(spark.createDataFrame(rows, DOCS).repartition(3), bits=7).collect()
+    assert {r.doc_id: (r.taken, r.first_slot) for r in got} == slow_schedule(rows, 7)
+
+
+def test_slots_grow_with_the_corpus(spark, monkeypatch):
+    """Blocks stay within BLOCK_WORDS."""
+    monkeypatch.setattr(mixing, "SLOT_BITS", 3)
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 16)
+    rows = [(k, "w " * 20, f"s{k % 3}") for k in range(120)]
+    pieces, _ = mixing.mix_pieces(spark.createDataFrame(rows, DOCS))
+    assert pieces.groupBy("position").agg(F.sum(F.col("end_word") - F.col("first_word")).alias("n")).agg(F.max("n")).first()[0] <= 16
+
+
 def test_digest_orders():
     """The shuffle is by digest, so that neighbours in the source aren't neighbours in the mix."""
     order = sorted(range(50), key=lambda k: hashlib.md5(str(k).encode()).hexdigest())
