@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tandemlake.llm import toxicity
 
-from .test_joins import corpus, want_components, want_lines, want_mix
+from .test_joins import WORD, corpus, want_components, want_lines, want_mix
 
 
 @pytest.fixture(scope="module")
@@ -38,17 +38,19 @@ def test_stages(spark, folder, tmp_path):
     # documents: one of each group
     first = {i: c for i, _, c in want_components(rows[2])}
     assert sorted(r[0] for r in rows[3]) == sorted({c for c in first.values()})
-    # the mix: copies of whole texts, near the targets
+    # the mix: each source's words exactly, whole texts but for one a source
     target, total = want_mix(rows[3])
-    size = lambda t: len((t or "").split())
+    size = lambda t: len(WORD.findall(t or ""))
     for s in target:
-        got = sum(size(t) for _, t, o in rows[4] if o == s)
-        most = max((size(t) for _, t, o in rows[3] if o == s), default=0)
-        assert abs(got - target[s]) <= most
+        assert sum(size(t) for _, t, o in rows[4] if o == s) == int(target[s] + 0.5)
     copies = {}
     for r in rows[4]:
         copies[r] = copies.get(r, 0) + 1
-    assert max(copies.values()) <= 2 and set(copies) <= set(rows[3])
+    cut = [r for r in copies if r not in set(rows[3])]
+    assert max(copies.values()) <= 2 and len(cut) <= len(target) and len({r[2] for r in cut}) == len(cut)
+    for i, t, s in cut:
+        assert any(x[0] == i and x[1].startswith(t) for x in rows[3])
+    assert all(r.n_chars == len(r.text) for r in kept[4].collect() if (r.doc_id, r.text, r.source) in set(cut))
     # pieces
     from tandemlake.llm import pieces
 
@@ -91,6 +93,33 @@ def test_documents_of_null_and_repeated_ids(spark):
     assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, want))
 
 
+def test_mix_is_in_the_order_of_its_schedule(spark):
+    """Whatever prefix of the rows is taken, sources are near their shares."""
+    rows = [(k, " ".join(f"{k}w{i}" for i in range(10)), "en", f"s{k % 3}", 0) for k in range(600)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(5)
+    got = [r.source for r in corpus_pipeline.mix_sources(spark, docs, "").collect()]
+    target, _ = want_mix([(i, t, s) for i, t, _, s, _ in rows])
+    for n in (60, 200, 500):
+        for s, t in target.items():
+            assert abs(got[:n].count(s) / n - t / sum(target.values())) < 0.05
+
+
+def test_accounts_of_rows(spark):
+    """Stage by stage: which rows with null and repeated ids are left."""
+    text = lambda k, n=30: " ".join(f"{k}w{i}" for i in range(n))
+    rows = [(None, text(f"n{k}")) for k in range(5)] + [(1, text("a")), (1, text("b")), (1, text("a")), (2, None), (None, ""), (3, "one\n" + text("c"))]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS).repartition(2)
+    count = {"documents": docs.count()}
+    docs = corpus_pipeline.dedup_lines(spark, docs, "").cache()
+    count["line dedup"] = docs.count()
+    docs = corpus_pipeline.dedup_documents(spark, docs, "").cache()
+    count["n-gram join"] = docs.count()
+    assert count == {"documents": 11, "line dedup": 11, "n-gram join": 10} and docs.where("doc_id is null").count() == 6
+    mixed = corpus_pipeline.mix_sources(spark, docs, "").cache()
+    assert mixed.select(F.sum(F.size(F.split(F.trim("text"), r"\s+")))).first()[0] == round(1.5 * (5 * 30 + 2 * 30 + 31))
+    assert corpus_pipeline.encode(spark, mixed, "").count() == mixed.count()
+
+
 @pytest.mark.parametrize("doc_id", [None, 7])
 def test_mix_of_null_and_repeated_ids(spark, doc_id):
     """Each row by its own count: sources are as near their targets as with different ids."""
@@ -100,5 +129,5 @@ def test_mix_of_null_and_repeated_ids(spark, doc_id):
     target, _ = want_mix([(i, t, s) for i, t, _, s, _ in rows])
     got = [(r.text, r.source) for r in corpus_pipeline.mix_sources(spark, docs, "").collect()]
     for s in target:
-        assert abs(sum(len(t.split()) for t, o in got if o == s) - target[s]) <= 30
+        assert sum(len(t.split()) for t, o in got if o == s) == int(target[s] + 0.5)
     assert max(got.count(x) for x in set(got) if x[0] != "twin rows") <= 2 and got.count(("twin rows", "s0")) <= 18
