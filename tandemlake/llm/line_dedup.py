@@ -342,7 +342,7 @@ def duplicate_lines(docs: DataFrame, width: int = 5, percent: int = 75, heavy_sh
     sets = known
 
     gone = None
-    sketch = scratch.keep(known.select("fp", "tok").mapInArrow(sketch_of, "tok long, fp long").join(known.select("fp", "at"), "fp"))
+    sketch = scratch.keep(known.select("fp", "tok").mapInArrow(sketch_of(0), "tok long, fp long").join(known.select("fp", "at"), "fp"))
     for turn in range(ROUNDS):
         rows = sketch if gone is None else sketch.join(gone, "fp", "left_anti")
         least = F.struct("at", "fp") if turn == 0 else F.struct(F.xxhash64("fp", F.lit(turn)), "at", "fp")

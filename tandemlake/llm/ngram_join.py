@@ -6,9 +6,6 @@ the first n - ceil(t n) + 1 of each. Every order here puts rare tokens first
 (document frequency over the whole corpus); the orders differ in how they break
 ties. A pair is a candidate only if it shares such a token under every order.
 
-A pair's larger set is looked up by all those tokens, its smaller one by the first
-n - ceil(2 t / (1 + t) n) + 1, as at least so many must be shared with a larger set.
-
 How it scales:
 - Tokens travel as packed bytes (6 a token), dealt out by token range; the
   number of ranges follows the corpus, so a range holds about RANGE_TOKENS. Where
@@ -23,8 +20,9 @@ How it scales:
   shares some of its least tokens, and components are formed. This only finds
   links early: two sets of one component needn't be held against each other, and
   the result is the same without it.
-- All sets of different components that share a prefix token are then paired up,
-  order by order, long lists in blocks; pairs that every order has are verified.
+- Sets and components that are still apart and share a prefix token are then found
+  order by order, long lists in blocks; where every order has them, the set is held
+  against the component's members, block by block, in one pass over their tokens.
 - Token lists are bucketed by set, so that pairs come to them, not they to pairs.
 """
 
@@ -34,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import textvec as tv
 from .graph import components
@@ -44,9 +42,9 @@ from .skew import bring, meet
 RANGE_TOKENS = 2_000_000
 BATCH_TOKENS = 2_000_000
 HEAVY_SHARE = 0.01
-#: Tokens of a set's sketch, and how often sets are held against a head before the full search.
-SKETCH, ROUNDS = 8, 3
-#: Sets of one token that one block holds, about.
+#: Tokens of a set's sketch, how often sets are held against heads before the full search, and against how many at once.
+SKETCH, ROUNDS, TRIES = 8, 2, 8
+#: Rows of one token, or sets of one component, that one block holds, about.
 BLOCK = 1024
 #: Ranges up to which a batch is dealt in one step; more are dealt in two, by the square root.
 ONE_STEP = 1024
@@ -336,23 +334,44 @@ def _prefixes(percent: int, orders: int):
     return run
 
 
+def _tries(rows: DataFrame, turn: int) -> DataFrame:
+    """(a, b): sets with heads of other labels that they meet most often, from (tok, fp, label).
+
+    In the first turn a token has one head, drawn by set, so that a group's sets
+    meet under few heads, and a set one try. Later it has TRIES heads, drawn anew by
+    set and token, and sets have as many tries, at smaller labels: large components
+    mostly have those, so it is the sets that are left over that try.
+    """
+    tries, apart = (1, "label <> head_label") if turn == 0 else (TRIES, "label > head_label")
+    draw = F.xxhash64(*(["fp"] if turn == 0 else ["fp", "tok"]), F.lit(turn))
+    head = rows.withColumn("r", F.row_number().over(Window.partitionBy("tok").orderBy(draw, "fp"))).where(F.col("r") <= tries)
+    met = rows.join(head.select("tok", F.col("fp").alias("b"), F.col("label").alias("head_label")), "tok").where(apart)
+    met = met.groupBy(F.col("fp").alias("a"), "b").agg(F.count("*").alias("m"))
+    most = met.groupBy("a").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("m", "b")))), 1, tries).alias("x"))
+    return most.select("a", F.explode("x.b").alias("b"))
+
+
 def candidates(postings: DataFrame, percent: int, orders: int) -> DataFrame:
-    """(a, b): sets of different labels that share a prefix token under every order, from POSTINGS.
+    """(fp, label, other): sets with components, of smaller labels, that they share a prefix token with under every order; from POSTINGS.
 
-    Per order, lists with one label only go first. The smaller set of a pair comes
-    by its short prefix, the larger one by its whole prefix; lengths, and what is
-    left after a shared token, must allow the similarity.
+    A component is in a token's list once, with the range of its sizes, so that a
+    set that is left over meets a group of near copies in one row, not in as many
+    as there are copies. Lengths, and what is left after a shared token, must
+    allow the similarity.
     """
     key = ["ord", "tok"]
-    mixed = postings.groupBy(*key).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(*key)
-    some = postings.join(mixed, key, "left_semi")
-    small = some.where(F.col("rest") * (100 + percent) >= F.col("n") * (2 * percent)).select(*key, F.col("fp").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("rest").alias("rx"))
-    large = some.select(*key, F.col("fp").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"), F.col("rest").alias("ry"))
-    length = (F.col("nx") <= F.col("ny")) & (F.col("nx") * 100 >= F.col("ny") * percent)
-    position = F.least("rx", "ry") * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent
-    met = meet(small, large, key, BLOCK).where((F.col("lx") != F.col("ly")) & length & position)
-    pair = met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.bit_or("ord").alias("all"))
-    return pair.where(F.col("all") == (1 << orders) - 1).select("a", "b")
+    least, most, rest = F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("left")
+    lists = postings.groupBy(*key, F.col("label").alias("other")).agg(least, most, rest)
+    mixed = lists.groupBy(*key).agg(F.count("*").alias("k")).where("k > 1").select(*key)
+    length = (F.col("n") * 100 >= F.col("least") * percent) & (F.col("most") * 100 >= F.col("n") * percent)
+    position = F.least("rest", "left") * (100 + percent) >= (F.col("n") + F.col("least")) * percent
+    # of two sets the smaller one shares a token of its short prefix: one that leaves 2 t / (1 + t) of it
+    short = lambda rest, n: F.col(rest) * (100 + percent) >= F.col(n) * (2 * percent)
+    own, lists = postings.join(mixed, key, "left_semi"), lists.join(mixed, key, "left_semi")
+    met = meet(own.where(short("rest", "n")), lists, key, BLOCK).union(meet(own.where(~short("rest", "n")), lists.where(short("left", "least")), key, BLOCK))
+    met = met.where((F.col("label") > F.col("other")) & length & position)
+    pair = met.groupBy("fp", "label", "other").agg(F.bit_or("ord").alias("all"))
+    return pair.where(F.col("all") == (1 << orders) - 1).select("fp", "label", "other")
 
 
 def _verify(percent: int):
@@ -368,12 +387,19 @@ def _verify(percent: int):
     return run
 
 
-def sketch_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(tok, fp): the SKETCH least shared tokens of each set."""
-    for batch in batches:
-        toks = [np.sort(_unpack(np.frombuffer(x.as_buffer(), np.uint8)))[:SKETCH] for x in batch.column("tok")]
-        fp = np.repeat(batch.column("fp").to_numpy(), [len(x) for x in toks])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(toks).astype(np.int64) if toks else np.zeros(0, np.int64)), pa.array(fp)], ["tok", "fp"])
+def sketch_of(turn: int):
+    """(tok, fp): of each set the SKETCH shared tokens that come first in an order drawn for this turn."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toks = [_unpack(np.frombuffer(x.as_buffer(), np.uint8)) for x in batch.column("tok")]
+            if turn:
+                toks = [t[np.argsort(tv.mix64(t + U64(7_000_003 * turn)))] for t in toks]
+            toks = [(t if turn else np.sort(t))[:SKETCH] for t in toks]
+            fp = np.repeat(batch.column("fp").to_numpy(), [len(x) for x in toks])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(toks).astype(np.int64) if toks else np.zeros(0, np.int64)), pa.array(fp)], ["tok", "fp"])
+
+    return run
 
 
 def _labelled(rows: DataFrame, group: DataFrame | None) -> DataFrame:
@@ -390,6 +416,55 @@ def links_of(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return bring(bring(pairs.select("a", "b"), "a", "b", left), "b", "a", right).mapInArrow(_verify(percent), "a long, b long")
 
 
+def _across(percent: int):
+    """Of sets (side 0) and members (side 1) of the components that they met: a link of each set and component, if there is one."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        fp, n, side = table.column("fp").to_numpy(), table.column("n").to_numpy().astype(np.int64), table.column("side").to_numpy()
+        met = np.unique(table.column("other").to_numpy(), return_inverse=True)[1]
+        toks = [_unpack(np.frombuffer(x.as_buffer(), np.uint8)) for x in table.column("tok")]
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for few in np.split(np.arange(met.max() + 1), np.arange(1 << 15, met.max() + 1, 1 << 15)):  # component and token in one word
+            own = right[(met[right] >= few[0]) & (met[right] <= few[-1])]
+            if not len(own):
+                continue
+            word = np.concatenate([toks[k] | U64(int(met[k] - few[0]) << 48) for k in own])
+            owner = np.repeat(np.arange(len(own)), [len(toks[k]) for k in own])
+            order = np.argsort(word, kind="stable")
+            word, owner = word[order], owner[order]
+            for k in left[(met[left] >= few[0]) & (met[left] <= few[-1])].tolist():
+                mine = np.sort(toks[k]) | U64(int(met[k] - few[0]) << 48)
+                lo, hi = np.searchsorted(word, mine, "left"), np.searchsorted(word, mine, "right")
+                many = hi - lo
+                both = np.bincount(owner[np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())], minlength=len(own))
+                good = np.flatnonzero((both > 0) & (100 * both >= percent * (n[k] + n[own] - both)))
+                out_a.append(fp[k : k + 1][: len(good)])
+                out_b.append(fp[own[good[:1]]])
+        return pa.table({"a": pa.array(np.concatenate(out_a)), "b": pa.array(np.concatenate(out_b))})
+
+    return tv.releasing(run)
+
+
+def links_across(pairs: DataFrame, marked: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for each set and component (fp, other) that link a link, from the sets (fp, n, tok, label).
+
+    Sets and members meet in units of a block of each; small components share units.
+    """
+    sizes = pairs.groupBy("other").agg(F.count("*").alias("l")).join(marked.groupBy(F.col("label").alias("other")).agg(F.count("*").alias("r")), "other")
+    small = (F.col("l") < BLOCK / 16) & (F.col("r") < BLOCK / 16)
+    plan = sizes.select("other", small.alias("small"), F.ceil(F.col("l") / BLOCK).alias("l"), F.ceil(F.col("r") / BLOCK).alias("r"))
+    units = F.lit(max(1, pairs.count() * 16 // BLOCK))
+    unit = lambda i, j: F.when(F.col("small"), F.struct(F.lit(None).cast("long").alias("o"), F.pmod(F.xxhash64("other"), units).alias("i"), F.lit(0).cast("long").alias("j"))).otherwise(F.struct(F.col("other").alias("o"), i.alias("i"), j.alias("j")))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    mine = bring(pairs.select("fp", "other"), "fp", "other", marked.select("fp", "n", "tok")).join(plan, "other").withColumn("j", every("r"))
+    mine = mine.select(unit(F.pmod(F.xxhash64("fp"), "l"), F.col("j")).alias("unit"), F.lit(0).alias("side"), "other", "fp", "n", "tok")
+    theirs = marked.select(F.col("label").alias("other"), "fp", "n", "tok").join(plan, "other").withColumn("i", every("l"))
+    theirs = theirs.select(unit(F.col("i"), F.pmod(F.xxhash64("fp"), "r")).alias("unit"), F.lit(1).alias("side"), "other", "fp", "n", "tok")
+    return mine.union(theirs).groupBy("unit").applyInArrow(_across(percent), "a long, b long")
+
+
 def shared_tokens(texts: DataFrame, meta: DataFrame, count: int, tokens: int, width: int, percent: int, share: float, scratch: Scratch) -> DataFrame:
     """The sets whose prefix holds a token of another: (fp, n, alone, tok, code), bucketed by fp.
 
@@ -417,23 +492,20 @@ def _grouped(source: DataFrame, width: int, percent: int, orders: int, heavy_sha
     total = own.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
     sets = shared_tokens(source.select("text"), meta, total.docs, total.tokens, width, percent, heavy_share, scratch)
 
-    # near copies first: each set against one head of a bucket of its sketch, a few times over
-    sketch = scratch.keep(sets.mapInArrow(sketch_of, "tok long, fp long"))
+    # near copies first: each set against a few heads of its sketch's buckets, a few times over
     links, group = None, None
     for turn in range(ROUNDS):
-        rows = _labelled(sketch, group)
-        head = rows.groupBy("tok").agg(F.min_by(F.struct("fp", "label"), F.struct(F.xxhash64("fp", F.lit(turn)), "fp")).alias("head"))
-        met = rows.join(head, "tok").where("label <> head.label").groupBy(F.col("fp").alias("a"), F.col("head.fp").alias("b")).agg(F.count("*").alias("m"))
-        pairs = met.groupBy("a").agg(F.max(F.struct("m", "b")).alias("x")).select("a", "x.b")
-        new = scratch.keep(links_of(pairs, sets, percent))
+        sketch = _labelled(sets.select("fp", "tok").mapInArrow(sketch_of(turn), "tok long, fp long"), group)
+        new = scratch.keep(links_of(_tries(scratch.keep(sketch), turn), sets, percent))
         links = new if links is None else links.union(new)
         if not new.limit(1).count():
             break
         group = components(links, scratch)
 
-    # then all sets that are still apart and share a prefix token under every order
-    postings = scratch.keep(_labelled(sets, group).mapInArrow(_prefixes(percent, orders), POSTINGS))
-    found = links_of(candidates(postings, percent, orders), sets, percent)
+    # then all sets and components that are still apart and share a prefix token under every order
+    marked = _labelled(sets, group)
+    postings = scratch.keep(marked.mapInArrow(_prefixes(percent, orders), POSTINGS))
+    found = links_across(scratch.keep(candidates(postings, percent, orders)), marked, percent)
     group = components(found if links is None else links.union(found), scratch)
     scratch.clear(meta, group)
     return own, group

@@ -129,11 +129,26 @@ def test_boilerplate_makes_few_pairs(spark, common):
     n = 10_000
     sets = [{*range(common), *(1000 + 3 * (k // 2) + j for j in range(3))} if k % 5 == 0 or k % 5 == 1 else {*range(common), *(10**6 + 4 * k + j for j in range(3))} for k in range(n)]
     made = sets_of(spark, sets).mapInArrow(ngram_join._prefixes(75, 3), ngram_join.POSTINGS)
-    pairs = {(r.a, r.b) for r in ngram_join.candidates(made, 75, 3).collect()}
-    like = {(a, b) for a in range(n) for b in range(a + 1, min(a + 3, n)) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    pairs = {(r.fp, r.other) for r in ngram_join.candidates(made, 75, 3).collect()}
+    like = {(b, a) for a in range(n) for b in range(a + 1, min(a + 3, n)) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
     assert like <= pairs and 0 < len(like) and len(pairs) <= n
 
 
+def test_a_left_over_set_meets_a_group_once(spark):
+    """A group of near copies that is one component: a row for each set outside that may link with it, and its links."""
+    r = random.Random(2)
+    base = list(range(60))
+    copy = lambda: {*r.sample(base, 55), *(100 + r.randrange(30) for _ in range(3))}
+    sets = [copy() for _ in range(400)] + [{*r.sample(base, 40)} for _ in range(20)]
+    frame = sets_of(spark, sets).withColumn("label", F.when(F.col("fp") < 400, F.lit(0)).otherwise(F.col("fp")))
+    pairs = ngram_join.candidates(frame.mapInArrow(ngram_join._prefixes(75, 3), ngram_join.POSTINGS), 75, 3)
+    links = {(x.a, x.b) for x in ngram_join.links_across(pairs, frame, 75).collect()}
+    near = lambda a, b: 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+    want = {(a, 0 if b < 400 else b) for a in range(400, 420) for b in range(a) if near(a, b)}
+    assert {(a, 0 if b < 400 else b) for a, b in links} == want and all(near(a, b) for a, b in links) and len(links) == len(want)
+    assert pairs.count() <= 20 + 20 * 19 // 2
+
+
 def test_pairs_of_one_hot_set(spark):
     """A head of very many pairs goes to each lot of them once."""
     sets = sets_of(spark, [set(range(20))] + [{*range(20), 100 + k % 3} - {k % 20} for k in range(500)] + [{1, 2}, {2, 1}])
