@@ -44,13 +44,26 @@ def sam_contigs(spark: SparkSession, path: str) -> DataFrame:
     return head.select(F.regexp_extract("value", r"\tSN:([^\t]+)", 1).alias("chrom"), F.regexp_extract("value", r"\tLN:(\d+)", 1).cast("long").alias("length"))
 
 
+def _block_size(raw: memoryview, at: int) -> int:
+    """Bytes of the block that begins at `at`, from the BC field of its header."""
+    if bytes(raw[at : at + 3]) != b"\x1f\x8b\x08" or not raw[at + 3] & 4:
+        raise ValueError("not a block-gzip file")
+    field, end = at + 12, at + 12 + struct.unpack_from("<H", raw, at + 10)[0]
+    while field + 4 <= end:
+        size = struct.unpack_from("<H", raw, field + 2)[0]
+        if bytes(raw[field : field + 2]) == b"BC" and size == 2:
+            return struct.unpack_from("<H", raw, field + 4)[0] + 1
+        field += 4 + size
+    raise ValueError("not a block-gzip file")
+
+
 def _inflated(raw: bytes) -> Iterator[bytes]:
-    """The blocks of a block-gzip file, each inflated alone."""
-    at = 0
-    while at < len(raw):
-        one = zlib.decompressobj(31)
-        out = one.decompress(raw[at:] if at == 0 else memoryview(raw)[at:])
-        at = len(raw) - len(one.unused_data)
+    """The blocks of a block-gzip file, each inflated alone and none copied before."""
+    whole, at = memoryview(raw), 0
+    while at < len(whole):
+        size = _block_size(whole, at)
+        out = zlib.decompress(whole[at : at + size], 31)
+        at += size
         if out:
             yield out
 
@@ -93,6 +106,8 @@ def _tags(raw: bytes) -> dict:
             out[name], at = raw[at:end].decode(), end + 1
         elif kind == "B":
             n = struct.unpack_from("<i", raw, at + 1)[0]
+            if name == "CG" and chr(raw[at]) == "I":
+                out[name] = struct.unpack_from(f"<{n}I", raw, at + 5)
             at += 5 + n * _SIZES[chr(raw[at])]
         else:
             if kind in _KINDS:
@@ -111,8 +126,12 @@ def bam_records(raw: bytes) -> Iterator[tuple]:
         if flag & 4 or ref < 0 or not ops:
             continue
         at = 32 + name_len
-        cigar = "".join(f"{v >> 4}{_OPS[v & 15]}" for v in struct.unpack_from(f"<{ops}I", rec, at))
+        steps = struct.unpack_from(f"<{ops}I", rec, at)
         tags = _tags(rec[at + 4 * ops + (seq_len + 1) // 2 + seq_len :])
+        # a CIGAR too long for its field stands in a tag, behind a placeholder that clips the whole read
+        if "CG" in tags and steps[0] == (seq_len << 4 | 4):
+            steps = tags["CG"]
+        cigar = "".join(f"{v >> 4}{_OPS[v & 15]}" for v in steps)
         hp = tags.get("HP")
         yield contigs[ref][0], pos, mapq, bool(flag & 16), hp if isinstance(hp, int) else None, tags.get("SA"), cigar
 
