@@ -361,9 +361,9 @@ def duplicate_lines(docs: DataFrame, width: int = 5, percent: int = 75, heavy_sh
     shared = F.least(F.col("x") - F.col("p"), F.col("y") - F.col("q"))
     alike = (F.col("b_at") < F.col("at")) & (F.col("a") != F.col("b")) & (shared * (100 + percent) >= percent * (F.col("x") + F.col("y")))
     # the smaller line of two comes by its short prefix, the larger one by its whole prefix
-    smaller = meet(x.where(short("x", "p")), y, ["tok"], BLOCK).where(alike & (F.col("x") <= F.col("y")) & (F.col("x") * 100 >= F.col("y") * percent))
-    larger = meet(x, y.where(short("y", "q")), ["tok"], BLOCK).where(alike & (F.col("x") > F.col("y")) & (F.col("y") * 100 >= F.col("x") * percent))
-    found = smaller.select("a", "b").union(larger.select("a", "b")).distinct()
+    smaller = short("x", "p") & (F.col("x") <= F.col("y")) & (F.col("x") * 100 >= F.col("y") * percent)
+    larger = short("y", "q") & (F.col("x") > F.col("y")) & (F.col("y") * 100 >= F.col("x") * percent)
+    found = meet(x, y, ["tok"], BLOCK).where(alike & (smaller | larger)).select("a", "b").distinct()
     gone = gone.union(links_of(found, sets, percent).select(F.col("a").alias("fp"))).distinct()
 
     whole = known.join(gone, "fp", "left_semi").select("at.id", "at.digest", "at.line")
