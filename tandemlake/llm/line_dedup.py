@@ -30,7 +30,7 @@ from .skew import meet
 
 U64 = np.uint64
 #: Tokens of one batch; bytes of text that one range stands for.
-TOKENS, BYTES = 1_000_000, 8_000_000
+TOKENS, BYTES = 1_000_000, 33_000_000
 #: The frequency code of tokens that are too common anywhere to be dealt out by range.
 COMMON = 255
 _PLACE = np.dtype([("has", "u1"), ("id", "<i8"), ("digest", "<i8"), ("line", "<i4")])
@@ -336,8 +336,9 @@ def duplicate_lines(docs: DataFrame, width: int = 5, percent: int = 75, heavy_sh
     fan = 1 if ranges <= ONE_STEP else int(np.ceil(np.sqrt(ranges)))
     packs = "key long, blob binary"
     dealt = _again(docs.select("id", "digest", "text").mapInArrow(_deal(width, ranges, fan, heavy_share), packs), ranges, fan, False)
-    by_set = _again(dealt.groupBy("key").applyInArrow(_count(ranges, fan), packs), ranges, fan, True)
-    filed = scratch.bucketed(by_set.groupBy("key").applyInArrow(_gather(ranges, percent), SETS), "fp", min(max(8, ranges // 4), MOST_BUCKETS), "kind")
+    spread = 3 * ranges  # as many tasks as there are keys, however many partitions the session asks for
+    by_set = _again(dealt.repartition(spread, "key").groupBy("key").applyInArrow(_count(ranges, fan), packs), ranges, fan, True)
+    filed = scratch.bucketed(by_set.repartition(spread, "key").groupBy("key").applyInArrow(_gather(ranges, percent), SETS), "fp", min(max(8, ranges), MOST_BUCKETS), "kind")
     known = filed.where("kind = 0").select("fp", "n", "alone", "tok", "code", F.struct("id", "digest", "line").alias("at"))
     sets = known
 
