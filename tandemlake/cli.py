@@ -106,21 +106,33 @@ def associate(a, spark) -> None:
     if a.bed:
         bed = tables.read_bed(spark, a.bed).select(F.col("chrom").alias("r_chrom"), F.col("begin").alias("r_begin"), F.col("end").alias("r_end"))
         rows = intervals.overlap_semi(rows.withColumn("begin", F.col("locus_begin")).withColumn("end", F.col("locus_end")), bed)
-    phenotypes = tables.read_metadata(spark, a.phenotypes, a.phenotype)
-    covariates = a.covariates.split(",") if a.covariates else []
+    phenotypes = association.last_rows(tables.read_metadata(spark, a.phenotypes, a.phenotype, tables.delimiter(spark, a.phenotypes)))
+    covariates = [x for x in re.split("[, ]+", a.covariates) if x] if a.covariates else []
     order = a.binary_order.split(",") if a.binary_order else None
     found = matrix_association.associate_matrix(rows.select("ord", *tables.KEY, "lengths"), m.header, phenotypes, a.phenotype, order, covariates, a.mode, a.missing_cutoff, a.expanded)
     lengths = association.str_mode(F.col("h1"), F.col("h2"), a.mode)
     c = cohort.pairs(rows.select("ord", *tables.KEY, "lengths"), m.header).select("ord", *tables.KEY, "sample", lengths.alias("length"))
+    known = phenotypes.select("sample", F.col(f"`{a.phenotype}`").alias("__y"), *(F.col(f"`{x}`").try_cast("double").alias(f"__{x}") for x in covariates))
+    c = association.with_phenotype(c, known)
     if order:
-        c = association.two_groups(association.with_phenotype(c, phenotypes.drop("ord")), a.phenotype, order)
-    sizes = ["n0", "avg0", "min0", "max0", "n1", "avg1", "min1", "max1", "abs_diff"] if order else []
-    c = c if order else c.withColumn("label", F.lit(0.0))
+        c = association.two_groups(c, "__y", order)
+    if covariates:  # sizes are of complete cases then
+        c = c.dropna(subset=["__y", *(f"__{x}" for x in covariates)])
+    if a.expanded is not None:
+        c = c.withColumn("label", (F.col("length") >= a.expanded).cast("double"))
+    elif not order:
+        c = c.withColumn("label", F.lit(0.0))
+    groups = ["notExpanded", "Expanded"] if a.expanded is not None else order
+    sizes = ["n0", "avg0", "min0", "max0", "n1", "avg1", "min1", "max1", "abs_diff"] if groups else []
     about = association.summary(c).select("ord", "avg_size", "min_size", "max_size", "size_range", *sizes)
-    out = association.by_pvalue(found.join(about, "ord"))
-    cols = ["n", "beta", "se", "effect", "ci_low", "ci_high", "pvalue", "avg_size", "min_size", "max_size", "size_range", *sizes]
-    named = [f"{x.rstrip('01')}_{order[int(x[-1])]}" if x[-1] in "01" else x for x in cols] if order else cols
-    _print(out.select(association.variant_id(a.expanded is not None), *cols), ["variant", *named])
+    out = association.by_pvalue(association.scaled_effects(found.join(about, "ord"), bool(order)))
+    scaled = ["effect_for_abs_diff"] * bool(groups) + ["effect_for_range"] * (not order)
+    cols = ["n", "beta", "se", "effect", "ci_low", "ci_high", "pvalue", "avg_size", "min_size", "max_size", "size_range", *sizes, *scaled]
+    named = [f"{x.rstrip('01')}_{groups[int(x[-1])]}" if x[-1] in "01" else x for x in cols]
+    tested = F.lit("expanded_allele_group") if a.expanded is not None else association.variant_id()
+    model = F.concat(F.lit(f"{a.phenotype}~"), tested, F.lit("".join(f"+{x}" for x in covariates))).alias("model")
+    told = [model, *([F.lit(a.binary_order).alias("binary_order")] if order else [])]
+    _print(out.select(association.variant_id(a.expanded is not None), *cols, *told), ["variant", *named, "model", *(["binary_order"] if order else [])])
 
 
 def count(a, spark) -> None:

@@ -32,6 +32,23 @@ def variant_id(expanded: bool = False) -> Column:
     return F.concat(F.col("chrom"), F.lit(":"), F.col("locus_begin").cast("string"), F.lit("_"), F.col("locus_end").cast("string"), F.lit("_ExpandedAllele" if expanded else ""))
 
 
+def last_rows(phenotypes: DataFrame) -> DataFrame:
+    """One row a sample: of rows with one sample the last (by ord) counts."""
+    rest = [F.col(f"`{c}`") for c in phenotypes.columns if c != "sample"]
+    return phenotypes.groupBy("sample").agg(F.max_by(F.struct(*rest), "ord").alias("__row")).select("sample", "__row.*")
+
+
+def scaled_effects(results: DataFrame, odds: bool) -> DataFrame:
+    """Models joined with their summary, with the effect over the means' distance and, of numbers, over the range of sizes.
+
+    An odds ratio is raised to the distance, any other effect multiplied by it; both from figures as rounded.
+    """
+    effect = F.round("effect", 3)
+    if "abs_diff" in results.columns:
+        results = results.withColumn("effect_for_abs_diff", F.round(F.pow(effect, F.col("abs_diff")) if odds else effect * F.col("abs_diff"), 3))
+    return results if odds else results.withColumn("effect_for_range", F.round(effect * F.col("size_range"), 3))
+
+
 def with_phenotype(calls: DataFrame, phenotypes: DataFrame) -> DataFrame:
     """All calls with what is known of their sample."""
     return calls.join(phenotypes, "sample", "left")

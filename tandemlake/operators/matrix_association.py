@@ -92,7 +92,8 @@ def associate_matrix(matrix: DataFrame, header: list[str], phenotypes: DataFrame
     without a phenotype, a covariate or a length are left out of a locus' model.
     """
     samples = [header[i].removesuffix("_H1") for i in range(0, len(header), 2)]
-    wanted = phenotypes.where(F.col("sample").isin(samples)).select("sample", F.col(outcome).alias("__y"), *(F.col(c).cast("double").alias(f"__{c}") for c in covariates))
+    said = F.col(f"`{outcome}`") if order is not None else F.col(f"`{outcome}`").try_cast("double")
+    wanted = phenotypes.where(F.col("sample").isin(samples)).select("sample", said.alias("__y"), *(F.col(f"`{c}`").try_cast("double").alias(f"__{c}") for c in covariates))
     known = {r["sample"]: r for r in wanted.collect()}  # a row a sample of the header
     own = [known.get(s) for s in samples]
     number = lambda v: np.nan if v is None else float(v)

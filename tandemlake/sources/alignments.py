@@ -44,26 +44,39 @@ def sam_contigs(spark: SparkSession, path: str) -> DataFrame:
     return head.select(F.regexp_extract("value", r"\tSN:([^\t]+)", 1).alias("chrom"), F.regexp_extract("value", r"\tLN:(\d+)", 1).cast("long").alias("length"))
 
 
-def _block_size(raw: memoryview, at: int) -> int:
-    """Bytes of the block that begins at `at`, from the BC field of its header."""
-    if bytes(raw[at : at + 3]) != b"\x1f\x8b\x08" or not raw[at + 3] & 4:
-        raise ValueError("not a block-gzip file")
+#: Bytes that a block without a size in its header is fed by.
+PORTION = 1 << 16
+
+
+def _block_size(raw: memoryview, at: int) -> int | None:
+    """Bytes of the block that begins at `at`, from the BC field of its header; None without one."""
+    if at + 12 > len(raw) or not raw[at + 3] & 4:
+        return None
     field, end = at + 12, at + 12 + struct.unpack_from("<H", raw, at + 10)[0]
-    while field + 4 <= end:
+    while field + 4 <= min(end, len(raw)):
         size = struct.unpack_from("<H", raw, field + 2)[0]
         if bytes(raw[field : field + 2]) == b"BC" and size == 2:
             return struct.unpack_from("<H", raw, field + 4)[0] + 1
         field += 4 + size
-    raise ValueError("not a block-gzip file")
+    return None
 
 
 def _inflated(raw: bytes) -> Iterator[bytes]:
-    """The blocks of a block-gzip file, each inflated alone and none copied before."""
+    """The blocks of a block-gzip file, each inflated alone; work follows the file's size, with sizes in the headers or without."""
     whole, at = memoryview(raw), 0
     while at < len(whole):
         size = _block_size(whole, at)
-        out = zlib.decompress(whole[at : at + size], 31)
-        at += size
+        if size is not None:
+            out = zlib.decompress(whole[at : at + size], 31)
+            at += size
+        else:
+            one, parts = zlib.decompressobj(31), []
+            while not one.eof and at < len(whole):
+                part = whole[at : at + PORTION]
+                parts.append(one.decompress(part))
+                at += len(part)
+            at -= len(one.unused_data)
+            out = b"".join(parts)
         if out:
             yield out
 

@@ -40,7 +40,7 @@ def read_cells(spark: SparkSession, path: str, header: bool = True) -> tuple[Dat
     lines = _lines(spark, path)
     names: list[str] = []
     if header:
-        top = lines.orderBy("ord").first()
+        top = lines.first()  # of the first split alone
         if top is None:
             return lines.select("ord", *(F.lit(None).cast(t).alias(c) for c, t in zip(KEY, ("string", "long", "long"))), F.array().cast("array<string>").alias("cells")), names
         names = top.value.split("\t")[3:]
@@ -52,7 +52,7 @@ def read_cells(spark: SparkSession, path: str, header: bool = True) -> tuple[Dat
 def read_matrix(spark: SparkSession, path: str, chrom: str | None = None) -> Matrix:
     """A cohort matrix (rows whose places are no numbers have null ones); with chrom only that contig, told from the line's beginning before it is split."""
     lines = _lines(spark, path)
-    top = lines.orderBy("ord").first()
+    top = lines.first()  # of the first split alone
     if top is None:
         raise ValueError(f"{path} is empty")
     lines = lines.where(F.col("ord") != top.ord)
@@ -89,6 +89,13 @@ def read_names(spark: SparkSession, path: str) -> list[str]:
     return [r.value.strip() for r in _lines(spark, path).orderBy("ord").collect() if r.value.strip()]
 
 
+def delimiter(spark: SparkSession, path: str) -> str:
+    """What parts the fields of a file's first line: a tab, else the commonest of , ; | and blank."""
+    top = _lines(spark, path).first()
+    line = "" if top is None else top.value
+    return "\t" if "\t" in line else max(",;| ", key=line.count)
+
+
 def read_metadata(spark: SparkSession, path: str, column: str, sep: str = "\t") -> DataFrame:
     """(ord, sample, all columns): the first column is the sample; `column` must be there."""
     m = spark.read.option("sep", sep).option("header", True).csv(path)

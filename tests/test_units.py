@@ -266,6 +266,32 @@ def bam(sam: str) -> bytes:
     return out.getvalue()
 
 
+def blocked(body: bytes, size: int) -> bytes:
+    """body in blocks whose headers tell their sizes."""
+    out = io.BytesIO()
+    for k in range(0, len(body), size):
+        c = zlib.compressobj(6, zlib.DEFLATED, -15)
+        data = c.compress(body[k : k + size]) + c.flush()
+        out.write(b"\x1f\x8b\x08\x04" + bytes(6) + struct.pack("<HccHH", 6, b"B", b"C", 2, len(data) + 25) + data + struct.pack("<II", zlib.crc32(body[k : k + size]), len(body[k : k + size])))
+    return out.getvalue()
+
+
+def test_bam_blocks_and_long_cigars():
+    plain = b"".join(alignments._inflated(bam(SAM)))
+    assert list(alignments.bam_records(blocked(plain, 90))) == list(alignments.bam_records(bam(SAM)))
+    steps = struct.pack("<3I", 50 << 4, 10 << 4 | 1, 60 << 4)
+    rec = struct.pack("<iiBBHHHiiii", 0, 50, 2, 60, 0, 2, 0, 120, -1, -1, 0) + b"r\0" + struct.pack("<2I", 120 << 4 | 4, 110 << 4 | 3) + bytes(180) + b"CGBI" + struct.pack("<i", 3) + steps + b"HPC\2"
+    head = plain[:25]
+    assert [r[4:] for r in alignments.bam_records(blocked(head + struct.pack("<i", len(rec)) + rec, 1000))] == [(2, None, "50M10I60M")]
+
+
+def test_associate_last_rows_and_delimiter(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("individual,age\na,1\nb,2\na,3\n")
+    at = str(tmp_path / "p.csv")
+    got = association.last_rows(tables.read_metadata(spark, at, "age", tables.delimiter(spark, at)).coalesce(1))
+    assert sorted((r["sample"], r["age"]) for r in got.collect()) == [("a", "3"), ("b", "2")]
+
+
 def test_call_from_files(spark, tmp_path, capsys, monkeypatch):
     (tmp_path / "x.sam").write_text(SAM)
     (tmp_path / "x.bam").write_bytes(bam(SAM))
