@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tandemlake.llm import line_dedup, mixing, ngram_join, pieces, toxicity
+from tandemlake.llm import line_dedup, mixing, ngram_join, pieces, textvec, toxicity
 from tandemlake.llm.labelled import sample
 from tandemlake.llm.scratch import Scratch
 
@@ -25,6 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.5; rows equal in text alike, null and empty texts as having no words."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(*sample(docs, labels, "toxic", toxicity.PER_CLASS))
+    textvec.release()  # the sample's memory, before the stages that plan much
     return toxicity.score(docs, model).where("score < 0.5").select(*docs.columns)
 
 

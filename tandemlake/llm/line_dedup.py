@@ -349,7 +349,7 @@ def duplicate_lines(docs: DataFrame, width: int = 5, percent: int = 75, heavy_sh
         least = F.struct("at", "fp") if turn == 0 else F.struct(F.xxhash64("fp", F.lit(turn)), "at", "fp")
         head = sketch.groupBy("tok").agg(F.min(least).alias("h")).select("tok", F.col("h.fp").alias("b"), F.col("h.at").alias("b_at"))
         met = rows.join(head, "tok").where("b <> fp and b_at < at").groupBy(F.col("fp").alias("a"), "b").agg(F.count("*").alias("m"))
-        pairs = met.groupBy("a").agg(F.max(F.struct("m", "b")).alias("x")).select("a", "x.b")
+        pairs = scratch.keep(met.groupBy("a").agg(F.max(F.struct("m", "b")).alias("x")).select("a", "x.b"))
         new = scratch.keep(links_of(pairs, sets, percent).select(F.col("a").alias("fp")))
         gone = new if gone is None else gone.union(new)
 
@@ -364,7 +364,7 @@ def duplicate_lines(docs: DataFrame, width: int = 5, percent: int = 75, heavy_sh
     # the smaller line of two comes by its short prefix, the larger one by its whole prefix
     smaller = short("x", "p") & (F.col("x") <= F.col("y")) & (F.col("x") * 100 >= F.col("y") * percent)
     larger = short("y", "q") & (F.col("x") > F.col("y")) & (F.col("y") * 100 >= F.col("x") * percent)
-    found = meet(x, y, ["tok"], BLOCK).where(alike & (smaller | larger)).select("a", "b").distinct()
+    found = scratch.keep(meet(x, y, ["tok"], BLOCK).where(alike & (smaller | larger)).select("a", "b").distinct())
     gone = gone.union(links_of(found, sets, percent).select(F.col("a").alias("fp"))).distinct()
 
     whole = known.join(gone, "fp", "left_semi").select("at.id", "at.digest", "at.line")
