@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import argparse
+import logging
 import re
-import sys
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -13,6 +13,8 @@ from tandemlake.operators import association, cohort, genotype, intervals, looku
 from tandemlake.session import session
 from tandemlake.sources import alignments, charts, tables
 
+log = logging.getLogger("tandemlake")
+
 
 def _print(rows: DataFrame, header: list[str]) -> None:
     print("\t".join(header))
@@ -28,7 +30,7 @@ def call(a, spark) -> None:
     if (a.region is None) == (a.region_file is None):
         raise ValueError("either a region or a region file is needed")
     reads = alignments.read_sam(spark, a.alignments) if sam else alignments.read_bam(spark, a.alignments)
-    loci = tables.read_bed(spark, a.region_file) if a.region_file else tables.region_frame(spark, a.region).withColumnRenamed("interval_ord", "ord")
+    loci = tables.read_bed(spark, a.region_file) if a.region_file else tables.region_frame(spark, a.region, empty=True).withColumnRenamed("interval_ord", "ord")
     contigs = alignments.sam_contigs(spark, a.alignments) if sam else alignments.bam_contigs(spark, a.alignments)
     loci = intervals.validate(loci, contigs).select("ord", "chrom", "begin", "end")
     found = genotype.genotypes(reads, loci, a.minlen, a.support, a.unphased)
@@ -48,7 +50,8 @@ def combine(a, spark) -> None:
 
 
 def _regions(a, spark) -> DataFrame:
-    return tables.read_regions(spark, a.region) if a.region_list else tables.region_frame(spark, a.region)
+    """A list's regions where the argument is a file, else the region that it says."""
+    return tables.read_regions(spark, a.region) if a.region_list or tables.exists(spark, a.region) else tables.region_frame(spark, a.region)
 
 
 def query(a, spark) -> None:
@@ -56,7 +59,7 @@ def query(a, spark) -> None:
     regions = _regions(a, spark)
     n = lookup.matches(m.rows, regions).count()
     if n == 0:
-        print("no match", file=sys.stderr)
+        log.warning("no match")
     elif n == 1:
         _print(lookup.sorted_lengths(m.rows, m.header, regions).orderBy("rank").select("column", "length"), ["sample", "length"])
     else:
@@ -88,13 +91,17 @@ def plot(a, spark) -> None:
     m, place = _one(a, spark)
     column, values = tables.parse_condition(a.condition)
     meta = tables.read_metadata(spark, a.metadata, column)
-    counts = lookup.group_histogram(m.rows, m.header, meta, column, values, *place)
+    counts = lookup.group_histogram(m.rows, m.header, meta, column, values, *place, names=True)
     if a.output:
         charts.grouped_bars(counts, a.output, a.region)
-    _print(counts.orderBy("group", "bucket"), ["group", "bucket", "from", "to", "n"])
+    _print(counts.drop("names").orderBy("group", "bucket"), ["group", "bucket", "from", "to", "n"])
 
 
 def associate(a, spark) -> None:
+    if sum(x is not None for x in (a.chrom, a.region, a.bed, a.variant)) > 1:
+        raise ValueError("one of a contig, a region, a BED file and a variant")
+    if a.variant and not re.fullmatch(r"[^_:-]+[_:-]\d+[_:-]\d+", a.variant):
+        raise ValueError(f"not a variant: {a.variant}")
     m = tables.read_matrix(spark, a.combined, a.chrom)
     rows = m.rows
     if a.region:
@@ -108,7 +115,9 @@ def associate(a, spark) -> None:
         rows = intervals.overlap_semi(rows.withColumn("begin", F.col("locus_begin")).withColumn("end", F.col("locus_end")), bed)
     phenotypes = association.last_rows(tables.read_metadata(spark, a.phenotypes, a.phenotype, tables.delimiter(spark, a.phenotypes)))
     covariates = [x for x in re.split("[, ]+", a.covariates) if x] if a.covariates else []
-    order = a.binary_order.split(",") if a.binary_order else None
+    order = [x for x in re.split(",| " if a.expanded is not None else ",", a.binary_order) if x] if a.binary_order else None
+    if order:
+        association.check_groups(phenotypes, a.phenotype, order)
     found = matrix_association.associate_matrix(rows.select("ord", *tables.KEY, "lengths"), m.header, phenotypes, a.phenotype, order, covariates, a.mode, a.missing_cutoff, a.expanded)
     lengths = association.str_mode(F.col("h1"), F.col("h2"), a.mode)
     c = cohort.pairs(rows.select("ord", *tables.KEY, "lengths"), m.header).select("ord", *tables.KEY, "sample", lengths.alias("length"))
@@ -154,6 +163,7 @@ def scan(a, spark) -> None:
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tandemlake", description=__doc__)
+    p.add_argument("-q", "--quiet", action="store_true", help="no messages but warnings")
     s = p.add_subparsers(dest="command", required=True)
 
     def add(name, run, *args):
@@ -178,7 +188,11 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
+    logging.basicConfig(format="%(asctime)s %(message)s")  # to the error stream, beside the rows
+    log.setLevel(logging.WARNING if a.quiet else logging.INFO)
+    log.info("%s starts", a.command)
     a.run(a, session())
+    log.info("%s is done", a.command)
 
 
 if __name__ == "__main__":

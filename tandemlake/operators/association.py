@@ -61,6 +61,16 @@ def two_groups(calls: DataFrame, column: str, order: list[str]) -> DataFrame:
     return calls.where(F.col(column).isin(order)).withColumn("label", (F.col(column) == order[1]).cast("double"))
 
 
+def check_groups(phenotypes: DataFrame, column: str, order: list[str]) -> None:
+    """An error unless there are two groups and some sample is in either."""
+    if len(order) != 2:
+        raise ValueError("two groups are needed")
+    held = phenotypes.agg(*(F.count_if(F.col(f"`{column}`") == v).alias(f"n{k}") for k, v in enumerate(order))).first()
+    for v, n in zip(order, held):
+        if not n:
+            raise ValueError(f"no sample of group {v} in {column}")
+
+
 def qualified(calls: DataFrame, missing_cutoff: float = 0.80) -> DataFrame:
     """(locus, samples, called, different) of loci with enough calls that differ."""
     q = calls.groupBy(*LOCUS).agg(F.count("*").alias("samples"), F.count("length").alias("called"), F.countDistinct("length").alias("different"))

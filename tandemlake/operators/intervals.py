@@ -13,13 +13,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 BIN = 1 << 14
 
 
-def parse_region(region: Column) -> Column:
-    """struct<chrom, begin, end> of chrom:begin-end (commas allowed), or null: one colon, one dash, begin < end."""
+def parse_region(region: Column, empty: bool = False) -> Column:
+    """struct<chrom, begin, end> of chrom:begin-end (commas allowed), or null: one colon, one dash, begin < end (or equal, with `empty`)."""
     plain = F.translate(region, ",", "")
     good = plain.rlike(r"^[^:-]+:\d+-\d+$")
     part = [F.when(good, F.regexp_extract(plain, r"^([^:-]+):(\d+)-(\d+)$", k)) for k in (1, 2, 3)]
     begin, end = part[1].try_cast("long"), part[2].try_cast("long")
-    return F.when(good & (begin < end), F.struct(part[0].alias("chrom"), begin.alias("begin"), end.alias("end")))
+    return F.when(good & ((begin <= end) if empty else (begin < end)), F.struct(part[0].alias("chrom"), begin.alias("begin"), end.alias("end")))
 
 
 def region_text(chrom: Column, begin: Column, end: Column) -> Column:

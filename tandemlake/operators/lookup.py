@@ -45,8 +45,8 @@ def bucket_of(value: Column, low: Column, high: Column, buckets: int) -> Column:
     return F.when(high == low, F.lit(1)).otherwise(F.least(F.lit(buckets), place)).cast("int")
 
 
-def histogram(values: DataFrame, column: str = "length", buckets: int = 100, by: tuple[str, ...] = ()) -> DataFrame:
-    """(*by, bucket, bucket_low, bucket_high, n) of the values that aren't missing, over one shared range.
+def histogram(values: DataFrame, column: str = "length", buckets: int = 100, by: tuple[str, ...] = (), *more: Column) -> DataFrame:
+    """(*by, bucket, bucket_low, bucket_high, n, and the aggregates `more`) of the values that aren't missing, over one shared range.
 
     The range is two numbers that an aggregate finds first; what is counted is
     summed up before it is shuffled.
@@ -55,8 +55,9 @@ def histogram(values: DataFrame, column: str = "length", buckets: int = 100, by:
     span = v.agg(F.min(column).alias("low"), F.max(column).alias("high")).first()
     low, high = F.lit(span.low).cast("double"), F.lit(span.high).cast("double")
     width = (high - low) / buckets
-    n = v.groupBy(*by, bucket_of(F.col(column), low, high, buckets).alias("bucket")).agg(F.count("*").alias("n"))
-    return n.select(*by, "bucket", (low + (F.col("bucket") - 1) * width).alias("bucket_low"), (low + F.col("bucket") * width).alias("bucket_high"), "n")
+    n = v.groupBy(*by, bucket_of(F.col(column), low, high, buckets).alias("bucket")).agg(F.count("*").alias("n"), *more)
+    extra = n.columns[len(by) + 2 :]
+    return n.select(*by, "bucket", (low + (F.col("bucket") - 1) * width).alias("bucket_low"), (low + F.col("bucket") * width).alias("bucket_high"), "n", *extra)
 
 
 def locus_histogram(matrix: DataFrame, header: list[str], chrom: str, begin: int, end: int, buckets: int = 100) -> DataFrame:
@@ -69,10 +70,14 @@ def members(metadata: DataFrame, column: str, values: list[str]) -> DataFrame:
     return kept.groupBy("sample").agg(F.max_by(F.col(column), "ord").alias("group"))
 
 
-def group_histogram(matrix: DataFrame, header: list[str], metadata: DataFrame, column: str, values: list[str], chrom: str, begin: int, end: int, buckets: int = 100) -> DataFrame:
-    """(group, bucket, bucket_low, bucket_high, n) at the first contained locus, over the members' shared range."""
+def group_histogram(matrix: DataFrame, header: list[str], metadata: DataFrame, column: str, values: list[str], chrom: str, begin: int, end: int, buckets: int = 100, names: bool = False) -> DataFrame:
+    """(group, bucket, bucket_low, bucket_high, n) at the first contained locus, over the members' shared range.
+
+    With `names` also whose lengths a bucket holds: at most the columns of the matrix, once each.
+    """
     long = to_long(first_contained(matrix, chrom, begin, end), header)
-    return histogram(long.join(members(metadata, column, values), "sample"), buckets=buckets, by=("group",))
+    more = [F.array_sort(F.collect_list("sample")).alias("names")] if names else []
+    return histogram(long.join(members(metadata, column, values), "sample"), "length", buckets, ("group",), *more)
 
 
 __all__ = ["KEY", "bucket_of", "first_contained", "group_histogram", "histogram", "locus_histogram", "matches", "members", "side_by_side", "sorted_lengths"]

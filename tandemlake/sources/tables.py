@@ -2,13 +2,19 @@
 
 Matrices are read by position: three key fields, then one field a haplotype
 column. Their width depends on the data, so lengths go into one array column.
-Reading keeps file order as `ord`. Gzip is told by extension, as by all readers.
+Reading keeps file order as `ord`. Gzip is told by a file's first bytes; metadata's by extension.
 """
 
 from __future__ import annotations
 
+import gzip
+import io
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tandemlake.functions.values import missing_to_null, natural_key, shown
@@ -25,9 +31,46 @@ class Matrix:
     header: list[str]
 
 
+def _gzipped(spark: SparkSession, path: str) -> bool:
+    """Whether a file begins as gzip does. Of folders, patterns and what isn't there, the name decides."""
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(context._jsc.hadoopConfiguration())
+    if not files.exists(at) or files.getFileStatus(at).isDirectory():
+        return path.endswith(".gz")
+    stream = files.open(at)
+    try:
+        return (stream.read(), stream.read()) == (0x1F, 0x8B)
+    finally:
+        stream.close()
+
+
+def _unnamed(gzipped: bool):
+    """The lines of files whose name doesn't tell that they are, or aren't, gzip."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                raw = io.BytesIO(content.as_buffer())
+                stream, at = gzip.GzipFile(fileobj=raw) if gzipped else raw, 0
+                while lines := stream.readlines(1 << 20):
+                    values = [x.rstrip(b"\r\n").decode("utf-8", "replace") for x in lines]
+                    yield pa.RecordBatch.from_arrays([pa.array(range(at, at + len(lines)), pa.int64()), pa.array(values, pa.string())], ["ord", "value"])
+                    at += len(lines)
+
+    return run
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, value): the lines of one text file, in order, without a line end of either kind."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("ord"), F.rtrim(F.col("value"), F.lit("\r")).alias("value"))
+    """(ord, value): the lines of one text file, in order, without a line end of either kind.
+
+    A file whose name says otherwise than its first bytes is read whole by one task (up to 2 GB).
+    """
+    gzipped = _gzipped(spark, path)
+    if gzipped != path.endswith(".gz"):
+        lines = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_unnamed(gzipped), "ord long, value string")
+    else:
+        lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("ord"), F.rtrim(F.col("value"), F.lit("\r")).alias("value"))
     return lines.where("value <> ''")
 
 
@@ -76,14 +119,24 @@ def read_regions(spark: SparkSession, path: str) -> DataFrame:
     return r.select("interval_ord", good.alias("chrom"), "r.begin", "r.end")
 
 
-def region_frame(spark: SparkSession, region: str) -> DataFrame:
-    """One region given as text."""
-    r = spark.createDataFrame([(0, region)], "interval_ord long, value string").select("interval_ord", parse_region(F.col("value")).alias("r"))
+def region_frame(spark: SparkSession, region: str, empty: bool = False) -> DataFrame:
+    """One region given as text; with `empty` it may end where it begins."""
+    r = spark.createDataFrame([(0, region)], "interval_ord long, value string").select("interval_ord", parse_region(F.col("value"), empty).alias("r"))
     if r.where("r is null").count():
         raise ValueError(f"not a region: {region}")
     return r.select("interval_ord", "r.chrom", "r.begin", "r.end")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether the session's file systems hold this path; text that can't be one doesn't exist."""
+    context = spark.sparkContext
+    try:
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+    except (Py4JJavaError, IllegalArgumentException):  # a region's colon, say, is no scheme
+        return False
+    return at.getFileSystem(context._jsc.hadoopConfiguration()).exists(at)
+
+
 def read_names(spark: SparkSession, path: str) -> list[str]:
     """A short list of names, one a line."""
     return [r.value.strip() for r in _lines(spark, path).orderBy("ord").collect() if r.value.strip()]

@@ -3,6 +3,7 @@
 import gzip
 import io
 import math
+import re
 import struct
 import zlib
 
@@ -56,6 +57,14 @@ def test_regions(spark):
     assert [r.p and tuple(r.p) for r in got] == [("chr1", 1000, 2000), None, None, None, None, None]
 
 
+def test_empty_region(spark):
+    assert tables.region_frame(spark, "chr1:5-5", empty=True).select("begin", "end").first() == (5, 5)
+    with pytest.raises(ValueError):
+        tables.region_frame(spark, "chr1:5-5")
+    with pytest.raises(ValueError):
+        tables.region_frame(spark, "chr1:6-5", empty=True)
+
+
 def test_predicates(spark):
     rows = spark.createDataFrame([(0, "chr1", 10000, 10468), (1, "chr15", 10000, 10468)], "ord long, chrom string, begin long, end long")
     for (b, e), over, within in (((10000, 10468), 1, 1), ((10468, 11000), 0, 0), ((10100, 10200), 1, 0), ((9000, 11000), 1, 1)):
@@ -247,6 +256,37 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
         go("query", str(m), "nonsense")
 
 
+def test_gzip_by_content(spark, tmp_path):
+    """A name may say otherwise than the file's first bytes; two members are one file."""
+    lines = MATRIX.encode().splitlines(True)
+    files = {"m.tsv": gzip.compress(b"".join(lines[:2])) + gzip.compress(b"".join(lines[2:])), "plain.gz": MATRIX.replace("\n", "\r\n").encode(), "m.gz": gzip.compress(MATRIX.encode()), "plain.tsv": MATRIX.encode()}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+        m = tables.read_matrix(spark, str(tmp_path / name))
+        assert m.header == ["a_H1", "a_H2", "b_H1", "b_H2"], name
+        rows = [(r.chrom, r.locus_begin, r.lengths) for r in m.rows.orderBy("ord").collect()]
+        assert rows == [("chr1", 100, [5, 50, None, 7]), ("chr1", 200, [1, 2, 3, 4.5]), ("chr10", 100, [9, 9, 9, 9])], name
+    (tmp_path / "none").write_bytes(gzip.compress(b""))
+    assert tables.read_cells(spark, str(tmp_path / "none"))[0].count() == 0
+
+
+def test_lists_pages_and_faults(spark, tmp_path, capsys, monkeypatch):
+    go = lambda *a: run(capsys, spark, monkeypatch, *a)
+    m, regions, meta, out = (tmp_path / n for n in ("m.tsv", "regions.txt", "meta.tsv", "o.tsv"))
+    m.write_text(MATRIX)
+    regions.write_text("chr1:90-110\nchr1:190-210\n")
+    assert go("query", str(m), str(regions)) == go("query", str(m), "chr1:90-210") == go("-q", "query", str(m), str(regions), "--region-list")
+    meta.write_text("individual\tstatus\na\tPAT\nb\tCON\n")
+    go("plot", str(m), str(meta), "chr1:190-230", "-c", "status:PAT,CON", "-o", str(tmp_path / "p.html"))
+    assert sorted(re.findall(r"<title>(\w+: \d \(\w+\))</title>", (tmp_path / "p.html").read_text())) == ["CON: 1 (b)", "CON: 1 (b)", "PAT: 1 (a)", "PAT: 1 (a)"]
+    out.write_text("chrom\tbegin\tend\toutliers\nchr1\t1\t2\ta,a,b\nchr1\t3\t4\tb,c_H1\n")
+    go("count-outliers", str(out), "-o", str(tmp_path / "c.html"))
+    assert re.findall(r"<circle.*?<title>(.*?)</title>", (tmp_path / "c.html").read_text()) == ["c: 1", "a: 2", "b: 2"]
+    for fault, more in (("no sample of group OLD", ("--binary-order", "CON,OLD")), ("two groups", ("--binary-order", "CON")), ("not a variant", ("--variant", "chr1:100")), ("one of a contig", ("--chrom", "chr1", "--region", "chr1:1-5"))):
+        with pytest.raises(ValueError, match=fault):
+            go("associate", str(m), str(meta), "status", *more)
+
+
 SAM = "@SQ\tSN:chr1\tLN:1000\n" + "".join(f"r{k}\t{16 * (k % 2)}\tchr1\t51\t60\t50M{10 + k}I60M\t*\t0\t0\t*\t*\tHP:i:{1 + k % 2}\n" for k in range(8)) + "u\t4\t*\t0\t0\t*\t*\t0\t0\t*\t*\n"
 
 
