@@ -228,6 +228,16 @@ def assoc_logistic(spark, sf_dir):
     return association.fitted(association.keep_qualified(_cases(spark, sf_dir), 0.6), "label")
 
 
+def assoc_logistic_beta(spark, sf_dir):
+    """The estimates of assoc_logistic, which SQL reaches in fixed steps; its normal probabilities it can't tell."""
+    return assoc_logistic(spark, sf_dir).select(*LOCUS, "n", (F.round("beta", 5) + F.lit(0.0)).alias("beta"), F.round("se", 5).alias("se"))
+
+
+def assoc_linear_covariate_beta(spark, sf_dir):
+    """The estimates of assoc_linear_covariate."""
+    return assoc_linear_covariate(spark, sf_dir).select(*LOCUS, "n", F.round("beta", 4).alias("beta"), F.round("se", 4).alias("se"))
+
+
 def assoc_logistic_covariate(spark, sf_dir):
     return association.fitted(association.keep_qualified(_cases(spark, sf_dir), 0.6).withColumn("balance", F.col("balance") / 1000), "label", ["balance"])
 
@@ -256,7 +266,7 @@ QUERIES = {f.__name__: f for f in (
     region_parse, interval_validate, interval_overlap_query, query_single_sorted, query_multi_pivot, containment_first_match, histogram_100, group_histogram, metadata_filter,
     combine_keyed, combine_positional, unpivot_haplotypes, deinterleave_h1_h2, outlier_zscore, outlier_zscore_subset, outlier_dbscan, locus_mode_eps, minsize_filter,
     count_outliers, count_outliers_groups, multiple_hits, cigar_call, cigar_ref_len, accidental_2d, genotype_phased, genotype_unphased, phenotype_join, variant_qc,
-    bed_intersect, chr_interval, chromosome, single_variant, assoc_summary, assoc_expanded_or, assoc_linear_beta, assoc_linear_expanded, assoc_logistic, assoc_logistic_covariate, assoc_linear_covariate, assoc_matrix_logistic, assoc_matrix_linear, natural_sort,
+    bed_intersect, chr_interval, chromosome, single_variant, assoc_summary, assoc_expanded_or, assoc_linear_beta, assoc_linear_expanded, assoc_logistic, assoc_logistic_covariate, assoc_linear_covariate, assoc_logistic_beta, assoc_linear_covariate_beta, assoc_matrix_logistic, assoc_matrix_linear, natural_sort,
 )}
 QUERIES |= {f"str_mode_{m.lower()}": _moded(m) for m in ("MEAN", "MAX", "MIN", "SUM")}
 
@@ -293,6 +303,26 @@ _LM = """ SELECT ord, chrom, locus_begin, locus_end, count(*)::BIGINT AS n, roun
 FROM (SELECT *, {x} AS x FROM c) WHERE x IS NOT NULL AND balance IS NOT NULL GROUP BY 1, 2, 3, 4"""
 
 
+def _logit(steps: int = 15) -> str:
+    """The logistic model of label by length, by so many Newton steps; lengths are held against their mean."""
+    of = lambda k: f"""s{k} AS (SELECT ord, a, b, sum(v) AS h0, sum(v * x) AS h1, sum(v * x * x) AS h2, sum(y - p) AS g0, sum((y - p) * x) AS g1, count(*) AS n
+  FROM (SELECT *, p * (1 - p) AS v FROM (SELECT u.*, a, b, 1 / (1 + exp(-greatest(least(a + b * x, 30), -30))) AS p FROM u JOIN w{k} USING (ord))) GROUP BY 1, 2, 3)"""
+    to = lambda k: f"""w{k + 1} AS (SELECT ord, a + (h2 * g0 - h1 * g1) / nullif(h0 * h2 - h1 * h1, 0) AS a, b + (h0 * g1 - h1 * g0) / nullif(h0 * h2 - h1 * h1, 0) AS b FROM s{k})"""
+    return f""", u AS MATERIALIZED (SELECT ord, label::DOUBLE AS y, length - avg(length) OVER (PARTITION BY ord) AS x FROM g WHERE length IS NOT NULL AND ord IN (SELECT ord FROM q)),
+w0 AS (SELECT DISTINCT ord, 0::DOUBLE AS a, 0::DOUBLE AS b FROM u), {", ".join(f"{of(k)}, {to(k)}" for k in range(steps))}, {of(steps)},
+i AS (SELECT ord, max(x) FILTER (y = 0) <= min(x) FILTER (y = 1) OR max(x) FILTER (y = 1) <= min(x) FILTER (y = 0) AS parted FROM u GROUP BY 1),
+l AS (SELECT DISTINCT ord, chrom, locus_begin, locus_end FROM g)
+SELECT ord, chrom, locus_begin, locus_end, n::BIGINT AS n, CASE WHEN NOT parted THEN round(b, 5) + 0::DOUBLE END AS beta, CASE WHEN NOT parted THEN round(sqrt(h0 / (h0 * h2 - h1 * h1)), 5) END AS se
+FROM s{steps} JOIN i USING (ord) JOIN l USING (ord)"""
+
+
+#: Least squares of balance by length and label, from the sums of squares and products about the means.
+_LM2 = """, k AS (SELECT ord, chrom, locus_begin, locus_end, count(*)::BIGINT AS n, n * var_pop(length) AS xx, n * var_pop(label) AS zz, n * covar_pop(length, label) AS xz, n * covar_pop(length, balance) AS xy, n * covar_pop(label, balance) AS zy, n * var_pop(balance) AS yy
+  FROM g WHERE length IS NOT NULL AND balance IS NOT NULL AND ord IN (SELECT ord FROM q) GROUP BY 1, 2, 3, 4),
+d AS (SELECT *, CASE WHEN n > 3 THEN nullif(xx * zz - xz * xz, 0) END AS det, (zz * xy - xz * zy) / det AS b, (xx * zy - xz * xy) / det AS c FROM k)
+SELECT ord, chrom, locus_begin, locus_end, n, round(b, 4) AS beta, round(sqrt(greatest(yy - b * xy - c * zy, 0) / (n - 3) * zz / det), 4) AS se FROM d"""
+
+
 def _sided(name: str, k: int) -> str:
     own = f"CASE WHEN label = {k} THEN length END"
     return f"count({own})::BIGINT AS n{k}, round(avg({own}), 3) AS avg{k}, round(min({own}), 3) AS min{k}, round(max({own}), 3) AS max{k}"
@@ -356,6 +386,8 @@ SELECT *, exp(beta) AS odds_ratio, exp(beta - 1.959963984540054::DOUBLE * se) AS
     "assoc_linear_beta": _with(*_GRID, "metadata", body=_MAXED + _LM.format(x="length")),
     "assoc_matrix_linear": _with(*_GRID, "metadata", body=_MAXED + _LM.format(x="length")),
     "assoc_linear_expanded": _with(*_GRID, "metadata", body=_MAXED + _LM.format(x="CASE WHEN length >= 23 THEN 1.0 WHEN length IS NOT NULL THEN 0.0 END::DOUBLE")),
+    "assoc_logistic_beta": _with(*_GRID, "metadata", body=_MAXED + _logit()),
+    "assoc_linear_covariate_beta": _with(*_GRID, "metadata", body=_MAXED + _LM2),
     "natural_sort": _with("loci", body=" SELECT row_number() OVER (ORDER BY substr(chrom, 4)::INT, locus_begin, locus_end)::INT AS place, chrom, locus_begin, locus_end FROM loci"),
     "str_mode_mean": _with(*_GRID, body=_PAIR + " SELECT ord, sample, (greatest(h1, h2) + least(h1, h2)) / 2 AS length FROM p"),
     "str_mode_max": _with(*_GRID, body=_PAIR + " SELECT ord, sample, greatest(h1, h2) AS length FROM p"),
