@@ -256,10 +256,8 @@ def assoc_matrix_linear(spark, sf_dir):
 
 
 def natural_sort(spark, sf_dir):
-    from pyspark.sql import Window
-
-    order = Window.orderBy(values.natural_key(F.col("chrom")), "begin", "end")
-    return bridge.loci(spark).select(F.row_number().over(order).alias("place"), "chrom", F.col("begin").alias("locus_begin"), F.col("end").alias("locus_end"))
+    loci = bridge.loci(spark).select("chrom", "begin", "end", F.struct(values.natural_key(F.col("chrom")).alias("chrom"), "begin", "end").alias("key"))
+    return cohort.numbered(loci, "key").select((F.col("ord") + 1).cast("int").alias("place"), "chrom", F.col("begin").alias("locus_begin"), F.col("end").alias("locus_end"))
 
 
 QUERIES = {f.__name__: f for f in (
