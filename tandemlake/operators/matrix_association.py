@@ -28,12 +28,12 @@ def _modes(both: np.ndarray, mode: str) -> np.ndarray:
     return {"MAX": high, "MIN": low, "MEAN": (high + low) / 2}[mode]
 
 
-def _good(length: np.ndarray, cutoff: float) -> np.ndarray:
-    """Loci with enough lengths, and different ones."""
+def _good(length: np.ndarray, cutoff: float, differ: bool = True) -> np.ndarray:
+    """Loci with enough lengths, and different ones if differ."""
     here = ~np.isnan(length)
     called = here.sum(axis=1)
     high, low = np.where(here, length, -np.inf).max(axis=1, initial=-np.inf), np.where(here, length, np.inf).min(axis=1, initial=np.inf)
-    return (called > 0) & (called >= cutoff * length.shape[1]) & (high > low)
+    return (called > 0) & (called >= cutoff * length.shape[1]) & ((high > low) | (not differ))
 
 
 def _solvable(h: np.ndarray) -> np.ndarray:
@@ -41,11 +41,24 @@ def _solvable(h: np.ndarray) -> np.ndarray:
     return np.linalg.eigvalsh(h / scale[:, :, None] / scale[:, None, :])[:, 0] > 1e-9
 
 
+def _about_means(x: np.ndarray, here: np.ndarray) -> np.ndarray:
+    """x with all columns but the first as distances from a locus' mean, 0 for one that is constant: slopes stay as they are."""
+    own, at = x[..., 1:], here[..., None]
+    high, low = np.where(at, own, -np.inf).max(axis=1, initial=-np.inf, keepdims=True), np.where(at, own, np.inf).min(axis=1, initial=np.inf, keepdims=True)
+    mean = own.sum(axis=1, keepdims=True, where=at) / np.maximum(here.sum(axis=1), 1)[:, None, None]
+    return np.concatenate([x[..., :1], np.where(at & (high > low), own - mean, 0)], axis=2)
+
+
 def fit_batch(x: np.ndarray, y: np.ndarray, here: np.ndarray, family: str) -> tuple[np.ndarray, np.ndarray]:
-    """(estimates, standard errors) of the second column: x (loci, samples, k), y (samples), here (loci, samples); NaN where none exists."""
+    """(estimates, standard errors) of the second column: x (loci, samples, k), ones first, y (samples), here (loci, samples); NaN where none exists.
+
+    A linear estimate without spare samples has no standard error; one that fits exactly has 0.
+    """
     m, _, k = x.shape
     w8 = here.astype(float)
     x = np.where(here[..., None], x, 0)
+    if family == "gaussian":
+        x = _about_means(x, here)
     rank = _solvable(np.einsum("bsk,bs,bsl->bkl", x, w8, x)) & (here.sum(axis=1) >= k)
     eye = np.eye(k)
     if family == "gaussian":
@@ -54,8 +67,7 @@ def fit_batch(x: np.ndarray, y: np.ndarray, here: np.ndarray, family: str) -> tu
         spare = here.sum(axis=1) - k
         rest = ((y[None, :] - np.einsum("bsk,bk->bs", x, w)) ** 2 * w8).sum(axis=1)
         se = np.sqrt(rest / np.maximum(spare, 1) * np.linalg.inv(h)[:, 1, 1])
-        good = rank & (spare > 0) & (se > 0)
-        return np.where(good, w[:, 1], np.nan), np.where(good, se, np.nan)
+        return np.where(rank, w[:, 1], np.nan), np.where(rank & (spare > 0), se, np.nan)
     w, last, live = np.zeros((m, k)), np.full(m, np.inf), rank.copy()
     for _ in range(25):
         own = np.flatnonzero(live)
@@ -84,12 +96,15 @@ def fit_batch(x: np.ndarray, y: np.ndarray, here: np.ndarray, family: str) -> tu
     return np.where(good, w[:, 1], np.nan), np.where(good, se, np.nan)
 
 
-def associate_matrix(matrix: DataFrame, header: list[str], phenotypes: DataFrame, outcome: str, order: list[str] | None = None, covariates: list[str] = (), mode: str = "MAX", missing_cutoff: float = 0.80, expanded: float | None = None) -> DataFrame:
+def associate_matrix(matrix: DataFrame, header: list[str], phenotypes: DataFrame, outcome: str, order: list[str] | None = None, covariates: list[str] = (), mode: str = "MAX", missing_cutoff: float = 0.80, expanded: float | None = None, every: bool = False) -> DataFrame:
     """MODEL of every locus that passes the quality filters, over all samples and again over those of the two groups.
 
     order: the two groups (first is 0) for a logistic model; without it the
     outcome is a number and the model linear. Samples are the header's; those
     without a phenotype, a covariate or a length are left out of a locus' model.
+    every: loci whose lengths don't differ stay in, without estimates, and a linear
+    estimate stands without a standard error over 0; a locus that no sample is left
+    of has no row.
     """
     samples = [header[i].removesuffix("_H1") for i in range(0, len(header), 2)]
     said = F.col(f"`{outcome}`") if order is not None else F.col(f"`{outcome}`").try_cast("double")
@@ -112,9 +127,11 @@ def associate_matrix(matrix: DataFrame, header: list[str], phenotypes: DataFrame
                 part = batch.slice(i, TOGETHER)
                 flat = part.column("lengths").flatten().to_numpy(zero_copy_only=False).astype(float)
                 length = _modes(flat.reshape(len(part), len(samples), 2), mode)
-                good = _good(length, missing_cutoff)
+                good = _good(length, missing_cutoff, not every)
                 if order is not None:
-                    good &= _good(length[:, grouped], missing_cutoff)
+                    good &= _good(length[:, grouped], missing_cutoff, not every)
+                if every:
+                    good &= ~np.isnan(length[:, usable]).all(axis=1)
                 part, length = part.filter(pa.array(good)), length[good][:, usable]
                 if not len(part):
                     continue
@@ -122,8 +139,10 @@ def associate_matrix(matrix: DataFrame, header: list[str], phenotypes: DataFrame
                 value = length if expanded is None else np.where(here, (length >= expanded).astype(float), np.nan)
                 x = np.concatenate([np.ones((*value.shape, 1)), value[..., None], np.broadcast_to(z[usable], (len(value), *z[usable].shape))], axis=2)
                 beta, se = fit_batch(x, y[usable], here, family)
+                if not every:
+                    beta, se = np.where(se > 0, beta, np.nan), np.where(se > 0, se, np.nan)
                 n = here.sum(axis=1)
-                with np.errstate(over="ignore", invalid="ignore"):
+                with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
                     low, high, t = beta - stats.Z975 * se, beta + stats.Z975 * se, beta / se
                     effects = [np.exp(np.minimum(v, 700)) for v in (beta, low, high)]
                 p = [np.nan if np.isnan(v) else stats.normal_p(v) if family == "binomial" else stats.student_p(v, m - x.shape[2]) for v, m in zip(t, n)]
